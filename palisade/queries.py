@@ -1,15 +1,336 @@
-"""Every query of the library by name, and the SQL that it is held against."""
+"""Every query of the library by name; `oracles` has the SQL that they are held against."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palisade.functions import checksums, pii, rails
+from palisade.functions.normalize import change_count, normalize
+from palisade.operators import records, retrieval
+from palisade.oracles import oracle_sql  # noqa: F401
+from palisade.plans.evaluate import evaluate, ingest
+from palisade.sources.carriers import prompts, table, turns, usage
+from palisade.streaming import windows
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+FOUR = {"EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS", "PHONE_NUMBER"}
+SCOPE = ("license", "death", "permit", "fee", "claim")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def q01_normalize_fold(spark, d):
+    t = F.regexp_replace(F.regexp_replace("text", "a", "а"), "the ", "the​ \t ")
+    out = prompts(spark, d).select("request_id", t.alias("raw"))
+    clean = normalize(F.col("raw"))
+    return out.select("request_id", clean.alias("clean"), change_count(F.col("raw"), clean).alias("changes"))
+
+
+def q03_word_hits(spark, d):
+    hits = rails.blocked_terms(F.col("text"), terms=("idiot", "moron", "imbecile", "scum", "vermin"), allow=())
+    h = _docs(spark, d).select("doc_id", F.explode(hits).alias("h"))
+    return h.groupBy("doc_id", F.col("h.value").alias("term")).agg(F.count("*").alias("n"), F.sum(F.col("h.start").cast("long")).alias("starts"))
+
+
+def q04_word_rail_mask(spark, d):
+    hits = rails.blocked_terms(F.col("text"), terms=("idiot", "moron", "scum"), allow=())
+    return _docs(spark, d).select("doc_id", F.md5(rails.star_out(F.col("text"), hits)).alias("masked"))
+
+
+def q05_pii_spans(spark, d):
+    found = _docs(spark, d).select("doc_id", F.explode(pii.candidates(F.col("text"), entities=FOUR)).alias("s"))
+    return found.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("s.start").cast("long")).alias("starts"))
+
+
+def _checked(spark, d, m, pattern, check):
+    v = F.regexp_extract("text", pattern, 0)
+    return prompts(spark, d).where(F.col("request_id") % 16 == m).select("request_id", v.alias("value"), check(v).alias("valid"))
+
+
+def q06_luhn(spark, d):
+    return _checked(spark, d, 2, "4539[0-9 ]{15}", checksums.luhn)
+
+
+def q07_verhoeff(spark, d):
+    return _checked(spark, d, 3, "2345[0-9 ]{10}", checksums.verhoeff)
+
+
+def q08_iban_mod97(spark, d):
+    return _checked(spark, d, 4, "GB[0-9A-Z]+", checksums.iban)
+
+
+def q09_ssn(spark, d):
+    return _checked(spark, d, 1, "[0-9]{3}-[0-9]{2}-[0-9]{4}", checksums.ssn)
+
+
+def q10_pan(spark, d):
+    return _checked(spark, d, 5, "[A-Z]{5}[0-9]{4}[A-Z]", checksums.pan)
+
+
+def q11_allowlist_partition(spark, d):
+    found = pii.detect(F.col("text"), entities={"EMAIL_ADDRESS"})
+    free = pii.exempt(F.col("text"), found, r"[\w.+-]+@mail1\.example\.com")
+    return _docs(spark, d).select(F.size(found).alias("n"), F.size(free).alias("free")).agg(F.sum("n").cast("long").alias("found"), F.sum("free").cast("long").alias("exempt"))
+
+
+def _mail_masked(spark, d, strategy):
+    text = F.col("text")
+    out = pii.mask(text, pii.detect(text, entities={"EMAIL_ADDRESS"}), strategy)
+    return prompts(spark, d).where("request_id % 16 = 11").select("request_id", out.alias("masked"))
+
+
+def q12_mask_redact(spark, d):
+    return _mail_masked(spark, d, "redact")
+
+
+def q13_mask_replace(spark, d):
+    return _mail_masked(spark, d, "replace")
+
+
+def q14_mask_hash(spark, d):
+    return _mail_masked(spark, d, "hash")
+
+
+def q15_mask_partial(spark, d):
+    return _mail_masked(spark, d, "partial")
+
+
+def q16_rules_verdict(spark, d):
+    t = F.col("text")
+    return prompts(spark, d).select("request_id", rails.rule_verdict(t, rails.SECURITY_RULES).alias("security"), rails.rule_verdict(t, rails.USE_CASE_RULES).alias("use_case"), rails.rule_hits(t, rails.USE_CASE_RULES).alias("use_case_hits"))
+
+
+def q17_injection_scan(spark, d):
+    t = F.col("text")
+    return prompts(spark, d).select("request_id", rails.injection_score(t).alias("score"), rails.injection_technique(t).alias("technique"), (rails.injection_score(t) >= rails.INJECTION_THRESHOLD).alias("blocked"))
+
+
+def q19_scope_vocab(spark, d):
+    hits = rails.in_scope(F.col("text"), SCOPE)
+    return _docs(spark, d).select("doc_id", F.array_join(hits, ",").alias("hits"))
+
+
+def q20_evaluate_verdict(spark, d):
+    out = evaluate(prompts(spark, d))
+    return out.select("request_id", "surface", "words_verdict", "rules_verdict", "injection_verdict", "verdict")
+
+
+def q21_verdict_counts(spark, d):
+    return evaluate(prompts(spark, d)).groupBy("surface", "verdict").agg(F.count("*").alias("n"))
+
+
+def q22_evaluate_masked(spark, d):
+    return evaluate(prompts(spark, d)).where("request_id % 16 in (2, 7, 14)").select("request_id", "text_out")
+
+
+def q23_severity_thresholds(spark, d):
+    level = F.get(F.array(*map(F.lit, ("high", "medium", "low", "off"))), (F.col("event_id") % 4).cast("int"))
+    base = (F.col("event_id") % 101) / 100
+    return table(spark, d, "events").select("event_id", F.round(rails.scaled(base, level), 6).alias("threshold"))
+
+
+def q25_review_trigger(spark, d):
+    out = evaluate(prompts(spark, d))
+    sampled = F.conv(F.substring(F.sha2(F.col("request_id").cast("string"), 256), -2, 2), 16, 10).cast("int") < 13
+    why = F.when(F.col("verdict") == "block", "block").when(F.col("verdict") == "mask", "mask").when(sampled, "sampled").otherwise("none")
+    return out.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+
+
+def q26_chunk_stats(spark, d):
+    c = retrieval.chunks(F.regexp_replace("text", "\n", "\n\n"))
+    return _docs(spark, d).select("doc_id", F.size(c).cast("long").alias("chunks"), F.array_max(F.transform(c, F.length)).cast("long").alias("longest"))
+
+
+def q27_tokens_df(spark, d):
+    t = F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("term")
+    return _docs(spark, d).select("doc_id", t).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def q28_stem(spark, d):
+    w = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word")
+    return table(spark, d, "benchmark").select(w).distinct().select("word", retrieval.stem(F.col("word")).alias("stem"))
+
+
+def _queries(spark, d):
+    words = F.slice(F.split("text", " "), 1, 12)
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def q29_bm25_topk(spark, d):
+    return retrieval.search(retrieval.index(_docs(spark, d)), _queries(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _relevant(spark, d, width=8):
+    """Documents that hold `width` words of a benchmark item in a row."""
+    def shingles(df, key):
+        w = df.select(key, F.split("text", " ").alias("w"))
+        at = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
+        return w.where(F.size("w") >= width).select(key, F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, width), " "))).alias("s"))
+    items = shingles(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id").distinct()
+    return shingles(_docs(spark, d), "doc_id").join(items, "s").select("query_id", "doc_id").distinct()
+
+
+def q32_retrieval_metrics(spark, d):
+    q = _queries(spark, d)
+    return retrieval.retrieval_metrics(retrieval.search(retrieval.index(_docs(spark, d)), q), _relevant(spark, d), q)
+
+
+def q33_rail_confusion(spark, d):
+    hit = F.size(rails.blocked_terms(F.col("text"), terms=("idiot", "moron", "scum"), allow=())) > 0
+    rows = _docs(spark, d).join(table(spark, d, "labels"), "doc_id")
+    return records.confusion(rows, F.col("toxic") == 1, hit)
+
+
+def q34_ingest_status(spark, d):
+    return ingest(_docs(spark, d), 8_000).select("doc_id", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def q35_corpus_stats(spark, d):
+    out = ingest(_docs(spark, d), 8_000)
+    return out.agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), F.sum(F.when(F.col("status") == "indexed", F.length("text"))).cast("long").alias("chars"))
+
+
+def q36_sessions(spark, d):
+    return records.sessions(turns(spark, d))
+
+
+def q37_user_stats(spark, d):
+    return turns(spark, d).groupBy("user").agg(F.count("*").alias("turns"), F.countDistinct("session_id").alias("sessions"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def q38_usage_cost(spark, d):
+    return records.cost(usage(spark, d)).groupBy("user_id", "model").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("micros").alias("micros"))
+
+
+def q39_budget_breach(spark, d):
+    return records.budget_breaches(usage(spark, d), 1500)
+
+
+def q40_history_cap(spark, d):
+    return records.keep_last(turns(spark, d), "session_id", "ordinal", 3).select("session_id", "ordinal", "role")
+
+
+def q41_audit_chain_verify(spark, d):
+    body = F.concat_ws("|", F.col("request_id").cast("string"), F.col("surface"), F.col("text"))
+    rows = prompts(spark, d).select("request_id", "surface", "text", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    kept = records.chain(rows, "day", "request_id", body)
+    changed = kept.withColumn("text", F.when(F.col("request_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).where("request_id % 101 != 0")
+    return records.verify_chain(changed, "day", "request_id", body)
+
+
+def q42_entitlement(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("principal"), (F.col("c_mktsegment") == "BUILDING").alias("admin"))
+    asked = o.withColumn("principal", F.col("o_custkey") + F.col("o_orderkey") % 2)
+    out = asked.join(c, "principal", "left")
+    entitled = (F.col("principal") == F.col("o_custkey")) | F.coalesce("admin", F.lit(False))
+    return out.groupBy(entitled.alias("entitled")).agg(F.count("*").alias("n"))
+
+
+def _outcomes(spark, d):
+    levels = F.array(*map(F.lit, rails.LEVELS))
+    e = table(spark, d, "events")
+    pick = lambda k: F.get(levels, F.pmod(F.floor(F.abs("value") * k), F.lit(4)).cast("int"))
+    a = e.select(F.col("event_id").alias("case_id"), F.lit("a").alias("arm"), pick(3).alias("actual"), F.col("user_id"))
+    b = e.where("event_id % 10 != 0").select(F.col("event_id").alias("case_id"), F.lit("b").alias("arm"), pick(5).alias("actual"), F.col("user_id"))
+    return a.unionByName(b)
+
+
+def q44_supervisor_floor(spark, d):
+    o = _outcomes(spark, d).withColumn("actual", F.when(F.col("case_id") % 5 == 0, "escalate").otherwise(F.col("actual")))
+    return records.strictest(o.where("user_id % 3 != 0 or case_id % 7 = 0"), "user_id")
+
+
+def q47_lexical_grounding(spark, d):
+    c = table(spark, d, "conversations")
+    toks = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)))
+    a = c.where("role = 'assistant'").select("conv_id", "turn", toks(F.col("text")).alias("a"))
+    u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), toks(F.col("text")).alias("u"))
+    share = F.when(F.size("a") == 0, 0.0).otherwise(F.size(F.array_intersect("a", "u")) / F.size("a"))
+    return a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", F.round(share, 6).alias("overlap"))
+
+
+def q49_figures_except(spark, d):
+    figures = lambda c: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(c, F.lit("[0-9][0-9,]*"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(""))), lambda x: F.length(x) >= 2))
+    docs = _docs(spark, d)
+    pair = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
+    return pair.select("doc_id", F.size(F.array_except(figures(F.col("text")), figures(F.col("next")))).cast("long").alias("unsupported"))
+
+
+def q50_arm_delta(spark, d):
+    return records.arm_changes(_outcomes(spark, d))
+
+
+def q51_p50_p95(spark, d):
+    return records.quantiles(table(spark, d, "events"), "event_type", "value")
+
+
+def q54_tool_lookup(spark, d):
+    calls = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("p_partkey"))
+    fees = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    out = calls.join(fees, "p_partkey", "left")
+    return out.groupBy("l_linenumber").agg(F.count("*").alias("calls"), F.count("p_retailprice").alias("known"))
+
+
+def q56_regeneration_pick(spark, d):
+    tries = table(spark, d, "events").select((F.floor(F.col("event_id") / 3)).alias("request"), (F.col("event_id") % 3).alias("attempt"), (F.abs("value") % 10 >= 5).alias("good"))
+    return tries.groupBy("request").agg(F.coalesce(F.min(F.when(F.col("good"), F.col("attempt"))), F.lit(-1)).cast("long").alias("picked"))
+
+
+def q59_approval_ttl(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("ask"), F.col("ts").alias("asked"))
+    said = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("said"))
+    age = F.unix_timestamp("said") - F.unix_timestamp("asked")
+    hit = asked.join(said, "user_id").where((age >= 0) & (age <= 86_400)).groupBy("ask").agg(F.min(age).alias("age"))
+    return asked.join(hit, "ask", "left").groupBy(F.when(F.col("age").isNull(), "expired").otherwise("claimed").alias("state")).agg(F.count("*").alias("n"))
+
+
+def _streamed(spark: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All of a file stream's results in update-free form, through a table in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palisade-")
+    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    done: list[str] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/{n}")
+        done.append(f"{place}/{n}")
+
+    shape(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(done[-1])
+
+
+def q60_stream_tumbling(spark, d):
+    return _streamed(spark, d, windows.tumbling).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n", "used")
+
+
+def q61_stream_sliding(spark, d):
+    return _streamed(spark, d, windows.sliding).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors")
+
+
+def q63_html_text(spark, d):
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "(?s)<[^>]*>", " "), "[ \t\r\n]+", " ")
+    return table(spark, d, "pages").select("page_id", F.md5(F.trim(bare)).alias("text_md5"))
+
+
+def q64_agent_suite(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("cases"), F.round(F.avg((F.col("event_id") % 4 == F.col("user_id") % 4).cast("double")), 6).alias("routing"), F.round(F.avg(F.when(F.col("event_id") % 3 != 0, (F.col("value") > 10).cast("double"))), 6).alias("decisions"))
+
+
+def q65_detection_by_source(spark, d):
+    docs = table(spark, d, "documents")
+    found = docs.select("source", F.explode(pii.candidates(F.col("text"), entities=FOUR)).alias("s"))
+    return found.groupBy("source", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k.startswith("q") and k[1:3].isdigit()}
