@@ -8,7 +8,7 @@ an interval widened by `SCOPE` characters; interval joins on (text, bucket) keep
 only when its complement is in scope:
 - a weak_id beside a plain secret, a weak_secret beside an access identifier;
 - a weak_id and a weak_secret beside each other and an endpoint;
-- an endpoint beside an identifier and a secret, of which one at least is plain.
+- an endpoint beside an identifier and a secret, weak or plain.
 Offsets are code points, ends exclusive; weak spans that touch a plain one are left out.
 
 Null texts are empty: no spans. Rows with equal texts have equal spans: parts are kept
@@ -108,7 +108,7 @@ def _linked(parts: DataFrame) -> DataFrame:
 
     ids, secrets, ends = (parts.where(F.col("kind") == kind[k]) for k in ("weak_id", "weak_secret", "endpoint"))
     near_end = (beside(beside(ids, "weak_secret"), "endpoint"), beside(beside(secrets, "weak_id"), "endpoint"))
-    found = [beside(ids, "assign", "hex"), beside(secrets, "access"), *near_end, beside(beside(ends, "access"), "assign", "hex", "weak_secret"), beside(beside(ends, "weak_id"), "assign", "hex")]
+    found = [beside(ids, "assign", "hex"), beside(secrets, "access"), *near_end, beside(beside(ends, "access", "weak_id"), "assign", "hex", "weak_secret")]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
