@@ -12,6 +12,7 @@ nothing was learned. Ties go to the language first in order. Repeated rows score
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +25,12 @@ from palisade.llm.common import held_out, read, small_batches
 from palisade.llm.toxicity import ngrams
 
 BITS, SIZES, PER_LANG, MAX_ROWS, CENTROIDS, REJECT = 14, (1, 2, 3), 600, 12_000, 3, 0.01
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def term_weights(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of the letters of a text and their damped counts."""
-    n = np.bincount(ngrams(text, SIZES, BITS), minlength=1 << BITS)
+def term_weights(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of a text's words, one blank between them and other characters left out, and their damped counts."""
+    n = np.bincount(ngrams(NOT_LETTERS.sub(" ", f" {text} "), SIZES, BITS), minlength=1 << BITS)
     at = np.flatnonzero(n)
     return at, 1 + np.log(n[at])
 
