@@ -25,6 +25,7 @@ from palisade.llm.common import Staged, held_out, read, small_batches
 
 BITS, SIZES, MAX_ROWS, FEATURES = 20, (3, 4, 5, 6), 20_000, 3_000
 THRESHOLD = 0.3
+BLOCK = 1 << 18
 
 
 def codes(text: str | None) -> np.ndarray:
@@ -62,22 +63,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rows[label] += 1
             counts[label][np.unique(ngrams(text))] += 1
-    at = np.flatnonzero(counts.sum(0) > 1)
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *at]), pa.array([rows[0], *counts[0][at]]), pa.array([rows[1], *counts[1][at]])], ["feature", "neg", "pos"])
+    at = np.flatnonzero(counts[0] + counts[1] > 1)
+    whole = [pa.array([-1]), pa.array(rows[:1]), pa.array(rows[1:])]
+    yield pa.RecordBatch.from_arrays(whole, ["feature", "neg", "pos"])
+    for i in range(0, len(at), BLOCK):
+        part = at[i : i + BLOCK]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], ["feature", "neg", "pos"])
 
 
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps on presence * ratio."""
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    """Logistic regression by accelerated gradient steps on presence * ratio, over blocks of entries."""
+    at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     n, w, b = len(y), np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    x = ratio[at]
-    lip = 0.25 * max(1.0, float(np.bincount(row, x * x, minlength=n).mean()) * 4) + penalty
+
+    def added(to: np.ndarray, values: np.ndarray, by: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for i in range(0, len(to), BLOCK):
+            out += np.bincount(to[i : i + BLOCK], values[by[i : i + BLOCK]], minlength=size)
+        return out
+
+    lip = 0.25 * max(1.0, float(added(row, ratio**2, at, n).mean()) * 4) + penalty
     v, vb, w0, b0 = w.copy(), b, w.copy(), b
     for t in range(steps):
-        z = vb + np.bincount(row, x * v[at], minlength=n)
+        z = vb + added(row, ratio * v, at, n)
         g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        w = v - (np.bincount(at, g[row] * x, minlength=len(ratio)) / n + penalty * v) / lip
+        w = v - (ratio * added(at, g, row, len(ratio)) / n + penalty * v) / lip
         b = vb - g.mean() / 0.25 / 4
         k = t / (t + 3)
         v, vb, w0, b0 = w + k * (w - w0), b + k * (b - b0), w, b
@@ -90,33 +101,31 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(max_rows)
     rows = Staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample").df
-    counts = rows.mapInArrow(_counts, "feature long, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where("neg + pos >= 4").toPandas()  # 2^BITS rows at most
-    total = counts[counts.feature == -1]
-    neg, pos = (float(total[k].sum()) for k in ("neg", "pos"))
+    counts = rows.mapInArrow(_counts, "feature long, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = Staged(counts.where("feature = -1 or neg + pos >= 4"), "toxicity-counts").df
+    whole = counts.where("feature = -1").first()
+    neg, pos = (float(whole[k]) if whole else 0.0 for k in ("neg", "pos"))
     weight = np.zeros(1 << BITS)
     if not neg or not pos:
         return Model(weight, 5.0 if pos else -5.0)
-    counts = counts[counts.feature >= 0]
-    at, a, c = (counts[k].to_numpy() for k in ("feature", "pos", "neg"))
-    p, q = (a + 1) / (pos + 2), (c + 1) / (neg + 2)
-    both = (a + c + 2) / (pos + neg + 4)
-    gain = pos * (p * np.log(p / both) + (1 - p) * np.log((1 - p) / (1 - both))) + neg * (q * np.log(q / both) + (1 - q) * np.log((1 - q) / (1 - both)))
-    best = np.lexsort((at, -gain))[:features]
-    at, ratio = at[best], np.log(p[best] / q[best])
-    place = np.full(1 << BITS, -1, np.int64)
-    place[at] = np.arange(len(at))
+    p, q, both = (F.col("pos") + 1) / (pos + 2), (F.col("neg") + 1) / (neg + 2), (F.col("pos") + F.col("neg") + 2) / (pos + neg + 4)
+    gain = pos * (p * F.log(p / both) + (1 - p) * F.log((1 - p) / (1 - both))) + neg * (q * F.log(q / both) + (1 - q) * F.log((1 - q) / (1 - both)))
+    best = counts.where("feature >= 0").select("feature", F.log(p / q).alias("ratio"), gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(features).toPandas()
+    at, ratio = best.feature.to_numpy(np.int64), best.ratio.to_numpy(float)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[at] = np.arange(len(at), dtype=np.int32)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for t in batch.column(0).to_pylist():
                 f = place[ngrams(t)]
-                found.append(np.unique(f[f >= 0]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1).cast(pa.int64())], ["f", "y"])
+                found.append(np.unique(f[f >= 0]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1).cast(pa.int64())], ["f", "y"])
 
     small_batches(spark)
-    fit = rows.mapInArrow(chosen, "f array<long>, y long").toPandas()  # max_rows rows, `features` numbers each at most
-    w, b = _fit([np.asarray(f, np.int64) for f in fit.f], fit.y.to_numpy(float), ratio, penalty)
+    fit = rows.mapInArrow(chosen, "f array<int>, y long").toPandas()  # max_rows rows, `features` numbers each at most
+    w, b = _fit([np.asarray(f, np.int32) for f in fit.f], fit.y.to_numpy(float), ratio, penalty)
     weight[at] = w
     return Model(weight, b)
 
