@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,30 +60,25 @@ def text_or_empty(col: str = "text") -> Column:
 class IdFilter:
     """A bitmap of fixed size over hashed keys: it may let other keys through, never drops one of its own.
 
-    It is broadcast; its size does not depend on the data. Where it fills up, more rows
-    take the exact join that follows it, and results stay the same.
+    It is broadcast as a table of at most BITS / 64 rows, whatever the data. Where it fills
+    up, more rows take the exact join that follows it, and results stay the same.
     """
 
     BITS = 1 << 23
 
     def __init__(self, keys: DataFrame, col: str):
-        bucket = F.pmod(F.xxhash64(F.col(col)), F.lit(self.BITS))
-        words = (
-            keys.select(bucket.alias("b"))
-            .groupBy(F.shiftright("b", 5).alias("w"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("m"))
-        )
-        table = np.zeros(self.BITS // 32, dtype=np.int64)
-        rows = words.toPandas()  # at most BITS / 32 rows
-        table[rows["w"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64)
-        self.table = keys.sparkSession.sparkContext.broadcast(table)
-
-    def may_hold(self, col: str) -> Column:
-        table = self.table
-
-        @F.pandas_udf("boolean")
-        def hit(b: pd.Series) -> pd.Series:
-            v = b.to_numpy(dtype="int64")
-            return pd.Series((table.value[v >> 5] >> (v & 31)) & 1 == 1)
-
-        return hit(F.pmod(F.xxhash64(F.col(col)), F.lit(self.BITS)))
+        words = keys.select(self._bit(col).alias("b")).groupBy(F.shiftright("b", 6).alias("__word"))
+        words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("__bits"))
+        self.words = F.broadcast(Staged(words, "bitmap").df)
+
+    def _bit(self, col: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(col)), F.lit(self.BITS))
+
+    def mark(self, rows: DataFrame, col: str, name: str) -> DataFrame:
+        """`rows` with a boolean column: the key may be among those of the bitmap."""
+        found = rows.join(self.words, F.shiftright(self._bit(col), 6) == F.col("__word"), "left")
+        hit = F.getbit(F.col("__bits"), F.pmod(self._bit(col), F.lit(64)).cast("int")) == 1
+        return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__word", "__bits")
+
+    def keep(self, rows: DataFrame, col: str) -> DataFrame:
+        return self.mark(rows, col, "__hit").where("__hit").drop("__hit")

@@ -157,7 +157,7 @@ class _Join:
         pairs = Staged(pairs.select("a", "b"), "pairs").df
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         known = IdFilter(ids, "doc_id")
-        texts = self.docs.where(known.may_hold("doc_id")).dropDuplicates(["doc_id"])
+        texts = known.keep(self.docs, "doc_id").dropDuplicates(["doc_id"])
         texts = Staged(texts.join(ids, "doc_id", "left_semi"), "pair-texts").df
         joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         return joined.select("a", "b", "ta", "tb").mapInArrow(_verify(self.k, num, den), "a long, b long")
@@ -169,7 +169,7 @@ class _Join:
         firsts = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "n", "pos")).alias("first")).where("c > 1").select("token", "first")
         firsts = Staged(firsts, "first-documents").df
         likely = IdFilter(firsts, "token")
-        shared = Staged(posts.where(likely.may_hold("token")).join(firsts, "token"), "shared-tokens").df
+        shared = Staged(likely.keep(posts, "token").join(firsts, "token"), "shared-tokens").df
         near = shared.where("doc_id != first.doc_id").where(_may_link(F.col("first.n"), F.col("first.pos"), F.col("n"), F.col("pos"), num, den))
         edges = Staged(self.verified(near.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"))), "links").df
         comp = components(edges)
@@ -211,8 +211,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     out = Staged(link(docs, k, num, den), "components").df
     gone = out.where("component_id != doc_id").select("doc_id").distinct()
     named = IdFilter(gone, "doc_id")
-    marked = docs.withColumn("_near", F.coalesce(named.may_hold("doc_id"), F.lit(False)))
-    kept = marked.where("not _near").unionByName(marked.where("_near").join(gone, "doc_id", "left_anti"))
+    marked = named.mark(docs, "doc_id", "__near")
+    kept = marked.where("not __near").unionByName(marked.where("__near").join(gone, "doc_id", "left_anti"))
     return kept.select(*docs.columns)
 
 

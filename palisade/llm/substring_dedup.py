@@ -169,8 +169,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ke
     repeated = Staged(own.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().where("count > 1").select("anchor"), "repeated-anchors").df
     likely = IdFilter(repeated, "anchor")
     found = (
-        own.select("key", "copies", F.explode("anchors").alias("anchor"))
-        .where(likely.may_hold("anchor"))
+        likely.keep(own.select("key", "copies", F.explode("anchors").alias("anchor")), "anchor")
         .join(repeated, "anchor", "left_semi")
         .groupBy("key")
         .agg(F.collect_set("anchor").alias("anchors"), F.max("copies").alias("copies"))
@@ -178,7 +177,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ke
     found = Staged(found, "candidates").df
     near = IdFilter(found, "key")
 
-    texts = keyed.select("key", "text").where(near.may_hold("key")).join(found, "key").select("key", "text", "anchors", "copies")
+    texts = near.keep(keyed.select("key", "text"), "key").join(found, "key").select("key", "text", "anchors", "copies")
     once = (
         texts.mapInArrow(_windows(width, anchor), "w1 long, w2 long, key long, pos long, copies long")
         .groupBy("w1", "w2")
@@ -193,7 +192,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ke
     )
     marks = Staged(marks, "marks").df
     touched = IdFilter(marks, "key")
-    with_hit = keyed.withColumn("hit", touched.may_hold("key"))
+    with_hit = touched.mark(keyed, "key", "hit")
     none = [F.lit(False).alias("whole"), F.lit(None).cast("array<long>").alias("anchors"), F.lit(None).cast("array<long>").alias("once")]
     rows = (
         with_hit.where("hit").join(marks, "key", "left").select("row", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "anchors", "once")

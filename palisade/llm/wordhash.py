@@ -2,7 +2,7 @@
 
 A word's hash is a polynomial in its bytes modulo 2^64 with random coefficients, taken
 from running sums; hashes of k consecutive words come from running sums over words.
-All work is on numpy arrays over some megabytes of text at a time.
+All work is on numpy arrays over CHUNK bytes of text, or one longer text, at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, CHUNK + 1), base & 0xFFFFFFFFFFFFFFFF, dtype=U)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 8 * CHUNK:
+        if n <= 4 * CHUNK:
             _powers[(base, 0)] = have
     return have
 
@@ -89,13 +89,18 @@ def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, coeff: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, U)
-    up = powers(_P, len(raw))[: len(raw)]
-    total = np.zeros(len(raw) + 1, U)
-    np.cumsum(coeff[raw] * up, out=total[1:])
-    down = powers(inverse(_P), len(raw))
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A hash for each word, over some bytes at a time: a word's hash doesn't depend on where it stands."""
+    out, lo = np.zeros(len(starts), U), 0
+    while lo < len(starts):
+        base = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        part = raw[base : ends[hi - 1]]
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(coeff[part] * powers(_P, len(part))[: len(part)], out=total[1:])
+        at = starts[lo:hi] - base
+        out[lo:hi] = mix((total[ends[lo:hi] - base] - total[at]) * powers(inverse(_P), len(part))[at])
+        lo = hi
+    return out
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
