@@ -29,13 +29,13 @@ class Staged:
     """A written table in the shared folder: it cuts lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
+        self.spark, self.schema = df.sparkSession, df.schema  # known: no job to read it from files
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
