@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palisade.llm.jaccard_join import op5_ngram_jaccard_join
 from palisade.llm.language_id import op6_language_id
 from palisade.llm.ogg_media import op4_ogg_media
+from palisade.llm.oracles import OP5_SQL, OP8_SQL
 from palisade.llm.packing import op10_vector_packing
 from palisade.llm.pii_surrogates import op7_pii_surrogates
 from palisade.llm.prefix_bpe import op9_prefix_bpe
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard_join": OP5_SQL, "op8_substring_dedup": OP8_SQL}
