@@ -73,6 +73,26 @@ def search(postings: DataFrame, queries: DataFrame, k: int = 4, key: str = "doc_
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", key, "score", F.round("coverage", 6).alias("coverage"), "rank")
 
 
+def coverage_gate(postings: DataFrame, queries: DataFrame, key: str = "doc_id", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """Per query with a hit: units that share a term, and those that hold enough of its terms."""
+    q = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("q"))
+    q = q.select("query_id", F.size("q").alias("n_terms"), F.explode("q").alias("term"))
+    hits = postings.join(q, "term").groupBy("query_id", key, "n_terms").agg(F.count("*").alias("matched"))
+    passes = (F.col("matched") / F.col("n_terms") >= min_coverage) & ((F.col("n_terms") <= 3) | (F.col("matched") >= 2))
+    return hits.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(passes).alias("passed"))
+
+
+def overlap_search(units: DataFrame, queries: DataFrame, stop: tuple[str, ...], k: int = 4, key: str = "doc_id") -> DataFrame:
+    """Fallback without an index: (query_id, key, overlap, rank) by the share of a query's unstemmed words that a unit holds."""
+    split = lambda: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*stop)))).alias("w")
+    asked = queries.select("query_id", split())
+    size = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = units.select(key, split()).join(asked, "w").groupBy("query_id", key).agg(F.count("*").alias("m")).join(size, "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("m"), key)
+    ranked = hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return ranked.select("query_id", key, F.round(F.col("m") / F.col("n"), 6).alias("overlap"), "rank")
+
+
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean recall, precision, reciprocal rank and hit at 1 over queries with relevant units; silence over the others."""
     want = relevant.groupBy("query_id").agg(F.countDistinct(key).alias("n_relevant"))

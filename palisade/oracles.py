@@ -172,4 +172,35 @@ def oracle_sql() -> dict[str, str]:
         "q63_html_text": r"select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_md5 from pages",
         "q64_agent_suite": "select event_type, count(*) as cases, round(avg(case when event_id % 4 = user_id % 4 then 1.0 else 0.0 end), 6) as routing, round(avg(case when event_id % 3 <> 0 then case when value > 10 then 1.0 else 0.0 end end), 6) as decisions from events group by 1",
         "q65_detection_by_source": f"select source, kind, count(*) as n from ({_FOUR}) group by all",
+        "q22_rail_counts": f"""{_P}, r as (select case when regexp_matches(lower(text), '(^|[^a-z0-9_])(idiot|moron|imbecile|scum|vermin)($|[^a-z0-9_])') then 'mask' else 'pass' end as words, {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} as rules,
+            case when surface in ('user.prompt', 'user.feedback', 'ingest.document', 'agent.data') and {_INJECTION} >= 0.85 then 'block' else 'pass' end as injection from prompts)
+            select rail, verdict, count(*) as n from (unpivot r on words, rules, injection into name rail value verdict) group by all""",
+        "q30_coverage_gate": _BM25 + "select query_id, count(*) as candidates, count(*) filter (where matched / n_terms >= 0.15 and (n_terms <= 3 or matched >= 2)) as passed from hit group by 1",
+        "q31_seed_overlap": """with qw as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:12], ' ')), '[a-z0-9]+'), lambda w: w not in ('a','an','and','the','of','to','in','is')))) as w from benchmark),
+            dw as (select doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w not in ('a','an','and','the','of','to','in','is')))) as w from documents),
+            h as (select query_id, doc_id, count(*) as m from qw join dw using (w) group by all), n as (select query_id, count(*) as n from qw group by 1)
+            select query_id, doc_id, round(m / n, 6) as overlap, row_number() over (partition by query_id order by m desc, doc_id) as rank from h join n using (query_id) qualify rank <= 4""",
+        "q43_policy_floor": f"""with e as (select [{_in(rails.LEVELS)}][1 + event_id % 4] as v, event_id % 3 as f, ['pass','mask','flag','block','escalate','unheard',null][1 + event_id % 7] as act from events),
+            g as (select v, f, act, case when act in ({_in(rails.LEVELS)}, 'escalate') then act else 'block' end as floor from e),
+            o as (select v, case when f = 0 or act is null then v when floor = 'escalate' then floor when {_rank('floor')} > {_rank('v')} then floor else v end as verdict from g)
+            select verdict, verdict <> v as overridden, count(*) as n from o group by all""",
+        "q45_adjudicate_marginal": f"""with e as (select event_id % 101 as s, case when event_id % 101 >= 70 then 'block' else 'pass' end as v, [{_in(rails.LEVELS)}, 'unsure'][1 + event_id % 5] as w, event_id % 10 as c from events),
+            o as (select v, case when abs(s - 70) > 10 or w = 'unsure' then v when {_rank('w')} > {_rank('v')} then w when c >= 8 then [{_in(rails.LEVELS)}][1 + least({_rank('v')}, greatest({_rank('w')}, 1))] else v end as a from e)
+            select v as before, a as after, count(*) as n from o group by all""",
+        "q46_content_breach": """with s as (select event_id, event_id * 7 % 101 / 100 as hate, event_id * 11 % 101 / 100 as insults, event_id * 15 % 101 / 100 as misconduct, event_id * 19 % 101 / 100 as self_harm, event_id * 23 % 101 / 100 as sexual, event_id * 27 % 101 / 100 as violence from events),
+            b as (select event_id, concat_ws(',', case when hate >= 0.5 then 'hate' end, case when insults >= 0.6 then 'insults' end, case when misconduct >= 0.7 then 'misconduct' end, case when self_harm >= 0.4 then 'self_harm' end, case when sexual >= 0.8 then 'sexual' end, case when violence >= 0.9 then 'violence' end) as breached,
+              round(greatest(hate / 0.5, insults / 0.6, misconduct / 0.7, self_harm / 0.4, sexual / 0.8, violence / 0.9), 6) as worst from s)
+            select event_id, case when breached = '' then 'pass' else 'block' end as verdict, breached, worst from b""",
+        "q48_claims": r"""with t as (select conv_id, turn, role, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda c: trim(c)), lambda c: c <> '') as cl from conversations)
+            select a.conv_id, a.turn, cast(len(a.cl) as bigint) as claims, cast(len(list_filter(a.cl, lambda c: len(regexp_extract_all(lower(c), '[a-z0-9]+')) > 0
+              and len(list_intersect(list_distinct(regexp_extract_all(lower(c), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(u.text), '[a-z0-9]+')))) >= 0.1 * len(list_distinct(regexp_extract_all(lower(c), '[a-z0-9]+'))))) as bigint) as supported
+            from t a join t u on a.conv_id = u.conv_id and a.turn = u.turn + 1 where a.role = 'assistant' and u.role = 'user'""",
+        "q58_price_prefix": f"""with u as ({USAGE}), p as (select * from (values {', '.join(map(str, RATES))}) v(prefix, i, o)),
+            m as (select model, coalesce(arg_max(prefix, length(prefix)), '') as prefix, coalesce(arg_max(i, length(prefix)), 0) as i, coalesce(arg_max(o, length(prefix)), 0) as o from (select distinct model from u) left join p on starts_with(model, prefix) group by 1)
+            select model, prefix, count(*) as uses, cast(sum(tokens_in * i + tokens_out * o) as bigint) as micros from u join m using (model) group by all""",
+        "q62_stream_session": """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as fresh from events),
+            s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+            select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, user_id, count(*) as n from s group by user_id, k""",
+        "q67_permission_check": "select c_mktsegment as role, count(*) as users from customer where c_mktsegment in ('BUILDING', 'MACHINERY') group by 1",
+        "q69_two_arm_pivot": f"{_OUTCOMES} select actual as verdict, count(*) filter (where arm = 'a') as arm_a, count(*) filter (where arm = 'b') as arm_b from outcomes group by 1",
     }

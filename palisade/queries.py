@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from palisade.functions import checksums, pii, rails
 from palisade.functions.normalize import change_count, normalize
-from palisade.operators import records, retrieval
+from palisade.operators import decisions, records, retrieval
 from palisade.oracles import oracle_sql  # noqa: F401
 from palisade.plans.evaluate import evaluate, ingest
-from palisade.sources.carriers import prompts, table, turns, usage
+from palisade.sources.carriers import RATES, prompts, table, turns, usage
 from palisade.streaming import windows
 
 FOUR = {"EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS", "PHONE_NUMBER"}
+#: Stop words of the fallback search, permissions by role, thresholds by category.
+SHORT_STOP = ("a", "an", "and", "the", "of", "to", "in", "is")
+GRANTS = (("BUILDING", "chat"), ("BUILDING", "traces"), ("BUILDING", "policy"), ("MACHINERY", "chat"), ("MACHINERY", "traces"), ("FURNITURE", "chat"), ("AUTOMOBILE", "documents"))
+CATEGORIES = {"hate": 0.5, "insults": 0.6, "misconduct": 0.7, "self_harm": 0.4, "sexual": 0.8, "violence": 0.9}
 SCOPE = ("license", "death", "permit", "fee", "claim")
 
 
@@ -332,5 +336,68 @@ def q65_detection_by_source(spark, d):
     return found.groupBy("source", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
+def q22_rail_counts(spark, d):
+    rails_ = ("words", "rules", "injection")
+    out = evaluate(prompts(spark, d)).select(F.explode(F.array(*(F.struct(F.lit(r).alias("rail"), F.col(f"{r}_verdict").alias("verdict")) for r in rails_))).alias("x"))
+    return out.groupBy("x.rail", "x.verdict").agg(F.count("*").alias("n"))
+
+
+def q30_coverage_gate(spark, d):
+    return retrieval.coverage_gate(retrieval.index(_docs(spark, d)), _queries(spark, d))
+
+
+def q31_seed_overlap(spark, d):
+    return retrieval.overlap_search(_docs(spark, d), _queries(spark, d), SHORT_STOP)
+
+
+def q43_policy_floor(spark, d):
+    level = F.get(F.array(*map(F.lit, rails.LEVELS)), (F.col("event_id") % 4).cast("int"))
+    action = F.get(F.array(*map(F.lit, ("pass", "mask", "flag", "block", "escalate", "unheard", None))), (F.col("event_id") % 7).cast("int"))
+    out = decisions.policy_floor(level, F.col("event_id") % 3, action)
+    return table(spark, d, "events").select(out.alias("o")).groupBy("o.verdict", "o.overridden").agg(F.count("*").alias("n"))
+
+
+def q45_adjudicate_marginal(spark, d):
+    levels = F.array(*map(F.lit, (*rails.LEVELS, "unsure")))
+    score = (F.col("event_id") % 101) / 100
+    verdict = F.when(score >= 0.7, "block").otherwise("pass")
+    second = F.get(levels, (F.col("event_id") % 5).cast("int"))
+    out = decisions.adjudicate(verdict, score, 0.7, 0.1, second, (F.col("event_id") % 10) / 10, 0.8)
+    return table(spark, d, "events").groupBy(verdict.alias("before"), out.alias("after")).agg(F.count("*").alias("n"))
+
+
+def q46_content_breach(spark, d):
+    scores = {c: (F.col("event_id") * (7 + 4 * i) % 101) / 100 for i, c in enumerate(CATEGORIES)}
+    return table(spark, d, "events").select("event_id", decisions.content_breach(scores, CATEGORIES).alias("b")).select("event_id", "b.*")
+
+
+def q48_claims(spark, d):
+    c = table(spark, d, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", "turn", decisions.claims(F.col("text")).alias("claims"))
+    u = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
+    return a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", F.size("claims").cast("long").alias("claims"), decisions.supported(F.col("claims"), F.col("text"), 0.1).cast("long").alias("supported"))
+
+
+def q58_price_prefix(spark, d):
+    prices = spark.createDataFrame(RATES, "prefix string, rate_in int, rate_out int")
+    out = decisions.priced(usage(spark, d), prices)
+    return out.groupBy("model", "prefix").agg(F.count("*").alias("uses"), F.sum(F.col("tokens_in") * F.col("rate_in") + F.col("tokens_out") * F.col("rate_out")).alias("micros"))
+
+
+def q62_stream_session(spark, d):
+    return _streamed(spark, d, windows.by_session).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
+
+
+def q67_permission_check(spark, d):
+    users = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("role"))
+    grants = spark.createDataFrame(GRANTS, "role string, permission string")
+    return decisions.allowed(users, grants, "traces").groupBy("role").agg(F.count("*").alias("users"))
+
+
+def q69_two_arm_pivot(spark, d):
+    out = _outcomes(spark, d).groupBy("actual").pivot("arm", ["a", "b"]).agg(F.count("case_id"))
+    return out.select(F.col("actual").alias("verdict"), F.coalesce("a", F.lit(0)).cast("long").alias("arm_a"), F.coalesce("b", F.lit(0)).cast("long").alias("arm_b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("q") and k[1:3].isdigit()}

@@ -1,12 +1,14 @@
 """Every query runs on the smallest tables; those with SQL agree with DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from palisade.queries import oracle_sql, queries
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUERY_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
