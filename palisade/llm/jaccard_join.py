@@ -13,7 +13,7 @@ is lost. The order of n-grams comes from counts over all documents in a table of
 size; ties are ordered by hash. Any total order gives the same result.
 
 Null or empty texts have no shingles and link with nothing; a null doc_id takes no part
-and gets a null component. Rows that share a doc_id count as one document.
+and gets a null component. Rows that share a doc_id count as one document, except in `keep_one`.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import wordhash as wh
-from palisade.llm.common import IdFilter, Staged, read, small_batches
+from palisade.llm.common import BLANKS, IdFilter, Staged, read, small_batches
 from palisade.llm.components import components
 
 RANKS = 1 << 18
@@ -204,17 +204,48 @@ def link(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     return full.unionByName(empty)
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """`docs` without all but the document of least doc_id in each group of linked ones.
+def _repeats(docs: DataFrame, null_ids: bool) -> bool:
+    """Some doc_id is in several rows, or null ids are to be joined and there are some."""
+    if null_ids and docs.where("doc_id is null").limit(1).count():
+        return True
+    return docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(__key, text, row): one row for each doc_id and text, that of least fingerprint among repeats.
+    Keys are in the order of doc_id, null ones last, then of the text's hash."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"), F.sha2(F.to_json(F.struct(*docs.columns)), 256).alias("print"), F.struct(*docs.columns).alias("row"))
+    one = rows.groupBy("id", "h").agg(F.min_by("row", "print").alias("row"))
+    order = [F.asc_nulls_last("id"), F.asc_nulls_first("h")]
+    one = one.repartitionByRange(*order).sortWithinPartitions(*order)
+    return Staged(one.select(F.monotonically_increasing_id().alias("__key"), F.col("row.text").alias("text"), "row"), "keyed").df
+
 
-    Rows that repeat a kept doc_id are one row; a null doc_id is kept."""
-    out = Staged(link(docs, k, num, den), "components").df
-    gone = out.where("component_id != doc_id").select("doc_id").distinct()
-    named = IdFilter(gone, "doc_id")
-    marked = named.mark(docs, "doc_id", "__near")
-    kept = marked.where("not __near").unionByName(marked.where("__near").join(gone, "doc_id", "left_anti"))
+def _first_of_linked(docs: DataFrame, key: str, k: int, num: int, den: int) -> DataFrame:
+    """`docs` without the rows whose key is not the least of its component."""
+    out = Staged(link(docs.select(F.col(key).alias("doc_id"), "text"), k, num, den), "components").df
+    gone = out.where("component_id != doc_id").select(F.col("doc_id").alias(key)).distinct()
+    named = IdFilter(gone, key)
+    marked = named.mark(docs, key, "__near")
+    kept = marked.where("not __near").unionByName(marked.where("__near").join(gone, key, "left_anti"))
     return kept.select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, null_ids: bool = False) -> DataFrame:
+    """`docs` without all but the document of least doc_id in each group of linked ones.
+
+    Rows that repeat a doc_id and its text are one row; other texts under the same doc_id are
+    documents of their own, so no text goes that has no copy among those kept. Rows with a null
+    doc_id are all kept, or, with `null_ids`, join the groups behind all rows that have an id;
+    those without words link with nothing and stay."""
+    if not _repeats(docs, null_ids):
+        return _first_of_linked(docs, "doc_id", k, num, den)
+    joins = F.col("doc_id").isNotNull()
+    if null_ids:
+        joins = joins | F.coalesce(F.col("text").rlike(f"[^{BLANKS}]"), F.lit(False))
+    kept = _first_of_linked(_keyed(docs.where(joins)), "__key", k, num, den)
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns)).unionByName(docs.where(~joins))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "documents"), k=4, num=85, den=100)
