@@ -63,7 +63,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rows[label] += 1
             counts[label][np.unique(ngrams(text))] += 1
-    at = np.flatnonzero(counts[0] + counts[1] > 1)
+    at = np.flatnonzero(counts[0] + counts[1])  # rare ones too: other tasks may have them
     whole = [pa.array([-1]), pa.array(rows[:1]), pa.array(rows[1:])]
     yield pa.RecordBatch.from_arrays(whole, ["feature", "neg", "pos"])
     for i in range(0, len(at), BLOCK):
@@ -71,6 +71,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], ["feature", "neg", "pos"])
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """(feature, neg, pos) over all `rows` (text, toxic), whatever their partitions; feature -1 counts the rows."""
+    return rows.mapInArrow(_counts, "feature long, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+
+
 def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps on presence * ratio, over blocks of entries."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -101,8 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(max_rows)
     rows = Staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample").df
-    counts = rows.mapInArrow(_counts, "feature long, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = Staged(counts.where("feature = -1 or neg + pos >= 4"), "toxicity-counts").df
+    counts = Staged(totals(rows).where("feature = -1 or neg + pos >= 4"), "toxicity-counts").df
     whole = counts.where("feature = -1").first()
     neg, pos = (float(whole[k]) if whole else 0.0 for k in ("neg", "pos"))
     weight = np.zeros(1 << BITS)
