@@ -1,14 +1,14 @@
 """PII surrogates: detected entities get keyed replacements of the same type and format.
 
-Kinds: email, iban, card, ssn, ipv4, phone, name (a title or courtesy form with a
-capitalised name). A replacement comes from a SHA-512 of the key, the kind, the
+Kinds: email, iban, card, ssn, ipv4, phone (7 to 15 digits that are no date, span of years
+or list of numbers), name (a title or courtesy form with capitalised names or initials). A replacement comes from a SHA-512 of the key, the kind, the
 normalised value and an attempt number: digits give digits, letters give letters of the
 same script and case, separators stay; card numbers that pass the Luhn check go on
 passing, octets keep their width, an e-mail domain always maps to the same domain, a
 surname to the same surname, and a name's ending follows its title's gender and script.
 Equal values so have equal replacements everywhere (coreference). Collision check: over
 the distinct values of the corpus, where two values of a kind share a replacement or one
-equals an original value, all but the least get the next attempt until none is left;
+equals an original value, or a phone turned into a date or list, all but the least get the next attempt until none is left;
 those exceptional values are joined to the texts that hold them.
 
 Null texts stay null, empty ones empty. Rows with equal texts get equal results. Other
@@ -27,14 +27,30 @@ KINDS = ("email", "iban", "ssn", "ipv4", "card", "phone", "name")
 MALE = r"Mr|Sir|Lord|Herrn?|Monsieur|Se[ñn]or|Sr|Signor|Don|господин|г-н|κύριος"
 FEMALE = r"Mrs|Ms|Miss|Madam|Lady|Frau|Fr[äa]ulein|Madame|Mme|Mlle|Mademoiselle|Se[ñn]ora|Se[ñn]orita|Sra|Srta|Signora|Do[ñn]a|госпожа|г-жа|κυρία"
 OPEN = r"Dr|Prof|Doctor|Professor"
+_DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+#: What digits may be besides phones: dates, spans of years, lists of numbers.
+DATE = rf"(?:{_YEAR}[ ./-]{_MONTH}[ ./-]{_DAY}|{_DAY}[ ./-]{_DAY}[ ./-]{_YEAR}|{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])|{_YEAR}[ -]{_YEAR})(?![0-9])"
+LIST = r"(?:[0-9]{2}(?: [0-9]{2})+|[0-9]{3}(?: [0-9]{3}){3,}|[0-9]{4}(?: [0-9]{4})+|[0-9]+0(?: [0-9]+0)+)(?![ .-]?[0-9])"
+#: At least 7 digits each: with a country's prefix, an area in brackets, a leading 0, in one piece, in two, in more.
+_PHONES = (
+    r"\+[0-9](?:[ ./-]?[0-9]|[ ./-]?\([0-9]{1,4}\)){6,14}",
+    r"\([0-9]{2,5}\)[ -]?(?:[0-9]{5,10}|[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4}|[0-9]{3,4}[ .-][0-9]{2,8}|[0-9]{2}[ .-][0-9]{3,8})",
+    rf"(?!{DATE})0[0-9]{{1,5}}(?:[ /-][0-9]{{5,10}}|(?:[ .-][0-9]{{2,4}}){{3,5}}|[ /-][0-9]{{3,4}}[ .-][0-9]{{2,8}})",
+    rf"(?!{DATE})(?!{LIST})(?:[0-9]{{7,15}}|[0-9]{{2,4}}-[0-9]{{5,11}}|[0-9]{{3,4}}-[0-9]{{4}}|[0-9]{{2,5}} [0-9]{{6,10}})",
+    rf"(?!{DATE})(?!{LIST})(?:1[ .-])?(?:(?:[0-9]{{2,4}}[ .-]){{3,5}}[0-9]{{2,4}}|[0-9]{{3,4}}[ .-][0-9]{{2,4}}[ .-][0-9]{{2,8}}|[0-9]{{2}}[ .-][0-9]{{3,4}}[ .-][0-9]{{2,8}}|[0-9]{{2}}[ .-][0-9]{{2}}[ .-][0-9]{{3,8}})",
+)
+#: Words of names with inner capitals, hyphens and apostrophes (but no possessive s), initials, and particles before words.
+_WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))*"
+_LINK = r"(?:(?:von|van|de|der|den|del|della|di|da|dos|la|le|du|zu|zur|ter|bin|ibn|al)\x20)*"
+_PART = rf"{_LINK}(?:\p{{Lu}}\.(?=\x20{_LINK}\p{{Lu}})|{_WORD})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![\p{L}0-9])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}0-9])",
-    "phone": r"(?<![\p{L}0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![\p{L}0-9])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.?\x20\p{{Lu}}[\p{{Ll}}'’-]+(?:\x20\p{{Lu}}[\p{{Ll}}'’-]+)?(?!\p{{L}})",
+    "phone": rf"(?<![\p{{L}}0-9+])(?<![0-9][.,:/-])(?:{'|'.join(_PHONES)})(?![\p{{L}}0-9])",
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.?\x20{_PART}(?:\x20{_PART})*(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Letters by script, small and capital, in the same order; accented Latin letters turn into plain ones.
@@ -46,7 +62,14 @@ def _kind(value: Column) -> Column:
     out = F.when(F.lit(False), "")
     for k in KINDS:
         out = out.when(value.rlike(f"^(?:{PATTERNS[k]})$"), k)
-    return out.otherwise("name")
+    # what follows a match in its text may have decided how long it is
+    return out.otherwise(F.when(value.rlike(r"^\p{L}"), "name").otherwise("phone"))
+
+
+def _ambiguous(kind: Column, value: Column, put: Column) -> Column:
+    """A phone's replacement that reads as a date or a list."""
+    phone = f"^(?:{PATTERNS['phone']})$"
+    return (kind == "phone") & value.rlike(phone) & ((_kind(put) != "phone") | ~put.rlike(phone))
 
 
 def _noise(*parts: Column | str) -> Column:
@@ -90,7 +113,7 @@ def _ipv4(value: Column, noise: Column) -> Column:
 
 
 def _name(value: Column, key: str, attempt: Column) -> Column:
-    """Title kept; the last word is the surname, a word before it the given name."""
+    """Title and particles kept; the last word is the surname, those before it given names or initials."""
     words = F.split(value, " ")
     gender = F.when(value.rlike(rf"^(?:{FEMALE})[. ]"), "f").when(value.rlike(rf"^(?:{MALE})[. ]"), "m").otherwise("o")
     cyrillic, greek = value.rlike(r"\p{IsCyrillic}$"), value.rlike(r"\p{IsGreek}$")
@@ -102,8 +125,12 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
 
     ending = F.when(gender == "f", F.when(cyrillic, "на").when(greek, "να").otherwise("na")).when(gender == "m", F.when(cyrillic, "н").when(greek, "ς").otherwise("n")).otherwise("")
     surname = made(_noise(key, "surname", F.lower(F.element_at(words, -1)), attempt.cast("string")), F.lit(""))
-    given = made(_noise(key, "given", gender, F.lower(F.get(words, F.lit(1))), attempt.cast("string")), ending)
-    return F.concat_ws(" ", F.get(words, F.lit(0)), F.when(F.size(words) > 2, given), surname)
+    def given(w: Column) -> Column:
+        noise = _noise(key, "given", gender, F.lower(w), attempt.cast("string"))
+        return F.when(w.rlike(r"^\p{Ll}"), w).when(w.rlike(r"^\p{Lu}\.$"), _reshaped(w, noise)).otherwise(made(noise, ending))
+
+    return F.array_join(F.concat(F.slice(words, 1, 1), F.transform(F.slice(words, 2, F.size(words) - 2), given), F.array(surname)), " ")
+
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
@@ -125,7 +152,8 @@ def exceptions(values: DataFrame, key: str = KEY) -> DataFrame:
         least = table.groupBy("kind", "s").agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("attempt").alias("a")).where("n > 1").select("kind", "s", "first")
         shared = table.join(least, ["kind", "s"]).where("value != first").select("kind", "value")
         taken = table.join(originals, ["kind", "s"], "left_semi").select("kind", "value")
-        again = Staged(shared.unionByName(taken).distinct(), "collisions").df
+        unclear = table.where(_ambiguous(F.col("kind"), F.col("value"), F.col("s"))).select("kind", "value")
+        again = Staged(shared.unionByName(taken).unionByName(unclear).distinct(), "collisions").df
         if not again.limit(1).count():
             return table.where("attempt > 0").select("kind", "value", "attempt")
         bumped = table.join(again.withColumn("more", F.lit(1)), ["kind", "value"], "left")
