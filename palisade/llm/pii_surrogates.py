@@ -1,18 +1,28 @@
 """PII surrogates: detected entities get keyed replacements of the same type and format.
 
 Kinds: email, iban, card, ssn, ipv4, phone (7 to 15 digits that are no date, span of years
-or list of numbers), name (a title or courtesy form with capitalised names or initials). A replacement comes from a SHA-512 of the key, the kind, the
-normalised value and an attempt number: digits give digits, letters give letters of the
-same script and case, separators stay; card numbers that pass the Luhn check go on
-passing, octets keep their width, an e-mail domain always maps to the same domain, a
-surname to the same surname, and a name's ending follows its title's gender and script.
-Equal values so have equal replacements everywhere (coreference). Collision check: over
-the distinct values of the corpus, where two values of a kind share a replacement or one
-equals an original value, or a phone turned into a date or list, all but the least get the next attempt until none is left;
-those exceptional values are joined to the texts that hold them.
+or list of numbers), name (a title or courtesy form with capitalised names or initials).
+
+An entity is made of parts, and each distinct part has one replacement: an e-mail's domain
+and its local part within the domain, a name's given names and surname, or the normalised
+number (digits, or an IBAN's letters and digits), which is then poured into the separators
+of each place. A replacement comes from a SHA-512 of the key, the kind of part, the
+normalised value and an attempt number. Type consistency: cards that pass the Luhn check
+go on passing, IBANs keep country and modulo 97, social security numbers stay assignable,
+phones keep country code and leading zeros, octets keep their width, letters keep script
+and case, given names follow the title's gender and the word's script.
+
+Coreference: equal parts have equal replacements everywhere, so one number in two ways of
+writing, or one surname under two titles, stays one; a name's words that stand alone in the
+same text are replaced alike. Distinctness: over the distinct parts of the corpus, where two
+of a kind share a replacement, or one equals an original (given names excepted, they never
+stand for a person alone), or a phone turned into a date or list, all but the least get the
+next attempt until none is left; those attempts are joined to the texts that hold the parts.
 
 Null texts stay null, empty ones empty. Rows with equal texts get equal results. Other
-columns, whatever their names, pass through unchanged.
+columns, whatever their names, pass through unchanged; an input column `n_entities` is
+replaced. An empty table gives an empty table. No repetition in a pattern recurses, so texts
+and matches may have any length.
 """
 
 from __future__ import annotations
@@ -20,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions import checksums
 from palisade.llm.common import Staged, read
 
-KEY = "palisade-surrogates"  # a parameter of every function below
+#: The query's key. A deployment passes its own secret to `replace`.
+QUERY_KEY = "op7 query key, not a secret"
 KINDS = ("email", "iban", "ssn", "ipv4", "card", "phone", "name")
 MALE = r"Mr|Sir|Lord|Herrn?|Monsieur|Se[ñn]or|Sr|Signor|Don|господин|г-н|κύριος"
 FEMALE = r"Mrs|Ms|Miss|Madam|Lady|Frau|Fr[äa]ulein|Madame|Mme|Mlle|Mademoiselle|Se[ñn]ora|Se[ñn]orita|Sra|Srta|Signora|Do[ñn]a|госпожа|г-жа|κυρία"
@@ -30,7 +42,9 @@ OPEN = r"Dr|Prof|Doctor|Professor"
 _DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 #: What digits may be besides phones: dates, spans of years, lists of numbers.
 DATE = rf"(?:{_YEAR}[ ./-]{_MONTH}[ ./-]{_DAY}|{_DAY}[ ./-]{_DAY}[ ./-]{_YEAR}|{_YEAR}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])|{_YEAR}[ -]{_YEAR})(?![0-9])"
-LIST = r"(?:[0-9]{2}(?: [0-9]{2})+|[0-9]{3}(?: [0-9]{3}){3,}|[0-9]{4}(?: [0-9]{4})+|[0-9]+0(?: [0-9]+0)+)(?![ .-]?[0-9])"
+_EQUAL = ("[0-9]{2}(?: [0-9]{2})", "[0-9]{3}(?: [0-9]{3}){2}(?: [0-9]{3})", "[0-9]{4}(?: [0-9]{4})", "[0-9]{1,15}0(?: [0-9]{1,15}0)")
+#: A list of 16 numbers is one whatever follows; so no place looks farther ahead.
+LIST = f"(?:(?:{'|'.join(p + '{1,15}+' for p in _EQUAL)})(?![ .-]?[0-9])|{'|'.join(p + '{15}' for p in _EQUAL)})"
 #: At least 7 digits each: with a country's prefix, an area in brackets, a leading 0, in one piece, in two, in more.
 _PHONES = (
     r"\+[0-9](?:[ ./-]?[0-9]|[ ./-]?\([0-9]{1,4}\)){6,14}",
@@ -39,22 +53,63 @@ _PHONES = (
     rf"(?!{DATE})(?!{LIST})(?:[0-9]{{7,15}}|[0-9]{{2,4}}-[0-9]{{5,11}}|[0-9]{{3,4}}-[0-9]{{4}}|[0-9]{{2,5}} [0-9]{{6,10}})",
     rf"(?!{DATE})(?!{LIST})(?:1[ .-])?(?:(?:[0-9]{{2,4}}[ .-]){{3,5}}[0-9]{{2,4}}|[0-9]{{3,4}}[ .-][0-9]{{2,4}}[ .-][0-9]{{2,8}}|[0-9]{{2}}[ .-][0-9]{{3,4}}[ .-][0-9]{{2,8}}|[0-9]{{2}}[ .-][0-9]{{2}}[ .-][0-9]{{3,8}})",
 )
+#: Country calling codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Words of names with inner capitals, hyphens and apostrophes (but no possessive s), initials, and particles before words.
-_WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))*"
-_LINK = r"(?:(?:von|van|de|der|den|del|della|di|da|dos|la|le|du|zu|zur|ter|bin|ibn|al)\x20)*"
+_INNER = r"(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))*+"
+_WORD = rf"\p{{Lu}}{_INNER}"
+_LINK = r"(?:(?:von|van|de|der|den|del|della|di|da|dos|la|le|du|zu|zur|ter|bin|ibn|al)\x20)*+"
 _PART = rf"{_LINK}(?:\p{{Lu}}\.(?=\x20{_LINK}\p{{Lu}})|{_WORD})"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![\p{L}0-9])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}0-9])",
     "phone": rf"(?<![\p{{L}}0-9+])(?<![0-9][.,:/-])(?:{'|'.join(_PHONES)})(?![\p{{L}}0-9])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.?\x20{_PART}(?:\x20{_PART})*(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.?\x20{_PART}(?:\x20{_PART})*+(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Letters by script, small and capital, in the same order; accented Latin letters turn into plain ones.
-SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+_TOKEN = rf"\p{{L}}{_INNER}|[^\p{{L}}]++"
+#: Letters by script, small and capital in the same order; accented Latin letters, and those of scripts not here, turn into plain Latin ones.
+LETTERS = {
+    "Cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも",
+    "Han": "山川水火木金土田石林花草春夏秋冬東西南北天地日月星雲風雨雪海",
+    "Latin": "abcdefghijklmnopqrstuvwxyz",
+}
+#: Given names by script and gender (names in use for both under "o").
+GIVEN = {
+    ("Latin", "m"): "Adam Albert Andrew Anton Arthur Bernard Charles Daniel David Edgar Edward Felix Francis Frederick George Gregory Harold Henry Hugo Jacob James Joseph Julian Leon Louis Marcus Martin Matthew Michael Nathan Oliver Oscar Patrick Paul Peter Philip Ralph Robert Samuel Simon Stephen Theodore Thomas Victor Vincent Walter William",
+    ("Latin", "f"): "Ada Agnes Alice Amelia Anna Beatrice Bertha Caroline Catherine Cecilia Charlotte Clara Diana Dorothy Edith Eleanor Elizabeth Emily Emma Esther Eva Florence Frances Gertrude Grace Hannah Helen Ida Irene Jane Josephine Julia Laura Lucy Margaret Martha Mary Matilda Nora Olivia Rachel Rose Ruth Sarah Sophia Theresa Victoria",
+    ("Latin", "o"): "Alexis Andrea Ariel Avery Camille Casey Charlie Dominique Eden Francis Gabriele Jamie Jean Jordan Kim Leslie Lou Marion Morgan Nicola Noel Robin Sascha Sidney Taylor Toni",
+    ("Cyrillic", "m"): "Александр Алексей Андрей Антон Артём Борис Вадим Валентин Виктор Виталий Владимир Георгий Григорий Денис Дмитрий Егор Захар Кирилл Константин Максим Николай Олег Павел Роман Сергей Степан Тимофей Юрий",
+    ("Cyrillic", "f"): "Алина Ангелина Анна Антонина Арина Валентина Галина Диана Екатерина Елена Жанна Зарина Инна Ирина Карина Кристина Марианна Марина Милана Нина Полина Регина Светлана Татьяна Ульяна Эвелина Яна",
+    ("Greek", "m"): "Αλέξανδρος Ανδρέας Αντώνης Βασίλης Γιώργος Γιάννης Δημήτρης Ηλίας Θωμάς Κώστας Λεωνίδας Μάριος Μιχάλης Νίκος Παύλος Πέτρος Σπύρος Στέφανος Χρήστος",
+    ("Greek", "f"): "Αγγελική Άννα Βασιλική Γεωργία Δήμητρα Ειρήνη Ελένη Ευαγγελία Ιωάννα Κατερίνα Μαρία Μαρίνα Νίκη Όλγα Παναγιώτα Σοφία Φωτεινή Χριστίνα",
+}
+#: Beginnings, middles and endings that surnames are put together from, by script.
+SURNAME = {
+    "Latin": (
+        "Alder Ash Barn Birch Black Brad Brook Carl Clay Cole Crom Dal Den East Ed Elm Fair Farn Gold Green Hal Ham Hart Haw Hill Hol Kel Kirk Lang Lind Marl Mil Nor Oak Old Pem Pres Red Rock Rose Sand Shel Stan Stock Sutter Thorn Wal War West White Wil Win Wood York".split(),
+        "ba ve go da se ki la mi no ra so ti".split(),
+        "man son berg ton ley well worth stein ford field wick by dale more ner gate".split(),
+    ),
+    "Cyrillic": (
+        "Алт Бел Бор Вер Вол Гор Гром Дол Дуб Ель Жар Звез Зим Кал Кам Кед Клен Лес Лип Луг Мед Мор Нов Озер Ос Пол Род Руч Сад Сев Сос Степ Тих Холм Яс".split(),
+        "ба ве го да за ки ла ми но ра со ти".split(),
+        "ов ев ин ков анов иков инов аров".split(),
+    ),
+    "Greek": (
+        "Αλεξ Ανδρ Βασιλ Γεωργ Δημ Θεοδ Καλ Καρ Κωνστ Λαμπρ Μακρ Μαρ Νικολ Παπ Παυλ Πετρ Σαρρ Σταυρ Τριαντ Φιλ Χρυσ".split(),
+        "βα γε δο ζα κι λα μι νο ρα σο τι πε".split(),
+        "ίδης άκης όπουλος άτος έας ίκος ούρης ιάδης".split(),
+    ),
+}
 ROUNDS = 50
 
 
@@ -66,29 +121,28 @@ def _kind(value: Column) -> Column:
     return out.otherwise(F.when(value.rlike(r"^\p{L}"), "name").otherwise("phone"))
 
 
-def _ambiguous(kind: Column, value: Column, put: Column) -> Column:
-    """A phone's replacement that reads as a date or a list."""
+def _ambiguous(value: Column, put: Column) -> Column:
+    """A phone's replacement that reads as a date, a list or another kind."""
     phone = f"^(?:{PATTERNS['phone']})$"
-    return (kind == "phone") & value.rlike(phone) & ((_kind(put) != "phone") | ~put.rlike(phone))
+    return value.rlike(phone) & ((_kind(put) != "phone") | ~put.rlike(phone))
 
 
 def _noise(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(F.lit(p) if isinstance(p, str) else p for p in parts)), 512)
 
 
-def _draw(noise: Column, i: Column, below: int) -> Column:
+def _draw(noise: Column, i: Column | int, below: Column | int) -> Column:
     """The i-th number below `below` that the noise gives; it repeats after 31 places."""
-    return F.pmod(F.conv(F.substr(noise, F.pmod(i, F.lit(31)) * 4 + 1, F.lit(4)), 16, 10).cast("long"), F.lit(below)).cast("int")
+    i, below = (F.lit(x) if isinstance(x, int) else x for x in (i, below))
+    return F.pmod(F.conv(F.substr(noise, F.pmod(i, F.lit(31)) * 4 + 1, F.lit(4)), 16, 10).cast("long"), below).cast("int")
 
 
 def _letter(c: Column, i: Column, noise: Column) -> Column:
     out = F.when(c.rlike("[0-9]"), _draw(noise, i, 10).cast("string"))
-    for s in (SCRIPTS[1], SCRIPTS[2], SCRIPTS[0]):
-        place = _draw(noise, i, len(s)) + 1
-        small, big = rf"[{s}]", rf"[{s.upper()}]"
-        if s == SCRIPTS[0]:
-            small, big = r"(?=\p{IsLatin})\p{Ll}", r"(?=\p{IsLatin})\p{Lu}"
-        out = out.when(c.rlike(small), F.substr(F.lit(s), place, F.lit(1))).when(c.rlike(big), F.substr(F.lit(s.upper()), place, F.lit(1)))
+    for script, letters in LETTERS.items():
+        of = r"\p{L}" if script == "Latin" else rf"\p{{Is{script}}}"
+        place = _draw(noise, i, len(letters)) + 1
+        out = out.when(c.rlike(rf"(?={of})\p{{Lu}}"), F.substr(F.lit(letters.upper()), place, F.lit(1))).when(c.rlike(rf"(?={of})\p{{L}}"), F.substr(F.lit(letters), place, F.lit(1)))
     return out.otherwise(c)
 
 
@@ -97,14 +151,53 @@ def _reshaped(value: Column, noise: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: _letter(c, i, noise)), "")
 
 
-def _card(value: Column, noise: Column) -> Column:
-    body = F.concat(F.regexp_replace(_reshaped(F.substr(value, F.lit(1), F.length(value) - 1), noise), "^0", "4"))
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    first = _draw(noise, F.lit(30), 10)
+def _poured(number: Column, value: Column) -> Column:
+    """The digits and letters of `number` in the places of those of `value`."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    done = F.aggregate(
+        F.split(value, ""), start,
+        lambda a, c: F.when(c.rlike("[A-Za-z0-9]"), F.struct(F.concat(a["out"], F.substr(number, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+    )
+    return done["out"]
+
+
+def _digits(count: int, number: Column) -> Column:
+    return F.lpad(number.cast("string"), count, "0")
+
+
+def _card(n: Column, noise: Column) -> Column:
+    """The first digit stays, the last keeps what the Luhn check says."""
+    body = F.concat(F.substr(n, F.lit(1), F.lit(1)), _reshaped(F.substr(n, F.lit(2), F.length(n) - 2), noise))
+    first = _draw(noise, 30, 10)
     last = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.pmod(d + first, F.lit(10)).cast("string"))
     luhn = lambda c: F.call_function("luhn_check", c)
-    fits = F.filter(last, lambda d: luhn(F.concat(digits(body), d)) == luhn(digits(value)))
-    return F.concat(body, F.get(fits, F.lit(0)))
+    return F.concat(body, F.get(F.filter(last, lambda d: luhn(F.concat(body, d)) == luhn(n)), F.lit(0)))
+
+
+def _iban(n: Column, noise: Column) -> Column:
+    """Country kept; the check digits make the modulo what it was: 1 for valid ones, else not 1."""
+    country, body = F.substr(n, F.lit(1), F.lit(2)), _reshaped(F.substr(n, F.lit(5)), noise)
+    chars = F.split(F.concat(body, country, F.lit("00")), "")
+    number = F.transform(chars, lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.try_cast("int")))
+    rest = F.aggregate(number, F.lit(0), lambda a, x: F.when(x > 9, (a * 100 + x) % 97).otherwise((a * 10 + x) % 97))
+    valid = 98 - rest
+    check = F.when(checksums.iban(n), valid).otherwise(F.pmod(valid + 1 + _draw(noise, 29, 90), F.lit(97)))
+    return F.concat(country, _digits(2, check), body)
+
+
+def _ssn(n: Column, noise: Column) -> Column:
+    """Assignable numbers stay assignable."""
+    area = 1 + _draw(noise, 0, 898)
+    good = F.concat(_digits(3, F.when(area >= 666, area + 1).otherwise(area)), _digits(2, 1 + _draw(noise, 1, 99)), _digits(4, 1 + _draw(noise, 2, 9999)))
+    return F.when(checksums.ssn(n), good).otherwise(_reshaped(n, noise))
+
+
+def _phone(n: Column, noise: Column) -> Column:
+    """Country code and leading zeros kept; the first digit behind them isn't 0."""
+    head = F.regexp_extract(n, rf"(?:{COUNTRY})?0*", 0)
+    rest = F.substr(n, F.length(head) + 1)
+    put = F.concat((1 + _draw(noise, 30, 9)).cast("string"), _reshaped(F.substr(rest, F.lit(2)), noise))
+    return F.regexp_replace(F.concat(head, F.when(rest == "", "").otherwise(put)), r"\+", "")
 
 
 def _ipv4(value: Column, noise: Column) -> Column:
@@ -112,79 +205,144 @@ def _ipv4(value: Column, noise: Column) -> Column:
     return F.array_join(F.transform(F.split(value, r"\."), lambda p, i: octet(p, i).cast("string")), ".")
 
 
-def _name(value: Column, key: str, attempt: Column) -> Column:
-    """Title and particles kept; the last word is the surname, those before it given names or initials."""
-    words = F.split(value, " ")
-    gender = F.when(value.rlike(rf"^(?:{FEMALE})[. ]"), "f").when(value.rlike(rf"^(?:{MALE})[. ]"), "m").otherwise("o")
-    cyrillic, greek = value.rlike(r"\p{IsCyrillic}$"), value.rlike(r"\p{IsGreek}$")
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}$"), "Cyrillic").when(word.rlike(r"\p{IsGreek}$"), "Greek").otherwise("Latin")
+
+
+def _one(words: list[str], noise: Column, i: int) -> Column:
+    return F.get(F.array(*map(F.lit, words)), _draw(noise, i, len(words)))
+
+
+def _middle(script: str, noise: Column, count: Column) -> Column:
+    of = F.array(*map(F.lit, SURNAME[script][1]))
+    return F.when(count < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.get(of, _draw(noise, i + 3, 12))), ""))
+
+
+def _surname(script: str, noise: Column, attempt: Column) -> Column:
+    """One more syllable for each attempt."""
+    begin, _, end = SURNAME[script]
+    return F.concat(_one(begin, noise, 0), _middle(script, noise, attempt), _one(end, noise, 1))
+
+
+def _given(script: str, gender: str, noise: Column, attempt: Column) -> Column:
+    """A name of the table, at the next attempt two, then one with more and more syllables."""
+    names = (GIVEN.get((script, gender)) or f"{GIVEN[script, 'm']} {GIVEN[script, 'f']}").split()
+    more = F.when(attempt == 1, _one(names, noise, 2)).otherwise(F.initcap(_middle(script, noise, attempt + 1)))
+    return F.when(attempt == 0, _one(names, noise, 0)).otherwise(F.concat_ws("-", _one(names, noise, 0), more))
+
+
+def _masculine(word: Column) -> Column:
+    """A surname as it is compared: a Slavic feminine ending counts as the masculine one."""
+    return F.regexp_replace(F.lower(word), "(?<=[оеё]в|ин)а$", "")
 
-    def made(noise: Column, ends: Column) -> Column:
-        syllables = F.when(cyrillic, F.array(*map(F.lit, "ба ве го да за ки ла ми но ра со ти".split()))).when(greek, F.array(*map(F.lit, "βα γε δο ζα κι λα μι νο ρα σο τι πε".split()))).otherwise(F.array(*map(F.lit, "ba ve go da za ki la mi no ra so ti".split())))
-        body = F.array_join(F.transform(F.sequence(F.lit(0), 3 + attempt), lambda i: F.get(syllables, _draw(noise, i, 12))), "")
-        return F.initcap(F.concat(body, ends))
 
-    ending = F.when(gender == "f", F.when(cyrillic, "на").when(greek, "να").otherwise("na")).when(gender == "m", F.when(cyrillic, "н").when(greek, "ς").otherwise("n")).otherwise("")
-    surname = made(_noise(key, "surname", F.lower(F.element_at(words, -1)), attempt.cast("string")), F.lit(""))
-    def given(w: Column) -> Column:
-        noise = _noise(key, "given", gender, F.lower(w), attempt.cast("string"))
-        return F.when(w.rlike(r"^\p{Ll}"), w).when(w.rlike(r"^\p{Lu}\.$"), _reshaped(w, noise)).otherwise(made(noise, ending))
+def _gender(value: Column) -> Column:
+    return F.when(value.rlike(rf"^(?:{FEMALE})[. ]"), "f").when(value.rlike(rf"^(?:{MALE})[. ]"), "m").otherwise("o")
 
-    return F.array_join(F.concat(F.slice(words, 1, 1), F.transform(F.slice(words, 2, F.size(words) - 2), given), F.array(surname)), " ")
 
+def _mentioned_parts(entities: DataFrame) -> DataFrame:
+    """(id, i, word, part, norm, form): what each of the `entities` (id, kind, value) is made of, in order; form is a phone's value."""
+    value, kind = F.col("value"), F.col("kind")
+    mails = entities.where("kind = 'email'")
+    mail_parts = F.array(F.struct(F.lit("email").alias("part"), F.lower(value).alias("norm")), F.struct(F.lit("domain").alias("part"), F.lower(F.substring_index(value, "@", -1)).alias("norm")))
+    mails = mails.select("id", F.posexplode(mail_parts).alias("i", "x")).select("id", "i", F.lit("").alias("word"), "x.*", F.lit("").alias("form"))
+    only = lambda keep: F.regexp_replace(value, keep, "")
+    norm = F.when(kind == "iban", only("[^A-Z0-9]")).when(kind == "phone", only("[^+0-9]")).when(kind == "ipv4", value).otherwise(only("[^0-9]"))
+    numbers = entities.where("kind not in ('email', 'name')").select("id", F.lit(0).alias("i"), F.lit("").alias("word"), kind.alias("part"), norm.alias("norm"), F.when(kind == "phone", value).otherwise("").alias("form"))
+    names = entities.where("kind = 'name'").select("id", _gender(value).alias("gender"), F.split(value, " ").alias("words"))
+    names = names.select("id", "gender", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    word = F.col("word")
+    role = (
+        F.when((F.col("i") == 0) | word.rlike(r"^\p{Ll}"), "as it is").when(word.rlike(r"^\p{Lu}\.$"), "initial")
+        .when(F.col("i") == F.col("n") - 1, F.concat(F.lit("surname."), _script(word))).otherwise(F.concat(F.lit("given."), _script(word), F.lit("."), F.col("gender")))
+    )
+    names = names.select("id", "i", "word", role.alias("part"))
+    names = names.withColumn("norm", F.when(F.col("part").startswith("surname"), _masculine(word)).otherwise(F.lower("word"))).withColumn("form", F.lit(""))
+    return mails.unionByName(numbers).unionByName(names)
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
-    noise = _noise(key, kind, F.lower(value), attempt.cast("string"))
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    at_domain = F.substr(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)))
-    email = F.concat(_reshaped(local, noise), F.lit("@"), _reshaped(at_domain, _noise(key, "domain", F.lower(domain))), F.substring_index(domain, ".", -1))
-    head = F.substr(value, F.lit(1), F.lit(2))
-    iban = F.concat(head, _reshaped(F.substr(value, F.lit(3)), noise))
-    phone = F.when(value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0), _reshaped(F.regexp_replace(value, r"^\+[0-9]{1,3}", ""), noise))).otherwise(_reshaped(value, noise))
-    return F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "ipv4", _ipv4(value, noise)).when(kind == "card", _card(value, noise)).when(kind == "phone", phone).when(kind == "name", _name(value, key, attempt)).otherwise(_reshaped(value, noise))
+def _made(parts: DataFrame, key: str) -> DataFrame:
+    """`parts` (part, norm, attempt) with `s`, what each turns into."""
+    part, norm, attempt, noise = F.col("part"), F.col("norm"), F.col("attempt"), F.col("noise")
+    parts = parts.withColumn("noise", _noise(key, part, norm, attempt.cast("string")))
+    tld = F.substring_index(norm, ".", -1)
+    body = F.substr(norm, F.lit(1), F.length(norm) - F.length(tld) - 1)
+    more = F.when(attempt < 4, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(attempt, F.lit(4))), lambda i: F.substr(F.lit(LETTERS["Latin"]), _draw(noise, i + 11, 26) + 1, F.lit(1))), ""))
+    out = F.when(part == "domain", F.concat(_reshaped(body, noise), more, F.lit("."), tld))
+    out = out.when(part == "email", F.concat(_reshaped(F.substring_index(norm, "@", 1), noise), more, F.lit("@"), F.substring_index(norm, "@", -1)))
+    for name, make in (("iban", _iban), ("card", _card), ("ssn", _ssn), ("phone", _phone), ("ipv4", _ipv4), ("initial", lambda n, z: F.upper(_reshaped(n, z)))):
+        out = out.when(part == name, make(norm, noise))
+    for script in SURNAME:
+        out = out.when(part == f"surname.{script}", _surname(script, noise, attempt))
+        for gender in "mfo":
+            out = out.when(part == f"given.{script}.{gender}", _given(script, gender, noise, attempt))
+    return parts.withColumn("s", out).drop("noise")
 
 
-def exceptions(values: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, value, attempt) of the distinct `values` (kind, value) whose first replacement collides."""
-    base = Staged(values.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "entities").df
-    table, originals = base, base.select("kind", F.col("value").alias("s"))
+def replacements(mentioned: DataFrame, key: str) -> DataFrame:
+    """(part, norm, s) for the distinct parts of `mentioned`, free of collisions."""
+    parts = mentioned.where("part != 'as it is'").select("part", "norm").distinct()
+    table = Staged(_made(parts.withColumn("attempt", F.lit(0)), key), "parts").df
+    forms = mentioned.where("part = 'phone'").select("part", "norm", F.col("form").alias("value"))
+    strict = "part != 'initial' and part not like 'given.%'"
+    originals = table.where(strict).select("part", F.regexp_replace("norm", r"^\+", "").alias("low")).distinct()
     for _ in range(ROUNDS):
-        least = table.groupBy("kind", "s").agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("attempt").alias("a")).where("n > 1").select("kind", "s", "first")
-        shared = table.join(least, ["kind", "s"]).where("value != first").select("kind", "value")
-        taken = table.join(originals, ["kind", "s"], "left_semi").select("kind", "value")
-        unclear = table.where(_ambiguous(F.col("kind"), F.col("value"), F.col("s"))).select("kind", "value")
+        own = table.where("part != 'initial'").withColumn("low", F.lower("s"))
+        least = own.groupBy("part", "low").agg(F.count("*").alias("n"), F.min("norm").alias("first")).where("n > 1").select("part", "low", "first")
+        shared = own.join(least, ["part", "low"]).where("norm != first").select("part", "norm")
+        taken = own.join(originals, ["part", "low"], "left_semi").select("part", "norm")
+        unclear = table.where("part = 'phone'").join(forms, ["part", "norm"]).where(_ambiguous(F.col("value"), _poured(F.col("s"), F.col("value")))).select("part", "norm")
         again = Staged(shared.unionByName(taken).unionByName(unclear).distinct(), "collisions").df
         if not again.limit(1).count():
-            return table.where("attempt > 0").select("kind", "value", "attempt")
-        bumped = table.join(again.withColumn("more", F.lit(1)), ["kind", "value"], "left")
-        bumped = bumped.select("kind", "value", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-        table = Staged(bumped.withColumn("s", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "entities").df
+            return table.select("part", "norm", "s")
+        kept = table.join(again, ["part", "norm"], "left_anti")
+        next_ = _made(table.join(again, ["part", "norm"], "left_semi").select("part", "norm", (F.col("attempt") + 1).alias("attempt")), key)
+        table = Staged(kept.unionByName(next_), "parts").df
     raise RuntimeError("replacements go on colliding")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """`docs` with its text rewritten, and n_entities."""
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, put) for the distinct `entities` (kind, value)."""
+    entities = Staged(entities.withColumn("id", F.md5(F.concat_ws(":", "kind", "value"))), "entities").df
+    mentioned = Staged(_mentioned_parts(entities), "entity-parts").df
+    made = replacements(mentioned, key)
+    word, s, role = F.col("word"), F.col("s"), F.col("part")
+    # a surname compared in its masculine form gets its ending back; capitals stay capitals
+    ended = F.when(role.startswith("surname") & (_masculine(word) != F.lower(word)), F.concat(s, F.lit("а"))).otherwise(s)
+    like = F.when((F.upper(word) == word) & (F.length(word) > 1) & (role != "initial"), F.upper(ended)).otherwise(ended)
+    joined = mentioned.join(made, ["part", "norm"], "left").select("id", "i", F.when(role == "as it is", word).when(word != "", like).otherwise(s).alias("s"))
+    whole = entities.join(joined.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "s")))["s"].alias("s")), "id")
+    value, first = F.col("value"), F.get("s", F.lit(0))
+    cased = F.array_join(F.zip_with(F.split(F.substring_index(first, "@", 1), ""), F.split(F.substring_index(value, "@", 1), ""), lambda a, b: F.when(b.rlike(r"\p{Lu}"), F.upper(a)).otherwise(F.coalesce(a, F.lit("")))), "")
+    mail = F.concat(cased, F.lit("@"), F.get("s", F.lit(1)))
+    put = F.when(F.col("kind") == "email", mail).when(F.col("kind") == "name", F.array_join("s", " ")).when(F.col("kind") == "ipv4", first).otherwise(_poured(first, value))
+    return whole.select("kind", "value", put.alias("put"))
+
+
+def replace(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with its text rewritten, and n_entities, the number of entities found."""
+    kept = [c for c in docs.columns if c != "n_entities"]
     # most texts have none of these characters or titles, which are cheaper to look for
     has = (F.col("text").rlike("[0-9@]") | F.col("text").rlike(PATTERNS["name"])) & F.col("text").rlike(ANY)
-    rows = docs.where(has).select(F.struct(*docs.columns).alias("row"), "text", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found"))
-    each = docs.where(has).select(F.col("text"), F.explode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("value"))
-    each = each.select(F.md5("text").alias("text_key"), _kind(F.col("value")).alias("kind"), "value").distinct()
-    each = Staged(each, "mentions").df
-    odd = Staged(exceptions(each.select("kind", "value").distinct(), key), "exceptions").df
-    tries = F.expr("cast(null as map<string, int>)")
-    if odd.limit(1).count():
-        in_text = each.join(odd, ["kind", "value"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("tries"))
-        rows = rows.withColumn("text_key", F.md5("text")).join(in_text, "text_key", "left")
-        tries = F.col("tries")
-    rows = rows.withColumn("tries", tries)
-    put = F.transform("found", lambda v: surrogate(_kind(v), v, F.coalesce(F.try_element_at(F.col("tries"), v), F.lit(0)), key))
-    rows = rows.withColumn("put", put).withColumn("between", F.split("text", ANY, -1))
-    text = F.concat(F.array_join(F.zip_with(F.slice("between", 1, F.size("found")), "put", lambda b, p: F.concat(b, p)), ""), F.element_at("between", -1))
-    changed = rows.select("row", text.alias("text"), F.size("found").cast("long").alias("n_entities"))
-    same = docs.where(F.coalesce(~has, F.lit(True))).select(F.struct(*docs.columns).alias("row"), "text", F.lit(0).cast("long").alias("n_entities"))
+    found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
+    each = docs.where(has).select(F.md5("text").alias("text_key"), F.posexplode(found).alias("i", "value")).distinct()
+    each = Staged(each.withColumn("kind", _kind(F.col("value"))), "mentions").df
+    made = Staged(surrogates(each.select("kind", "value").distinct(), key), "surrogates").df
+    in_text = each.join(made, ["kind", "value"]).groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("i", "value", "put", "kind"))).alias("made"))
+    rows = docs.where(has).select(F.struct(*kept).alias("row"), "text", F.md5("text").alias("text_key")).join(in_text, "text_key")
+    names = F.array_distinct(F.transform(F.filter("made", lambda e: e["kind"] == "name"), lambda e: F.struct(e["value"], e["put"])))
+    alone = F.flatten(F.transform(names, lambda e: F.arrays_zip(F.split(e["value"], " ").alias("w"), F.split(e["put"], " ").alias("p"))))
+    alone = F.filter(alone, lambda x: x["w"].rlike(r"^\p{Lu}\p{L}") & (x["w"] != x["p"]))
+    rows = rows.select("row", "made", F.split("text", ANY, -1).alias("gaps"), F.array_distinct(alone).alias("alone"))
+    # words of names where they stand alone in the text
+    swap = lambda gap: F.array_join(F.transform(F.regexp_extract_all(gap, F.lit(_TOKEN), F.lit(0)), lambda t: F.coalesce(F.get(F.col("alone.p"), (F.array_position(F.col("alone.w"), t) - 1).cast("int")), t)), "")
+    rows = rows.withColumn("gaps", F.when(F.size("alone") > 0, F.transform("gaps", swap)).otherwise(F.col("gaps")))
+    text = F.concat(F.array_join(F.zip_with(F.slice("gaps", 1, F.size("made")), "made", lambda gap, e: F.concat(gap, e["put"])), ""), F.element_at("gaps", -1))
+    changed = rows.select("row", text.alias("text"), F.size("made").cast("long").alias("n_entities"))
+    same = docs.where(F.coalesce(~has, F.lit(True))).select(F.struct(*kept).alias("row"), "text", F.lit(0).cast("long").alias("n_entities"))
     out = changed.unionByName(same)
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns), "n_entities")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in kept), "n_entities")
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace(read(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)

@@ -177,7 +177,7 @@ def test_repeated_rows_and_clashing_names(spark, odd):
     assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(twice).selectExpr("row.doc_id", "n_removed").collect()}[11] == 60
     assert jaccard_join.link(twice).count() == 10
     assert jaccard_join.keep_one(twice).columns == docs.columns
-    replaced = pii_surrogates.replace(twice)
+    replaced = pii_surrogates.replace(twice, "k")
     assert replaced.columns == [*docs.columns, "n_entities"] and replaced.count() == 10
     assert packing.pack(twice, path).groupBy("doc_id", "start").count().where("count != 2").count() == 0
 

@@ -30,7 +30,7 @@ def shape(value: str) -> str:
 
 def check(docs):
     before = {r.doc_id: r.text for r in docs.collect()}
-    after = {r.doc_id: (r.text, r.n_entities) for r in ps.replace(docs).collect()}
+    after = {r.doc_id: (r.text, r.n_entities) for r in ps.replace(docs, "k").collect()}
     assert set(after) == set(before)
     given: dict[tuple[str, str], str] = {}
     for i, text in before.items():
@@ -80,4 +80,56 @@ def test_table(spark):
 
 def test_other_key(spark):
     docs = spark.createDataFrame(ROWS[:3], "doc_id long, text string")
-    assert not {r.text for r in ps.replace(docs).collect()} & {r.text for r in ps.replace(docs, "another key").collect()}
+    assert not {r.text for r in ps.replace(docs, "k").collect()} & {r.text for r in ps.replace(docs, "another key").collect()}
+
+
+def put(spark, *texts: str) -> list[str]:
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in ps.replace(docs, "k").orderBy("doc_id").collect()]
+
+
+def mod97(iban: str) -> int:
+    v = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+
+
+def test_numbers_keep_their_checks_and_their_separators(spark):
+    ibans = ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "GB83 WEST 1234 5698 7654 32")
+    cards = ("4539 5787 6362 1486", "4539-5787-6362-1486", "4539578763621486")
+    ssns = ("123-45-6789", "001-01-0001", "000-12-3456")
+    phones = ("+49 30 1234 5678", "+493012345678", "030 1234567")
+    new = [t[2:-1] for t in put(spark, *(f"x {v}." for v in (*ibans, *cards, *ssns, *phones)))]
+    assert [mod97(v) == 1 for v in new[:3]] == [True, True, False] and new[0].replace(" ", "") == new[1] != ibans[1]
+    assert {v.replace(" ", "").replace("-", "") for v in new[3:6]} == {new[5]} != {cards[2]} and luhn(new[5])
+    assert all(v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000" for v in new[6:8])
+    assert new[9].startswith("+49 ") and new[9].replace(" ", "") == new[10] and new[11].startswith("0")
+
+
+def test_names_that_stand_alone(spark):
+    one, other = put(spark, "Mr John Smith came. Later Smith's friend met John, and SMITH left. A smith is no Smithson.", "Smith and John have no title here.")
+    assert not regex.search(r"\b(Smith|John)\b", one) and "SMITH" in one and "A smith is no Smithson." in one
+    first, last = one.split(" ")[1:3]
+    assert f"Later {last}'s friend met {first}," in one
+    assert other == "Smith and John have no title here."
+
+
+def test_forced_collisions(spark):
+    """More surnames, given names and one-letter addresses than first replacements: all stay distinct, equal ones equal."""
+    surnames = [f"Sur{a}{b}{c}" for a in "bcdfghjk" for b in "aeiou" for c in "lmnrstvwxz"]
+    texts = [f"Mr Tom {s} or Mrs {s}" for s in surnames] + [f"Mr G{a}{b} Miller" for a in "aeiou" for b in "bcdfghjklm"] + [f"{x}@a.io" for x in "abcdefghijklmnop"]
+    new = put(spark, *texts)
+    found = [regex.fullmatch(r"Mr (\S+) (\S+) or Mrs (\S+)", t).groups() for t in new[: len(surnames)]]
+    assert len({g for g, _, _ in found}) == 1 and all(a == b for _, a, b in found) and len({a for _, a, _ in found}) == len(surnames)
+    assert len(set(new[len(surnames) :])) == len(texts) - len(surnames)
+
+
+def test_very_long_matches(spark):
+    n = 100_000
+    long = ["a@b" + ".ab" * (n // 2) + ".c" * (n // 2), "Mr" + " Ab" * n, "Mr A" + "b" * n, "Mr A" + "'b" * n, "Mr " + "de la " * n + "Xy", "10 200 " * n, "12 34 " * n, "1.2.3.4 " * 2_000]
+    new = put(spark, *long)
+    assert all(len(a) > 0 for a in new) and new[0] != long[0] and new[1] != long[1]
+
+
+def test_other_scripts_change(spark):
+    (new,) = put(spark, "用户@例子.公司 and דוד@דוגמה.קום and пётр@почта.рф")
+    assert not any(x in new for x in ("用户@", "דוד@", "пётр@"))
