@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or else the context's checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palisade-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found.rstrip("/")
 
 
+_scopes: list[list[Staged]] = []
+
+
 class Staged:
     """A written table in the shared folder: it cuts lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.schema = df.sparkSession, df.schema  # known: no job to read it from files
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self)
         df.write.option("compression", "zstd").parquet(self.path)
 
     @property
@@ -43,6 +48,18 @@ class Staged:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[Staged]]:
+    """Deletes at its end the tables staged within it, but for those taken out of the list that it
+    gives: whatever depends on them must be written by then."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for staged in _scopes.pop():
+            staged.drop()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds; texts are whole and may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -53,10 +70,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 class IdFilter:
     """A bitmap of fixed size over hashed keys: it may let other keys through, never drops one of its own.
 

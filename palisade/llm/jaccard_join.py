@@ -9,10 +9,13 @@ emitting all pairs would grow with the square, so the join has two rounds:
 2. all pairs of an n-gram whose documents lie in different components, in two parts (the
    n-gram's largest component against the others, and these among themselves).
 Pairs within a component can't change any component, so no link between different texts
-is lost. The order of n-grams comes from counts over all documents in a table of fixed
+is lost. The second round leaves out the pairs that the first compared, so each pair's texts
+are compared once at most. The order of n-grams comes from counts over all documents in a table of fixed
 size; ties are ordered by hash. Any total order gives the same result.
 
-Null or empty texts have no shingles and link with nothing; a null doc_id takes no part
+Documents of one n-gram that lie just under the limit are in components of their own; they
+are compared, since nothing short of it tells them from links, in shares of GROUP documents
+a task. An empty table gives an empty table. Null or empty texts have no shingles and link with nothing; a null doc_id takes no part
 and gets a null component. Rows that share a doc_id count as one document, except in `keep_one`.
 """
 
@@ -31,6 +34,7 @@ from palisade.llm.components import components
 
 RANKS = 1 << 18
 PARTS = 16
+GROUP = 2_000
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -131,6 +135,7 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, num: int, den: in
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.k, self.num, self.den = k, num, den
+        self.checked: list[DataFrame] = []  # tables of the pairs whose texts were compared
         self.docs = docs.select("doc_id", "text")
         small_batches(docs.sparkSession)
         scanned = Staged(self.docs.mapInArrow(_scan(k), "doc_id long, n long, s1 long, s2 long, bucket long"), "shingles").df
@@ -146,15 +151,19 @@ class _Join:
         self.prefixes = Staged(prefixes.join(reps, "doc_id", "left_semi"), "prefixes").df
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. Suffix filter: sizes of the ranges bound the difference."""
+        """The pairs (a, b) that link, of those not verified before. Suffix filter: sizes of the ranges bound the difference."""
         num, den = self.num, self.den
         size = self.prefixes.select("doc_id", "n", "parts")
         one = size.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("parts").alias("p1"))
         two = size.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("parts").alias("p2"))
         differ = F.expr("aggregate(zip_with(p1, p2, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
         # overlap <= (n1 + n2 - differ) / 2
-        pairs = pairs.distinct().join(one, "a").join(two, "b").where((num + den) * (F.col("n1") + F.col("n2") - differ) >= 2 * num * (F.col("n1") + F.col("n2")))
+        pairs = pairs.distinct()
+        for before in self.checked:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = pairs.join(one, "a").join(two, "b").where((num + den) * (F.col("n1") + F.col("n2") - differ) >= 2 * num * (F.col("n1") + F.col("n2")))
         pairs = Staged(pairs.select("a", "b"), "pairs").df
+        self.checked.append(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         known = IdFilter(ids, "doc_id")
         texts = known.keep(self.docs, "doc_id").dropDuplicates(["doc_id"])
@@ -177,13 +186,17 @@ class _Join:
         held = shared.select("token", "doc_id", "n", "pos").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         held = Staged(held.withColumn("component", F.coalesce("component", "doc_id")), "held").df
         sizes = held.groupBy("token", "component").count()
-        main = sizes.groupBy("token").agg(F.count("*").alias("k"), F.max_by("component", F.struct("count", "component")).alias("main")).where("k > 1")
-        open_ = Staged(held.join(main.select("token", "main"), "token"), "open-tokens").df
-        x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "component")), "main") for s in ("x", "y"))
+        main = sizes.groupBy("token").agg(F.count("*").alias("k"), F.sum("count").alias("c"), F.max_by("component", F.struct("count", "component")).alias("main")).where("k > 1")
+        # tokens of many documents are dealt to several tasks by one side's ids; the other side goes to each of them
+        main = main.select("token", "main", F.ceil(F.col("c") / GROUP).cast("int").alias("shares"))
+        open_ = Staged(held.join(main, "token"), "open-tokens").df
+        x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "component")), "main", "shares") for s in ("x", "y"))
+        x = x.withColumn("share", F.pmod(F.xxhash64("doc_id_x"), F.col("shares")).cast("int")).drop("shares")
+        y = y.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
         fits = _may_link(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), num, den)
         others = y.where("component_y != main").drop("main")
-        mixed = x.where("component_x = main").join(others, "token").where(fits)
-        rest = x.where("component_x != main").join(others, "token").where("component_x < component_y").where(fits)
+        mixed = x.where("component_x = main").join(others, ["token", "share"]).where(fits)
+        rest = x.where("component_x != main").join(others, ["token", "share"]).where("component_x < component_y").where(fits)
         pairs = mixed.unionByName(rest).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
         more = Staged(self.verified(pairs), "links").df
         if more.limit(1).count():

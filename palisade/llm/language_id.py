@@ -2,26 +2,30 @@
 
 Character n-grams of a text become a normalised TF-IDF vector; each language has several
 centroids, found by spherical k-means over a bounded sample of its labelled texts
-(`PER_LANG` each and `MAX_ROWS` in all, by a hash of the id). A text gets the language of
+(about `PER_LANG` each and at most `MAX_ROWS` in all: the ids whose hash is below a
+language's share, one row each). A text gets the language of
 the centroid with the largest cosine; `rejected` tells that it is farther from it than
 nearly all of that centroid's own training texts.
 
 `und` with score 0 goes to null texts and texts without a letter, and to all texts where
-nothing was learned. Ties go to the language first in order. Repeated rows score alike.
+nothing was learned. Ties go to the language first in order. Repeated rows score alike. Texts of any length
+are read whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.common import held_out, read, small_batches
+from palisade.llm.common import Staged, held_out, read, small_batches
 from palisade.llm.toxicity import ngrams
 
 BITS, SIZES, PER_LANG, MAX_ROWS, CENTROIDS, REJECT = 14, (1, 2, 3), 600, 12_000, 3, 0.01
@@ -30,7 +34,9 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 def term_weights(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of a text's words, one blank between them and other characters left out, and their damped counts."""
-    n = np.bincount(ngrams(NOT_LETTERS.sub(" ", f" {text} "), SIZES, BITS), minlength=1 << BITS)
+    n = np.zeros(1 << BITS, np.int64)
+    for part in ngrams(NOT_LETTERS.sub(" ", f" {text} "), SIZES, BITS):
+        n += np.bincount(part, minlength=1 << BITS)
     at = np.flatnonzero(n)
     return at, 1 + np.log(n[at])
 
@@ -66,14 +72,28 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-    picked = picked.orderBy("r", "lang").limit(max_rows).select("doc_id").distinct()
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").select("lang", "text").toPandas()
-    rows = rows[[any(map(str.isalpha, t)) for t in rows.text]]
+    # a language's rows below a hash threshold: no language passes through one task
+    share = known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")).orderBy("share", "lang").limit(max_rows)
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / (1 << 30)
+    picked = known.select("doc_id", "lang", "text", place.alias("place")).join(F.broadcast(share), "lang").where("place < share")
+    one = picked.groupBy("doc_id", "place").agg(F.min(F.struct("lang", "text")).alias("row"))
+    one = Staged(one.select("doc_id", "place", "row.*"), "language-sample").df
+    ids = one.select("doc_id", "place").orderBy("place", "doc_id").limit(max_rows).select("doc_id")
+    sample = one.join(F.broadcast(ids), "doc_id")
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = (c.to_pylist() for c in batch.columns)
+            found = [(lang, *term_weights(t)) for lang, t in zip(langs, texts) if any(map(str.isalpha, t))]
+            cols = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.float64()))], ["lang", "at", "tf"])
+
+    small_batches(docs.sparkSession)
+    rows = sample.select("lang", "text").mapInArrow(weighed, "lang string, at array<long>, tf array<double>").toPandas()  # max_rows rows, 2^BITS numbers each at most
+    rows = rows.sort_values("lang", kind="stable")
     if not len(rows):
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(1 << BITS), np.zeros(0))
-    terms = [term_weights(t) for t in rows.text]
+    terms = [(np.asarray(at), np.asarray(tf)) for at, tf in zip(rows['at'], rows['tf'])]
     seen = np.bincount(np.concatenate([at for at, _ in terms]), minlength=1 << BITS)
     idf = np.where(seen > 0, np.log((1 + len(terms)) / (1 + seen)) + 1e-3, 0.0)
     langs, cents, least = [], [], []
@@ -93,7 +113,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, c
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score and rejected."""
+    """`docs` with lang_pred, score and rejected, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("rejected", T.BooleanType())
 
@@ -102,7 +122,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang_pred", "score", "rejected"])
 
     small_batches(docs.sparkSession)
-    return docs.withColumn("_found", found("text")).select(*docs.columns, "_found.lang_pred", "_found.score", "_found.rejected")
+    return docs.withColumn("__found", found("text")).select(*(c for c in docs.columns if c not in kind.names), "__found.lang_pred", "__found.score", "__found.rejected")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 A sequence has limits on tokens, on segments and on loss-bearing tokens at once. It is
 filled piece by piece with the example whose demands have the largest dot product with
-what the sequence has left, both as shares of the limits; when no whole example fits,
-the best one is cut, so sequences end up full. What is left at the end of a partition
-goes to sequences of power-of-two length, which need no padding.
+what the sequence has left, both as shares of the limits; of equal ones the one that came
+first. When no whole example fits, the best one is cut, so sequences end up full. The first
+part of a document stands for its prompt, which bears no loss: column `loss_from`, or the
+`PROMPT`-th part of its tokens. Where segments or loss run out before the tokens do, the
+sequence keeps a power of two of its tokens, which needs no padding, and gives the others
+back, unless fewer than `SLACK` of its places would be padding. What is left at the end of
+a partition goes to sequences of power-of-two length.
 
 Every partition packs its own rows in one pass and holds one batch of them, so there is
 no shuffle; a sequence's id is the partition's number and a counter, the same again when
 a lost task reruns. Null or empty texts are documents of one token, the end id. Repeated
-rows are packed each. Extra columns are ignored.
+rows are packed each. Extra columns are ignored. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm.common import read, small_batches
 
-LENGTH, SEGMENTS, END = 4096, 1024, 2
+LENGTH, SEGMENTS, LOSS, PROMPT, SLACK, END = 4096, 16, 3840, 8, 1 / 64, 2
 MEMO = 600_000
 
 
@@ -86,50 +90,60 @@ class Packer:
                 total -= piece[2]
                 yield piece
 
-    def fill(self, goal: int) -> Iterator[tuple]:
+    def fill(self, goal: int) -> list[tuple]:
         left = self.caps.copy()
         left[0] = goal
         sizes = np.array([len(i[1]) // 4 - i[2] for i in self.items], float)
-        loss = np.array([len(i[1]) // 4 - max(i[2], i[3]) for i in self.items], float)
-        used, done = 0, set()
-        while left[0] > 0 and left[1] > 0 and len(done) < len(self.items):
+        free = np.array([max(0, i[3] - i[2]) for i in self.items], float)  # tokens without loss, at the front
+        taken: list[list[int]] = []  # item, tokens
+        while left[0] > 0 and left[1] > 0:
+            room = np.minimum(np.minimum(sizes, left[0]), free + left[2])
+            loss = np.maximum(sizes - free, 0.0)
             score = left[0] / self.caps[0] * sizes / self.caps[0] + left[2] / self.caps[2] * loss / self.caps[2] + left[1] / self.caps[1] ** 2
-            whole = (sizes > 0) & (sizes <= left[0]) & (loss <= left[2])
-            pick = int(np.argmax(np.where(whole, score, -1.0) if whole.any() else np.where(sizes > 0, score, -1.0)))
-            key, ids, start, from_ = self.items[pick]
-            n = int(min(sizes[pick], left[0]))
-            if left[1] == 1 and used + n < goal:  # the last segment: end at a power of two if the piece reaches one
-                n = max(n if used + n == 1 << (used + n).bit_length() - 1 else 0, (1 << (used + n).bit_length() - 1) - used, 0) or n
-            n = min(n, int(max(0, from_ - start) + left[2]))
+            whole = (room > 0) & (room == sizes)
+            pick = int(np.argmax(np.where(whole if whole.any() else room > 0, score, -1.0)))
+            n = int(room[pick])
             if n <= 0:
                 break
-            yield key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, self.next, used
-            self.items[pick][2] = start + n
-            bearing = max(0, start + n - max(start, from_))
+            taken.append([pick, n])
+            bearing = max(0.0, n - free[pick])
             sizes[pick] -= n
-            loss[pick] -= bearing
-            used += n
+            free[pick] = max(0.0, free[pick] - n)
             left -= [n, 1, bearing]
-            if not sizes[pick]:
-                done.add(pick)
+        used = sum(n for _, n in taken)
         if not used:
             raise ValueError("the limits leave no room for a single token")
+        if used < self.caps[0] * (1 - SLACK):
+            extra = used - (1 << used.bit_length() - 1)
+            while extra:
+                back = min(extra, taken[-1][1])
+                taken[-1][1] -= back
+                extra -= back
+                if not taken[-1][1]:
+                    taken.pop()
+        out, used = [], 0
+        for pick, n in taken:
+            key, ids, start, _ = self.items[pick]
+            out.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, self.next, used))
+            self.items[pick][2] = start + n
+            used += n
         self.items = [i for i in self.items if len(i[1]) // 4 > i[2]]
         self.next += 1
+        return out
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int = LOSS, prompt: int = PROMPT, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     An integer column `loss_from` in `docs`, if any, says at which token the loss-bearing
-    part of a document starts; without it all its tokens bear loss.
+    part of a document starts; without it a `prompt`-th of its tokens come before.
     """
     has_loss = "loss_from" in docs.columns
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
-        packer = Packer(length, segments, loss or length, TaskContext.get().partitionId() << 40)
+        packer = Packer(length, segments, loss, TaskContext.get().partitionId() << 40)
         kind = None
 
         def out(rest: bool) -> Iterator[pa.RecordBatch]:
@@ -141,7 +155,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
         for batch in batches:
             kind = batch.column(0).type
             ids = tokens.encode(batch.column(1).to_pylist(), end)
-            from_ = batch.column(2).to_pylist() if has_loss else [0] * len(ids)
+            from_ = batch.column(2).to_pylist() if has_loss else [len(i) // 4 // prompt for i in ids]
             packer.items += [[k, i, 0, f or 0] for k, i, f in zip(batch.column(0).to_pylist(), ids, from_)]
             yield from out(False)
         if kind is not None:

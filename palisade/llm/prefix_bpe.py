@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -57,6 +58,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._mark = os.path.commonprefix(list(self.special))  # cheaper to look for than the tokens, if they share it
         self._pretoken = regex.compile(PRETOKEN)
         self.suffixes = ahocorasick.Automaton()
         for t, i in ids.items():
@@ -113,7 +115,7 @@ class Vocabulary:
         if len(self.memo) > MEMO:
             self.memo.clear()
         out, at = [], 0
-        for m in self._special.finditer(text) if self._special and "<|" in text else ():
+        for m in self._special.finditer(text) if self._special and self._mark in text else ():
             out += [self._plain(text[at : m.start()]), array("I", [self.special[m[0]]]).tobytes()]
             at = m.end()
         return b"".join([*out, self._plain(text[at:] if at else text)])

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import Staged, read
 
-SCOPE, BUCKET = 200, 512
+SCOPE, BUCKET, STRETCH = 200, 512, 64
+OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: The plain patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,21 +36,24 @@ ENDPOINT = r"(?:https?|wss?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp
 _SPAN = "struct<start:int,stop:int>"
 
 
-def _spans(text: str, pattern: str, holds: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches as (start, stop), from the lengths of matches and of what is between."""
-    p = F.lit(pattern)
-    found, between = F.regexp_extract_all(F.col(text), p, F.lit(0)), F.split(F.col(text), pattern, -1)
+def _spans(text: str, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as (start, stop, m), from the lengths of matches and of what is between.
+    The walk goes over stretches of `STRETCH` matches, so that lists are copied in pieces."""
+    none = "cast(array() as array<struct<start:int,stop:int,m:string>>)"
+    found, between = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
     zipped = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STRETCH).cast("int")), lambda i: F.slice(zipped, i * STRETCH + 1, STRETCH))
+    step = lambda a, x: F.struct(
+        (a["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
+        F.array_append(a["out"], F.struct((a["at"] + F.length(x["b"])).alias("start"), (a["at"] + F.length(x["b"]) + F.length(x["m"])).alias("stop"), x["m"].alias("m"))).alias("out"),
+    )
+    inner = lambda a, part: F.aggregate(part, F.struct(a["at"].alias("at"), F.expr(none).alias("out")), step)
+    outer = lambda a, done: F.struct(done["at"].alias("at"), F.array_append(a["out"], done["out"]).alias("out"))
     walked = F.aggregate(
-        zipped,
-        F.expr(f"named_struct('at', 0, 'out', cast(array() as array<struct<start:int,stop:int,m:string>>))"),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            F.array_append(a["out"], F.struct((a["at"] + F.length(x["b"])).alias("start"), (a["at"] + F.length(x["b"]) + F.length(x["m"])).alias("stop"), x["m"].alias("m"))).alias("out"),
-        ),
-        lambda a: a["out"],
+        stretches, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,stop:int,m:string>>>)").alias("out")),
+        lambda a, part: outer(a, inner(a, part)), lambda a: F.flatten(a["out"]),
     )
-    return F.when(F.col(text).rlike(pattern), walked).otherwise(F.expr("cast(array() as array<struct<start:int,stop:int,m:string>>)"))
+    return F.when(F.col(text).rlike(pattern), walked).otherwise(F.expr(none))
 
 
 def _typed(spans: Column, kind: int) -> Column:
@@ -62,8 +66,8 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """`docs` without its text, with n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
-    keep = [c for c in docs.columns if c != "text"]
+    """`docs` without its text, with the columns `OUT`, which replace those of the same names."""
+    keep = [c for c in docs.columns if c not in ("text", *OUT)]
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     long_value = lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 2)) >= 12
     rows = rows.select(
@@ -73,14 +77,13 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("assign", F.filter("assigned", long_value)).withColumn("weak_secret", F.concat("weak_secret", F.filter("assigned", lambda s: ~long_value(s))))
     rows = rows.select("row", "t", *(_typed(F.col(k), i).alias(k) for i, k in enumerate(KINDS)))
     rows = rows.withColumn("base", F.concat(*KINDS[:3])).withColumn("weak", F.concat(*KINDS[3:]))
-    rows = rows.withColumn("weak", F.when(F.size("weak") > 0, F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (b["stop"] > w["start"])))).otherwise(F.col("weak")))
     open_ = (F.size("weak") > 0) & (F.size("base") + F.size("weak") > 1)
     staged = Staged(
         rows.select("row", "base", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), F.when(open_, F.col("weak")).alias("weak"), F.when(open_, F.md5("t")).alias("key")), "secret-parts"
     ).df
 
     parts = staged.where("key is not null").select("key", F.explode(F.concat("base", "weak")).alias("p")).select("key", "p.kind", "p.start", "p.stop").distinct()
-    parts = Staged(parts, "parts").df
+    parts = Staged(_apart(Staged(parts, "all-parts").df), "parts").df
     linked = _linked(parts).groupBy("key").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("extra"))
     plain = staged.where("key is null").withColumn("extra", F.expr("cast(null as array<struct<start:int,kind:int,stop:int>>)"))
     out = plain.unionByName(staged.where("key is not null").join(linked, "key", "left"))
@@ -91,6 +94,15 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _apart(parts: DataFrame) -> DataFrame:
+    """`parts` without the weak ones that touch a plain one."""
+    cells = F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("stop") / BUCKET)))
+    plain, weak = parts.where("kind < 3"), parts.where("kind >= 3")
+    near = plain.select(F.col("key").alias("k2"), F.col("start").alias("start2"), F.col("stop").alias("stop2"), cells.alias("cell2"))
+    touch = weak.withColumn("cell", cells).join(near, (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("cell2")) & (F.col("start2") < F.col("stop")) & (F.col("stop2") > F.col("start")), "left_semi")
+    return plain.unionByName(weak.join(touch.select(*weak.columns).distinct(), weak.columns, "left_anti"))
+
+
 def _linked(parts: DataFrame) -> DataFrame:
     """The weak parts (key, kind, start, stop) whose complements are in scope."""
     cell = lambda a: F.floor(a / BUCKET)

@@ -3,18 +3,25 @@
 A window is `width` consecutive words of one document; every word covered by a window
 whose word sequence also starts anywhere else is removed.
 
-Method. A suffix automaton over the reference has to be matched against every document;
-with the corpus as its own reference the broadcast automata grow with the corpus, and so
-does the number of passes over it. This operator finds the same windows by fingerprints:
+Method. A suffix automaton over the whole corpus would be as large as the corpus, and one
+automaton for each shard, broadcast to all documents, makes work grow with its square. So
+shards are dealt such that all places of a window lie in one of them:
 1. each window names its least hashed `anchor` words (equal windows name equal anchors);
-2. anchors are counted over distinct texts; only windows with a repeated anchor go on;
-3. these windows are counted by a 128-bit fingerprint; those found once come back as
-   (document, position), all other candidates are repeated.
+2. anchors are counted over distinct texts; only windows with a repeated anchor go on, as
+   stretches: consecutive windows of one text that name one anchor;
+3. equal stretches are one with a weight. The stretches of an anchor form a shard, small ones
+   together in one automaton of about `SHARD` words; each task builds the suffix automata of
+   its shards and streams the stretches past them for matching statistics: the places where
+   `width` words match, and how often those words stand in the shard. Windows found once come
+   back as (document, position), all other candidates are repeated;
+4. an anchor with more than `SHARD` words of stretches is dealt anew by longer anchors, in the
+   end by the windows themselves, so no automaton outgrows its bound, however common a passage.
 Equal texts are one text with a weight. Every step is a keyed aggregation or a join whose
 groups are pre-aggregated; bitmaps of fixed size only spare rows the exact joins behind them.
 
 Null or empty texts have no words and stay as they are. Rows that repeat as a whole are
-documents of their own, so each makes the other's windows repeated.
+documents of their own, so each makes the other's windows repeated. Null ids are ids like
+others. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,8 +36,9 @@ from pyspark.sql import functions as F
 
 from palisade.llm import wordhash as wh
 from palisade.llm.common import IdFilter, Staged, read, small_batches
+from palisade.llm.suffix_automata import Automaton
 
-WIDTH, ANCHOR = 35, 12
+WIDTH, ANCHOR, SHARD = 35, 12, 20_000
 
 
 def _anchors(h: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,33 +82,106 @@ def _scan(width: int, anchor: int):
     return run
 
 
-def _windows(width: int, anchor: int):
-    """Fingerprints and positions of the windows whose anchor is in the document's list."""
+def _stretches(width: int, anchor: int, all_: bool = False):
+    """Stretches of windows whose anchor is in the list of their text, or of all its windows: the anchor, a
+    128-bit fingerprint, the number of windows, the text's key, the first window's position, the weight, the words."""
+    most = width - anchor + 1
+
+    def cut(named: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First windows and lengths."""
+        at = np.flatnonzero(hit)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1] + 1) | (named[at[1:]] != named[at[:-1]])
+        first = np.flatnonzero(fresh)
+        run = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        first = np.flatnonzero(run % most == 0)
+        return at[first], np.diff(np.append(first, len(at)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coeff, other = wh.table(11, False), wh.table(12, False)
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            copies = batch.column(3).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
+            keys = batch.column(0).to_pylist()
+            lists, weights, begins = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False)
             for lo, hi, raw, offsets in wh.chunks(batch.column(1)):
                 starts, ends, first = wh.bounds(raw, offsets)
                 h, h2 = wh.word_hashes(raw, starts, ends, coeff), wh.word_hashes(raw, starts, ends, other)
-                out = []
+                data, numbers, of, words = raw.tobytes(), [], [], []
                 for i, (a, b) in enumerate(zip(first[:-1], first[1:]), lo):
                     if b - a < width:
                         continue
-                    own = h[a:b]
-                    wanted = lists[i].values.to_numpy(zero_copy_only=False).astype(wh.U)
-                    at = np.flatnonzero(np.isin(_anchors(own, width, anchor)[1], wanted))
-                    out.append((wh.runs(own, width)[at], wh.runs(h2[a:b], width)[at], np.full(len(at), keys[i]), at, np.full(len(at), copies[i])))
-                if out:
-                    cols = [np.concatenate(x).astype(np.int64) for x in zip(*out)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w1", "w2", "key", "pos", "copies"])
+                    named = _anchors(h[a:b], width, anchor)[1]
+                    hit = np.ones(len(named), bool) if all_ else np.isin(named, lists[i].values.to_numpy(zero_copy_only=False).astype(wh.U))
+                    at, n = cut(named, hit)
+                    long = n + width - 1
+                    cols = (named[at], wh.ranges(h[a:b], at, long), wh.ranges(h2[a:b], at, long), n, at + begins[i], np.full(len(at), weights[i]))
+                    numbers.append(np.stack([c.astype(np.int64) for c in cols]))
+                    of += [keys[i]] * len(at)
+                    words += [data[x:y] for x, y in zip(starts[a:b][at].tolist(), ends[a:b][at + long - 1].tolist())]
+                if of:
+                    cols = np.concatenate(numbers, 1)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(of, pa.binary()), pa.array(words, pa.string())], ["anchor", "f1", "f2", "n", "pos", "weight", "key", "words"])
 
     return run
 
 
+STRETCH = "anchor long, f1 long, f2 long, n long, pos long, weight long, key binary, words string"
+
+
+def _once(width: int):
+    """Windows (key, at) that stand once in their shard, from rows in the order of anchors."""
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        texts = [r[0].encode().split() for r in rows]
+        known = Automaton(texts, [r[1] for r in rows])
+        keys, at = [], []
+        for words, (_, weight, key, pos) in zip(texts, rows):
+            if weight == 1:
+                starts, often = known.windows(words, width)
+                single = [pos + i for i, n in zip(starts, often) if n == 1]
+                if single:
+                    keys.append(key)
+                    at.append(single)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at, pa.list_(pa.int64()))], ["key", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, last = [], 0, None
+        for batch in batches:
+            for anchor, n, words, weight, key, pos in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= SHARD and anchor != last:
+                    yield found(rows)
+                    rows, size = [], 0
+                rows.append((words, weight, key, pos))
+                size, last = size + n + width - 1, anchor
+        if rows:
+            yield found(rows)
+
+    return run
+
+
+def single_windows(texts: DataFrame, width: int, anchor: int, shard: int = SHARD) -> DataFrame:
+    """(key, once): positions of the windows that stand once among those of `texts` (key, text, anchors, copies) with an anchor of their list."""
+    rows = texts.select("key", "text", "anchors", "copies", F.lit(0).cast("long").alias("pos")).mapInArrow(_stretches(width, anchor), STRETCH)
+    parts = []
+    while True:
+        equal = rows.groupBy("anchor", "f1", "f2").agg(F.sum("weight").alias("weight"), F.min(F.struct("key", "pos")).alias("at"), F.first("n").alias("n"), F.first("words").alias("words"))
+        equal = Staged(equal, "stretches").df
+        large = equal.groupBy("anchor").agg(F.sum(F.col("n") + width - 1).alias("size")).where(F.col("size") > shard).select("anchor")
+        large = Staged(large, "large-shards").df
+        deeper = anchor < width and large.limit(1).count() > 0
+        small = equal.join(large, "anchor", "left_anti") if deeper else equal
+        dealt = small.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "n", "words", "weight", "at.key", "at.pos")
+        parts.append(Staged(dealt.mapInArrow(_once(width), "key binary, at array<long>"), "single-windows").df)
+        if not deeper:
+            break
+        anchor = min(2 * anchor, width)
+        again = equal.join(large, "anchor", "left_semi").select("at.key", "words", F.lit(None).cast("array<long>").alias("anchors"), "weight", "at.pos")
+        rows = again.mapInArrow(_stretches(width, anchor, all_=True), STRETCH)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("once"))
+
+
 def _kept(width: int, anchor: int, keep_text: bool):
     """Per document: the words left. `whole`: all windows are repeated; `once`: candidates found once."""
 
@@ -154,9 +235,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ke
     spaces where words were removed."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.select(F.xxhash64(F.struct("doc_id", "text")).alias("key"), F.struct(*docs.columns).alias("row"), "text")
+    # 128 bits, so that no two rows that differ share a key
+    key = F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text")))
+    keyed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"), "text")
     scanned = Staged(
-        keyed.select("key", "text").mapInArrow(_scan(width, anchor), "key long, n_words long, c1 long, c2 long, anchors array<long>"),
+        keyed.select("key", "text").mapInArrow(_scan(width, anchor), "key binary, n_words long, c1 long, c2 long, anchors array<long>"),
         "substrings",
     )
     long_enough = scanned.df.where(F.col("n_words") >= width)
@@ -178,14 +261,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, ke
     near = IdFilter(found, "key")
 
     texts = near.keep(keyed.select("key", "text"), "key").join(found, "key").select("key", "text", "anchors", "copies")
-    once = (
-        texts.mapInArrow(_windows(width, anchor), "w1 long, w2 long, key long, pos long, copies long")
-        .groupBy("w1", "w2")
-        .agg(F.sum("copies").alias("n"), F.min(F.struct("key", "pos")).alias("at"))
-        .where("n = 1")
-        .groupBy("at.key")
-        .agg(F.collect_list("at.pos").alias("once"))
-    )
+    once = single_windows(texts, width, anchor)
     marks = (
         found.where("copies = 1").select("key", "anchors").join(once, "key", "left").select("key", F.lit(False).alias("whole"), "anchors", "once")
         .unionByName(copied.select("key", F.lit(True).alias("whole")), allowMissingColumns=True)

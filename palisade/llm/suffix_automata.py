@@ -31,19 +31,20 @@ SHARD_WORDS = 100_000
 
 
 class Automaton:
-    """Suffix automaton over words, with the number of places where each state's sequences end."""
+    """Suffix automaton over words, with the number of places where each state's sequences end.
+    A text with a weight counts that many times."""
 
-    def __init__(self, texts: list[list[bytes]]):
+    def __init__(self, texts: list[list[bytes]], weights: list[int] | None = None):
         self.ids: dict[bytes, int] = {}
         steps, link, length, count = [{}], [-1], [0], [0]
-        for words in texts:
+        for words, weight in zip(texts, weights or [1] * len(texts)):
             last = 0  # each text starts at the root: no sequence crosses from one text to another
             for w in words:
                 c = self.ids.setdefault(w, len(self.ids))
                 have = steps[last].get(c)
                 if have is not None and length[have] == length[last] + 1:
                     last = have
-                    count[last] += 1
+                    count[last] += weight
                     continue
                 split_only = have is not None
                 cur = -1
@@ -52,7 +53,7 @@ class Automaton:
                     steps.append({})
                     link.append(0)
                     length.append(length[last] + 1)
-                    count.append(1)
+                    count.append(weight)
                 p = last
                 while p >= 0 and c not in steps[p]:
                     steps[p][c] = cur
@@ -70,31 +71,29 @@ class Automaton:
                             p = link[p]
                         link[q] = q = copy
                     if split_only:
-                        count[q] += 1
+                        count[q] += weight
                         cur = q
                     else:
                         link[cur] = q
                 last = cur
         for v in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
             count[link[v]] += count[v]
-        v = len(self.ids) + 1
-        self.base, self.link, self.length, self.count = v, link, length, count
-        self.steps = {s * v + c: t for s, out in enumerate(steps) for c, t in out.items()}
+        self.steps, self.link, self.length, self.count = steps, link, length, count
 
     def windows(self, words: list[bytes], width: int) -> tuple[list[int], list[int]]:
         """Starts of the windows found in the reference, and how often each is there."""
         at, often, state, have = [], [], 0, 0
-        steps, link, length, base = self.steps, self.link, self.length, self.base
+        steps, link, length = self.steps, self.link, self.length
         for i, w in enumerate(words):
             c = self.ids.get(w)
             if c is None:
                 state = have = 0
                 continue
-            to = steps.get(state * base + c)
+            to = steps[state].get(c)
             while to is None and state:
                 state = link[state]
                 have = length[state]
-                to = steps.get(state * base + c)
+                to = steps[state].get(c)
             if to is None:
                 continue
             state, have = to, have + 1

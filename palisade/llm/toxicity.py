@@ -6,53 +6,59 @@ ratio; the `FEATURES` with the largest likelihood-ratio statistics stay, and a l
 regression with an L2 penalty is fitted on presence times ratio. Scoring reads whole
 texts and depends on the text alone.
 
-Null texts score as empty ones, which have no n-grams and get the intercept's score.
-Rows that repeat score alike. Without labels of both kinds every score is the base rate.
+Null texts score as empty ones, which have no n-grams and get the intercept's score. Texts
+of any length are read whole, some places at a time. Rows that repeat score alike; in
+training, rows of one doc_id are one row, with the least of their texts and the largest of
+their labels. Of n-grams with equal statistics the least hash stays. An empty table gives
+an empty table. Without labels of both kinds every score is the base rate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.common import Staged, held_out, read, small_batches
 
 BITS, SIZES, MAX_ROWS, FEATURES = 20, (3, 4, 5, 6), 20_000, 3_000
 THRESHOLD = 0.3
-BLOCK = 1 << 18
+BLOCK, PLACES = 1 << 18, 1 << 16
 
 
-def codes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").lower().encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+def ngrams(text: str | None, sizes=SIZES, bits: int = BITS) -> Iterator[np.ndarray]:
+    """Hashed n-grams of a text's code points, one for each place and size, for `PLACES` places at a time."""
+    low = (text or "").lower()
+    for lo in range(0, len(low), PLACES):
+        c = np.frombuffer(low[lo : lo + PLACES + max(sizes) - 1].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        h = np.zeros(len(c), np.uint64)
+        for k in range(1, max(sizes) + 1):
+            if len(c) < k:
+                break
+            h = h[: len(c) - k + 1] * np.uint64(0x100000001B3) + c[k - 1 :] + np.uint64(k)
+            if k in sizes:
+                yield ((h[:PLACES] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def ngrams(text: str | None, sizes=SIZES, bits: int = BITS) -> np.ndarray:
-    """Hashed n-grams of a text's code points, one for each place and size."""
-    c = codes(text)
-    out, h = [], np.zeros(len(c), np.uint64)
-    for k in range(1, max(sizes) + 1):
-        if len(c) < k:
-            break
-        h = h[: len(c) - k + 1] * np.uint64(0x100000001B3) + c[k - 1 :] + np.uint64(k)
-        if k in sizes:
-            out.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def present(text: str | None, chosen: np.ndarray | None = None) -> np.ndarray:
+    """The distinct n-grams of a text, or those of them that `chosen` marks."""
+    found = [np.unique(at if chosen is None else at[chosen[at]]) for at in ngrams(text)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 @dataclass
 class Model:
     weight: np.ndarray  # by hashed n-gram; 0 for those left out
     bias: float
+    chosen: np.ndarray | None = None  # where the weight isn't 0
 
     def score(self, text: str | None) -> float:
-        at = ngrams(text)
-        at = np.unique(at[self.weight[at] != 0])
+        at = present(text, self.weight != 0 if self.chosen is None else self.chosen)
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[at].sum(), -30, 30))))
 
 
@@ -62,7 +68,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rows[label] += 1
-            counts[label][np.unique(ngrams(text))] += 1
+            counts[label][present(text)] += 1
     at = np.flatnonzero(counts[0] + counts[1])  # rare ones too: other tasks may have them
     whole = [pa.array([-1]), pa.array(rows[:1]), pa.array(rows[1:])]
     yield pa.RecordBatch.from_arrays(whole, ["feature", "neg", "pos"])
@@ -105,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(max_rows)
-    rows = Staged(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxicity-sample").df
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = Staged(rows.select("text", "toxic"), "toxicity-sample").df
     counts = Staged(totals(rows).where("feature = -1 or neg + pos >= 4"), "toxicity-counts").df
     whole = counts.where("feature = -1").first()
     neg, pos = (float(whole[k]) if whole else 0.0 for k in ("neg", "pos"))
@@ -119,31 +126,37 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     place = np.full(1 << BITS, -1, np.int32)
     place[at] = np.arange(len(at), dtype=np.int32)
 
+    taken = place >= 0
+
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for t in batch.column(0).to_pylist():
-                f = place[ngrams(t)]
-                found.append(np.unique(f[f >= 0]).astype(np.int32))
+                found.append(np.unique(place[present(t, taken)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1).cast(pa.int64())], ["f", "y"])
 
     small_batches(spark)
     fit = rows.mapInArrow(chosen, "f array<int>, y long").toPandas()  # max_rows rows, `features` numbers each at most
     w, b = _fit([np.asarray(f, np.int32) for f in fit.f], fit.y.to_numpy(float), ratio, penalty)
     weight[at] = w
-    return Model(weight, b)
+    return Model(weight, b, weight != 0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `score`."""
-    model = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column | str], Column]:
+    """A function from a text column to its scores."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
-        return pd.Series([model.value.score(t) for t in text], dtype="float64")
+        return pd.Series([shared.value.score(t) for t in text], dtype="float64")
+
+    small_batches(spark)
+    return scored
+
 
-    small_batches(docs.sparkSession)
-    return docs.withColumn("score", scored("text"))
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with `score`, which replaces a column of that name."""
+    return docs.withColumn("score", scorer(docs.sparkSession, model)("text"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,14 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * powers(inverse(_Q), n)[: n - k + 1] + U(k))
 
 
+def ranges(words: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Hash of the words at[i] .. at[i] + k[i] - 1 for each i."""
+    n = len(words)
+    total = np.zeros(n + 1, U)
+    np.cumsum(words * powers(_Q, n)[:n], out=total[1:])
+    return mix((total[at + k] - total[at]) * powers(inverse(_Q), n + 1)[at] + k.astype(U))
+
+
 def slide(x: np.ndarray, width: int, op=np.minimum) -> np.ndarray:
     """op over x[i : i + width] for each i."""
     have, out = 1, x
