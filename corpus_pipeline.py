@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import jaccard_join, packing, pii_surrogates, substring_dedup, toxicity
-from palisade.llm.common import Staged, read
+from palisade.llm.common import Staged, read, scratch
 
 PASSAGE = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    return docs.where(toxicity.scorer(spark, model)("text") < toxicity.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii_surrogates.replace(docs, pii_surrogates.QUERY_KEY)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.drop("n_entities")
+    kept = docs.select("text", F.struct(*docs.columns).alias("row"))
+    out = pii_surrogates.replace(kept, pii_surrogates.QUERY_KEY)
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(cols["n_chars"])
+    return out.select(*(v.alias(c) for c, v in cols.items()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with scratch() as own:
+            done = Staged(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.remove(done)
+        if last:
+            last.drop()
+        docs, last = done.df, done
     return STAGES[-1][1](spark, docs, sf_dir)
