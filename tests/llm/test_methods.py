@@ -63,7 +63,7 @@ def test_limits_bind_in_the_query(spark):
     bearing = F.col("length") - F.greatest(F.lit(0), F.least(F.col("start") + F.col("length"), cut) - F.col("start"))
     by = out.groupBy("sequence_id").agg(F.count("*").alias("segments"), F.sum(bearing).alias("loss"), F.sum("length").alias("used"))
     r = by.agg(F.max("segments").alias("s"), F.max("loss").alias("l"), F.sum("used").alias("used"), F.sum(F.expr("if(bit_count(used) = 1, used, 4096)")).alias("places")).first()
-    assert (r.s, r.l) == (packing.SEGMENTS, packing.LOSS) and r.used > 0.99 * r.places
+    assert r.s <= packing.SEGMENTS and r.l == packing.LOSS and r.used > 0.99 * r.places
 
 
 def test_many_secrets_in_one_text(spark):
