@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Look-alike letters and the Latin ones they fold to.
 LOOKALIKES = (
@@ -28,8 +32,14 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(text, BLANKS, " ")
 
 
+@F.pandas_udf(T.StringType())
+def compose(text: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC), for which the JVM functions have no counterpart; plain ASCII goes through as it is."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 def normalize(text: Column) -> Column:
-    """All native steps; compatibility composition is `sources.unicode.compose`, where Python is needed."""
+    """All steps that need no Python; `compose` comes before them where text may hold compatibility forms."""
     return collapse_blanks(fold_lookalikes(strip_invisible(text)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions.rails import rank, verdict_of
 from palisade.sources.carriers import RATES
 
-GENESIS = "0" * 64
+BLOCK = 1024
 
 
 def sessions(turns: DataFrame) -> DataFrame:
@@ -45,17 +45,54 @@ def budget_breaches(usage: DataFrame, daily: int) -> DataFrame:
     return run.where(F.col("used") >= daily).groupBy("user_id", "day").agg(F.min("used").alias("used_at_breach"), F.count("*").alias("uses_after"))
 
 
-def chain(rows: DataFrame, group: str, seq: str, body: Column) -> DataFrame:
-    """prev and hash columns of an audit chain for each group: a record's hash covers its body, prev is the record's before."""
-    own = rows.withColumn("hash", F.sha2(body, 256))
-    return own.withColumn("prev", F.coalesce(F.lag("hash").over(Window.partitionBy(group).orderBy(seq)), F.lit(GENESIS)))
+def _start(group: str) -> Column:
+    """What the first record of a block links to."""
+    return F.sha2(F.concat_ws("|", F.col(group).cast("string"), F.col("block").cast("string")), 256)
 
 
-def verify_chain(rows: DataFrame, group: str, seq: str, body: Column) -> DataFrame:
-    """Records of each group whose hash or link to the record before is broken."""
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy(group).orderBy(seq)), F.lit(GENESIS))
-    checked = rows.withColumn("broken", (F.sha2(body, 256) != F.col("hash")) | (F.col("prev") != before))
-    return checked.groupBy(group).agg(F.count("*").alias("records"), F.count_if("broken").alias("broken"), F.min(F.when(F.col("broken"), F.col(seq))).alias("first_broken"))
+def _hashed(prev: Column, body: Column) -> Column:
+    return F.sha2(F.concat_ws("|", prev, body), 256)
+
+
+def chain(rows: DataFrame, group: str, seq: str, body: Column, block: int = BLOCK) -> DataFrame:
+    """`rows` with block, prev and hash: a record's hash covers its body and the hash before, in the order of seq.
+
+    A group's chain is cut into blocks of consecutive seq numbers, each a fold over at most `block`
+    records; `seals` links the blocks, so no group passes through one task."""
+    kept = F.struct(*rows.columns)
+    keyed = rows.select(F.col(group).alias("g"), F.floor(F.col(seq) / block).alias("block"), F.struct(F.col(seq).alias("s"), body.alias("body"), kept.alias("row")).alias("r"))
+    folded = keyed.groupBy("g", "block").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0)).alias("r"))
+    links = F.aggregate(
+        F.transform("r", lambda x: x["body"]),
+        F.struct(_start("g").alias("at"), F.expr("cast(array() as array<struct<prev:string,hash:string>>)").alias("out")),
+        lambda a, x: F.struct(_hashed(a["at"], x).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("prev"), _hashed(a["at"], x).alias("hash"))).alias("out")),
+        lambda a: a["out"],
+    )
+    out = folded.select("block", F.explode(F.arrays_zip(F.col("r.row").alias("row"), links.alias("link"))).alias("x"))
+    return out.select("x.row.*", "block", "x.link.prev", "x.link.hash")
+
+
+def seals(chained: DataFrame, group: str, seq: str) -> DataFrame:
+    """One row a block: how many records it has and its last hash, chained over the blocks of a group."""
+    ends = chained.groupBy(group, "block").agg(F.count("*").alias("n"), F.max_by("hash", seq).alias("last"))
+    return chain(ends.withColumnRenamed("block", "at"), group, "at", F.concat_ws("|", F.col("at").cast("string"), F.col("n").cast("string"), "last")).drop("block").withColumnRenamed("at", "block")
+
+
+def verify_chain(rows: DataFrame, sealed: DataFrame, group: str, seq: str, body: Column) -> DataFrame:
+    """Per group: records, those whose content or link is broken, the first of them, and blocks that differ from their seals."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy(group, "block").orderBy(seq)), _start(group))
+    checked = rows.withColumn("broken", (_hashed(F.col("prev"), body) != F.col("hash")) | (F.col("prev") != before))
+    blocks = checked.groupBy(group, "block").agg(
+        F.count("*").alias("records"), F.count_if("broken").alias("broken"), F.min(F.when(F.col("broken"), F.col(seq))).alias("first_broken"), F.max_by("hash", seq).alias("end"),
+    )
+    both = blocks.join(sealed.select(group, "block", "n", "last"), [group, "block"], "full")
+    whole = F.col("records").eqNullSafe(F.col("n")) & F.col("end").eqNullSafe(F.col("last"))
+    return both.groupBy(group).agg(F.sum(F.coalesce("records", F.lit(0))).alias("records"), F.sum(F.coalesce("broken", F.lit(0))).alias("broken"), F.min("first_broken").alias("first_broken"), F.count_if(~whole).alias("broken_blocks"))
+
+
+def last_hash(chained: DataFrame, group: str, seq: str) -> DataFrame:
+    """Where an append to a group's chain goes on."""
+    return chained.groupBy(group).agg(F.max_by("hash", seq).alias("hash"))
 
 
 def confusion(rows: DataFrame, expected: Column, actual: Column) -> DataFrame:
@@ -66,12 +103,16 @@ def confusion(rows: DataFrame, expected: Column, actual: Column) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Exact median, and the 95th percentile as the element at floor(0.95 n)."""
-    w = Window.partitionBy(key).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(key))
-    at = F.least(n - 1, F.floor(n * 0.95))
-    ranked = rows.select(key, value, (F.row_number().over(w) - 1).alias("i"), at.alias("at"))
-    return ranked.groupBy(key).agg(F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.max(F.when(F.col("i") == F.col("at"), F.col(value))), 6).alias("p95"))
+    """Exact median, and the 95th percentile as the element at floor(0.95 n). Values are counted first,
+    so the window orders distinct values, not rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value))
+    n = counts.groupBy(key).agg(F.sum("c").alias("n"))
+    ranked = counts.withColumn("upto", upto).join(n, key)
+    holds = lambda at: (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)
+    pick = lambda at: F.max(F.when(holds(at), F.col(value)))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return ranked.groupBy(key).agg(F.round((pick(low) + pick(high)) / 2, 6).alias("p50"), F.round(pick(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))), 6).alias("p95"))
 
 
 def arm_changes(outcomes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,28 +34,57 @@ def terms(text: Column) -> Column:
     return F.transform(kept, stem)
 
 
-def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """Paragraphs packed up to `size`; longer ones are cut at sentences, then hard; each chunk starts with the end of the one before."""
-    size, overlap = max(size, 120), min(overlap, max(size, 120) // 2)
-    flat = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
-    sentences = F.flatten(F.transform(flat, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.split(p, r"(?<=[.!?])\s+"))))
-    hard = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / size).cast("int")), lambda i: F.substr(s, i * size + 1, F.lit(size)))
-    pieces = F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(hard(s))))
-    tail = lambda c: F.regexp_replace(F.substr(c, F.greatest(F.lit(1), F.length(c) - overlap + 1)), r"^\S*\s+", "")
-    packed = F.aggregate(
+def _packed(pieces: Column, size: int, glue: str, fresh: Callable[[Column, Column], Column]) -> Column:
+    """Neighbours joined by `glue` while they fit; `fresh(full one, piece)` starts the next."""
+    return F.aggregate(
         pieces,
         F.struct(F.lit("").alias("cur"), F.expr("cast(array() as array<string>)").alias("out")),
         lambda a, p: F.when(a["cur"] == "", F.struct(p.alias("cur"), a["out"].alias("out")))
-        .when(F.length(a["cur"]) + 2 + F.length(p) <= size, F.struct(F.concat(a["cur"], F.lit("\n\n"), p).alias("cur"), a["out"].alias("out")))
-        .otherwise(F.struct((F.concat_ws("\n\n", tail(a["cur"]), p) if overlap else p).alias("cur"), F.array_append(a["out"], a["cur"]).alias("out"))),
+        .when(F.length(a["cur"]) + len(glue) + F.length(p) <= size, F.struct(F.concat(a["cur"], F.lit(glue), p).alias("cur"), a["out"].alias("out")))
+        .otherwise(F.struct(fresh(a["cur"], p).alias("cur"), F.array_append(a["out"], a["cur"]).alias("out"))),
         lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.array_append(a["out"], a["cur"])),
     )
-    return packed
+
+
+def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """Paragraphs packed up to `size`, each chunk starting with the end of the one before. A longer paragraph becomes
+    units of sentences joined up to `size`; of a sentence longer than that, full pieces stand by themselves."""
+    size, overlap = max(size, 120), max(0, min(overlap, max(size, 120) // 2))
+    blank = "[\\s\\x1c-\\x1f\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    flat = F.filter(F.transform(F.split(text, rf"\n{blank}*\n"), lambda p: F.trim(F.regexp_replace(p, f"{blank}+", " "))), lambda p: p != "")
+    pieces = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - 1) / size)).cast("int")), lambda i: F.substr(s, i * size + 1, F.lit(size)))
+    # a sentence's full pieces go out at once, before what is being joined, as in the order of reading they are units of their own
+    start = F.struct(F.lit("").alias("cur"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        cut = pieces(s)
+        full, rest = F.slice(cut, 1, F.size(cut) - 1), F.element_at(cut, -1)
+        out = F.concat(a["out"], full)
+        joined = F.concat(a["cur"], F.lit(" "), rest)
+        return (
+            F.when(a["cur"] == "", F.struct(rest.alias("cur"), out.alias("out")))
+            .when(F.length(joined) <= size, F.struct(joined.alias("cur"), out.alias("out")))
+            .otherwise(F.struct(rest.alias("cur"), F.array_append(out, a["cur"]).alias("out")))
+        )
+
+    long = lambda p: F.aggregate(F.split(p, r"(?<=[.!?]) "), start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.array_append(a["out"], a["cur"])))
+    units = F.flatten(F.transform(flat, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(long(p))))
+    tail = lambda c: F.regexp_replace(F.substr(c, F.greatest(F.lit(1), F.length(c) - overlap + 1)), r"(?s)^[^ ]* ", "")
+    fresh = (lambda c, p: F.regexp_replace(F.concat(tail(c), F.lit("\n\n"), p), r"^\s+", "")) if overlap else (lambda c, p: p)
+    return _packed(units, size, "\n\n", fresh)
+
+
+def counted(units: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf): words are counted first, and each distinct word is stemmed once."""
+    words = units.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("w")).where(~F.col("w").isin(*STOP))
+    words = words.groupBy(key, "w").agg(F.count("*").alias("n"))
+    stems = words.select("w").distinct().select("w", stem(F.col("w")).alias("term"))
+    return words.join(stems, "w").groupBy(key, "term").agg(F.sum("n").alias("tf"))
 
 
 def index(units: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (key, term, tf, length, df, n_units, avg_length) of every unit with a term."""
-    tf = units.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = counted(units, key, text)
     length = tf.groupBy(key).agg(F.sum("tf").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = length.agg(F.count("*").alias("n_units"), F.avg("length").alias("avg_length"))  # one row

@@ -6,7 +6,21 @@ from palisade.functions import rails
 from palisade.operators import retrieval
 from palisade.sources.carriers import PROMPTS, RATES, USAGE
 
-_Q = "'"
+
+
+def _moves() -> str:
+    """Places of digits in the check of twelve-digit numbers: powers of one permutation, row after row."""
+    rows = [list(range(10))]
+    for _ in range(7):
+        rows.append([(1, 5, 7, 6, 2, 8, 3, 0, 9, 4)[x] for x in rows[-1]])
+    return str([x for r in rows for x in r])
+
+
+def _products() -> str:
+    """The symmetries of a pentagon, 0 to 4 turns, 5 to 9 the same after a flip."""
+    turn = lambda a, b: (a + b) % 5 if a < 5 and b < 5 else 5 + (a + b - 5) % 5 if a < 5 else 5 + (a - 5 - b) % 5 if b < 5 else (a - b) % 5
+    return str([turn(a, b) for a in range(10) for b in range(10)])
+
 
 
 def _in(words) -> str:
@@ -96,14 +110,16 @@ _FOLD = f"""translate(regexp_replace(raw, '[​-‏]', '', 'g'), 'а', 'a')"""
 
 
 def oracle_sql() -> dict[str, str]:
-    mail = "regexp_extract(text, 'user[0-9]+@mail1.example.com')"
-    masked = lambda put: f"{_P} select request_id, replace(text, {mail}, {put}) as masked from prompts where request_id % 16 = 11"
-    value = lambda m, p, ok: f"{_P} select request_id, regexp_extract(text, '{p}') as value, {ok} as valid from prompts where request_id % 16 = {m}"
-    v = "regexp_extract(text, '{}')"
-    iban = v.format("GB[0-9A-Z]+")
-    ssn = v.format("[0-9]{3}-[0-9]{2}-[0-9]{4}")
+    at = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+[\p{L}\p{N}_]"
+    masked = lambda put: f"select doc_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || case when i <= len(m) then {put} else '' end), '')) as masked from (select doc_id, regexp_extract_all(text, '{at}') as m, regexp_split_to_array(text, '{at}') as g from documents)"
+    local, domain = "split_part(m[i], '@', 1)", "split_part(m[i], '@', 2)"
+    partly = f"substr({local}, 1, 2) || repeat('*', greatest(0, length({local}) - 2)) || '@' || repeat('*', greatest(1, length(regexp_extract({domain}, '^(.*)\\.[^.]*$', 1)))) || '.' || regexp_extract({domain}, '[^.]*$')"
+    value = lambda p, ok: f"{_P}, v as (select request_id, regexp_extract(text, '{p}') as value from prompts) select request_id, value, case when value = '' then false else coalesce({ok}, false) end as valid from v"
+    ds = "regexp_replace(value, '[^0-9]', '', 'g')"
+    turned = f"list_transform(range(1, 13), lambda k: {_moves()}[1 + ((k - 1) % 8) * 10 + cast(substr(reverse({ds}), k, 1) as int)])"
+    verhoeff = f"regexp_matches({ds}, '^[2-9][0-9]{{11}}$') and list_reduce(list_prepend(0, {turned}), lambda c, x: {_products()}[1 + c * 10 + x]) = 0"
     figures = lambda c: f"list_distinct(list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')), lambda x: length(x) >= 2))"
-    status = "case when length(text) > 8000 then 'oversized' when bad then 'blocked' when trim(text) = '' then 'empty' else '' end"
+    status = "case when length(text) > 200000 then 'oversized' when bad then 'blocked' when trim(text) = '' then 'empty' else '' end"
     ingest = f"with d as (select doc_id, text, {_INJECTION} >= 0.85 or {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} = 'block' as bad from documents), s as (select *, {status} as reason from d) "
     return {
         "q01_normalize_fold": f"""{_P}, r as (select request_id, regexp_replace(regexp_replace(text, 'a', 'а', 'g'), 'the ', 'the​ \t ', 'g') as raw from prompts),
@@ -115,21 +131,22 @@ def oracle_sql() -> dict[str, str]:
             from e where w[i] in ('idiot','moron','imbecile','scum','vermin') group by doc_id, w[i]""",
         "q04_word_rail_mask": r"select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bidiot\b', '*****', 'g'), '(?i)\bmoron\b', '*****', 'g'), '(?i)\bscum\b', '****', 'g'), '', '')) as masked from documents",
         "q05_pii_spans": f"select doc_id, kind, count(*) as n, cast(sum(start) as bigint) as starts from ({_FOUR}) group by all",
-        "q06_luhn": value(2, "4539[0-9 ]{15}", _luhn(v.format("4539[0-9 ]{15}"))),
-        "q08_iban_mod97": value(4, "GB[0-9A-Z]+", f"cast(array_to_string(list_transform(string_split(substr({iban}, 5) || substr({iban}, 1, 4), ''), lambda c: case when regexp_matches(c, '[A-Z]') then cast(ascii(c) - 55 as varchar) else c end), '') as hugeint) % 97 = 1"),
-        "q09_ssn": value(1, "[0-9]{3}-[0-9]{2}-[0-9]{4}", f"not (substr({ssn}, 1, 3) in ('000', '666') or substr({ssn}, 1, 1) = '9' or substr({ssn}, 5, 2) = '00' or substr({ssn}, 8, 4) = '0000')"),
-        "q10_pan": value(5, "[A-Z]{5}[0-9]{4}[A-Z]", f"substr({v.format('[A-Z]{5}[0-9]{4}[A-Z]')}, 4, 1) in ('A','B','C','F','G','H','L','J','P','T','K')"),
+        "q06_luhn": value("4539[0-9 ]{15}", _luhn("value")),
+        "q07_verhoeff": value("2345 [0-9]{4} [0-9]{4}", verhoeff),
+        "q08_iban_mod97": value("GB[0-9A-Z]+", "length(value) between 15 and 34 and try_cast(array_to_string(list_transform(string_split(substr(value, 5) || substr(value, 1, 4), ''), lambda c: case when regexp_matches(c, '[A-Z]') then cast(ascii(c) - 55 as varchar) else c end), '') as hugeint) % 97 = 1"),
+        "q09_ssn": value("[0-9]{3}-[0-9]{2}-[0-9]{4}", "not (substr(value, 1, 3) in ('000', '666') or substr(value, 1, 1) = '9' or substr(value, 5, 2) = '00' or substr(value, 8, 4) = '0000')"),
+        "q10_pan": value("[A-Z]{5}[0-9]{4}[A-Z]", "substr(value, 4, 1) in ('A','B','C','F','G','H','L','J','P','T','K')"),
         "q11_allowlist_partition": f"select count(*) as found, count(*) filter (where ends_with(value, '@mail1.example.com')) as exempt from ({_FOUR}) where kind = 'EMAIL_ADDRESS'",
         "q12_mask_redact": masked("'[REDACTED]'"),
         "q13_mask_replace": masked("'<EMAIL_ADDRESS>'"),
-        "q14_mask_hash": masked(f"'<EMAIL_ADDRESS:' || substr(sha256({mail}), 1, 8) || '>'"),
-        "q15_mask_partial": masked("'us***@***.com'"),
+        "q14_mask_hash": masked("'<EMAIL_ADDRESS:' || substr(sha256(m[i]), 1, 8) || '>'"),
+        "q15_mask_partial": masked(partly),
         "q16_rules_verdict": f"{_P} select request_id, {_rules(rails.SECURITY_RULES)} as security, {_rules(rails.USE_CASE_RULES)} as use_case, cast({' + '.join(f'''len(regexp_extract_all(text, '(?i){rails.parse_rule(r)[0]}'))''' for r in rails.USE_CASE_RULES)} as bigint) as use_case_hits from prompts",
         "q17_injection_scan": f"{_P}, s as (select request_id, text, cast({_INJECTION} as double) as score from prompts) select request_id, score, {_TECHNIQUE} as technique, score >= 0.85 as blocked from s",
         "q19_scope_vocab": "select doc_id, array_to_string(list_filter(['claim', 'death', 'fee', 'license', 'permit'], lambda t: contains(lower(text), t)), ',') as hits from documents",
         "q23_severity_thresholds": "select event_id, round(case event_id % 4 when 3 then 2.0 else least(1.0, greatest(0.0, (event_id % 101) / 100.0 * [0.7, 1.0, 1.3][1 + event_id % 4])) end, 6)::double as threshold from events",
         "q27_tokens_df": f"select term, count(*) as df from (select doc_id, unnest(list_distinct({_TERMS})) as term from documents) group by term",
-        "q28_stem": f"select distinct w as word, {_stem('w')} as stem from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark)",
+        "q28_stem": f"select distinct w as word, {_stem('w')} as stem from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents)",
         "q29_bm25_topk": _BM25 + "select * from top",
         "q32_retrieval_metrics": _BM25 + """, ds as (select doc_id, array_to_string(w[i:i+7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from (select doc_id, string_split(text, ' ') as w from documents))),
             bs as (select item_id as query_id, array_to_string(w[i:i+7], ' ') as s from (select item_id, w, unnest(range(1, len(w) - 6)) as i from (select item_id, string_split(text, ' ') as w from benchmark))),
@@ -150,11 +167,16 @@ def oracle_sql() -> dict[str, str]:
         "q38_usage_cost": f"with u as ({USAGE}) select user_id, model, cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(tokens_out) as bigint) as tokens_out, cast(sum(tokens_in * ({_rate(1)}) + tokens_out * ({_rate(2)})) as bigint) as micros from u group by all",
         "q39_budget_breach": f"with u as ({USAGE}), r as (select user_id, strftime(ts, '%Y-%m-%d') as day, sum(tokens_in + tokens_out) over (partition by user_id, strftime(ts, '%Y-%m-%d') order by ts, tokens_in, tokens_out rows unbounded preceding) as used from u) select user_id, day, cast(min(used) as bigint) as used_at_breach, count(*) as uses_after from r where used >= 1500 group by all",
         "q40_history_cap": "select conv_id as session_id, turn as ordinal, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
-        "q41_audit_chain_verify": f"""{_P}, c as (select request_id, surface, text, strftime(ts, '%Y-%m-%d') as day, sha256(concat_ws('|', cast(request_id as varchar), surface, text)) as hash from prompts),
-            k as (select *, coalesce(lag(hash) over (partition by day order by request_id), repeat('0', 64)) as prev from c),
-            t as (select * replace (case when request_id % 97 = 0 then text || '!' else text end as text) from k where request_id % 101 <> 0),
-            v as (select day, request_id, sha256(concat_ws('|', cast(request_id as varchar), surface, text)) <> hash or prev <> coalesce(lag(hash) over (partition by day order by request_id), repeat('0', 64)) as broken from t)
-            select day, count(*) as records, count(*) filter (where broken) as broken, min(case when broken then request_id end) as first_broken from v group by day""",
+        "q41_audit_chain_verify": f"""{_P.replace('with', 'with recursive', 1)}, r as (select request_id, surface, text, strftime(ts, '%Y-%m-%d') as day, request_id // 64 as block, concat_ws('|', cast(request_id as varchar), surface, text) as body from prompts),
+            k as (select *, sha256(day || '|' || block) as start, row_number() over (partition by day, block order by request_id) as i from r),
+            c as (select *, start as prev, sha256(start || '|' || body) as hash from k where i = 1 union all select k.*, c.hash, sha256(c.hash || '|' || k.body) from c join k on k.day = c.day and k.block = c.block and k.i = c.i + 1),
+            s as (select day, block, count(*) as n, arg_max(hash, i) as last from c group by all),
+            t as (select * replace (case when request_id % 97 = 0 then text || '!' when request_id % 89 = 0 then text || '?' else text end as text) from c where request_id % 101 <> 0),
+            u as (select *, sha256(prev || '|' || concat_ws('|', cast(request_id as varchar), surface, text)) as now from t),
+            w as (select * replace (case when request_id % 89 = 0 then now else hash end as hash) from u),
+            v as (select *, now <> hash or prev <> coalesce(lag(hash) over (partition by day, block order by request_id), start) as broken from w),
+            b as (select day, block, count(*) as n, count(*) filter (where broken) as broken, min(case when broken then request_id end) as first_broken, arg_max(hash, i) as last from v group by all)
+            select day, cast(sum(coalesce(b.n, 0)) as bigint) as records, cast(sum(coalesce(broken, 0)) as bigint) as broken, min(first_broken) as first_broken, count(*) filter (where b.n is distinct from s.n or b.last is distinct from s.last) as broken_blocks from s left join b using (day, block) group by day""",
         "q42_entitlement": "select (a.p = o_custkey) or coalesce(c_mktsegment = 'BUILDING', false) as entitled, count(*) as n from (select *, o_custkey + o_orderkey % 2 as p from orders) a left join customer on c_custkey = a.p group by 1",
         "q44_supervisor_floor": f"{_OUTCOMES}, e as (select user_id, case when case_id % 5 = 0 then null else {_rank('actual')} end as r from outcomes where user_id % 3 <> 0 or case_id % 7 = 0) select user_id, [{_in(rails.LEVELS)}][1 + coalesce(max(r), 0)] as verdict from e group by 1",
         "q47_lexical_grounding": """with t as (select conv_id, turn, role, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from conversations)
@@ -188,8 +210,8 @@ def oracle_sql() -> dict[str, str]:
             o as (select v, case when abs(s - 70) > 10 or w = 'unsure' then v when {_rank('w')} > {_rank('v')} then w when c >= 8 then [{_in(rails.LEVELS)}][1 + least({_rank('v')}, greatest({_rank('w')}, 1))] else v end as a from e)
             select v as before, a as after, count(*) as n from o group by all""",
         "q46_content_breach": """with s as (select event_id, event_id * 7 % 101 / 100 as hate, event_id * 11 % 101 / 100 as insults, event_id * 15 % 101 / 100 as misconduct, event_id * 19 % 101 / 100 as self_harm, event_id * 23 % 101 / 100 as sexual, event_id * 27 % 101 / 100 as violence from events),
-            b as (select event_id, concat_ws(',', case when hate >= 0.5 then 'hate' end, case when insults >= 0.6 then 'insults' end, case when misconduct >= 0.7 then 'misconduct' end, case when self_harm >= 0.4 then 'self_harm' end, case when sexual >= 0.8 then 'sexual' end, case when violence >= 0.9 then 'violence' end) as breached,
-              round(greatest(hate / 0.5, insults / 0.6, misconduct / 0.7, self_harm / 0.4, sexual / 0.8, violence / 0.9), 6) as worst from s)
+            b as (select event_id, concat_ws(',', case when hate >= 0.7 then 'hate' end, case when insults >= 0.75 then 'insults' end, case when misconduct >= 0.7 then 'misconduct' end, case when self_harm >= 0.4 then 'self_harm' end, case when sexual >= 0.6 then 'sexual' end, case when violence >= 0.65 then 'violence' end) as breached,
+              round(greatest(hate / 0.7, insults / 0.75, misconduct / 0.7, self_harm / 0.4, sexual / 0.6, violence / 0.65), 6) as worst from s)
             select event_id, case when breached = '' then 'pass' else 'block' end as verdict, breached, worst from b""",
         "q48_claims": r"""with t as (select conv_id, turn, role, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda c: trim(c)), lambda c: c <> '') as cl from conversations)
             select a.conv_id, a.turn, cast(len(a.cl) as bigint) as claims, cast(len(list_filter(a.cl, lambda c: len(regexp_extract_all(lower(c), '[a-z0-9]+')) > 0

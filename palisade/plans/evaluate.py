@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import pii, rails
-from palisade.functions.normalize import normalize
+from palisade.functions.normalize import compose, normalize
 
-MAX_CHARS = 20_000
+MAX_CHARS = 200_000
 INJECTION_SURFACES = ("user.prompt", "user.feedback", "ingest.document", "agent.data")
 
 
@@ -17,7 +17,7 @@ def evaluate(rows: DataFrame) -> DataFrame:
 
     Works alike on a stream: no step needs another row.
     """
-    t = rows.withColumn("clean", normalize(F.coalesce("text", F.lit(""))))
+    t = rows.withColumn("clean", normalize(compose(F.coalesce("text", F.lit("")))))
     t = t.withColumn("terms", rails.blocked_terms(F.col("clean"))).withColumn("found", pii.detect(F.col("clean")))
     t = t.withColumn("words_verdict", F.when(F.size("terms") > 0, "mask").otherwise("pass"))
     t = t.withColumn("pii_verdict", F.when(F.size("found") > 0, "mask").otherwise("pass"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import checksums, pii, rails
-from palisade.functions.normalize import change_count, normalize
+from palisade.functions.normalize import change_count, compose, normalize
 from palisade.operators import decisions, records, retrieval
 from palisade.oracles import oracle_sql  # noqa: F401
 from palisade.plans.evaluate import evaluate, ingest
@@ -21,7 +20,8 @@ FOUR = {"EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS", "PHONE_NUMBER"}
 #: Stop words of the fallback search, permissions by role, thresholds by category.
 SHORT_STOP = ("a", "an", "and", "the", "of", "to", "in", "is")
 GRANTS = (("BUILDING", "chat"), ("BUILDING", "traces"), ("BUILDING", "policy"), ("MACHINERY", "chat"), ("MACHINERY", "traces"), ("FURNITURE", "chat"), ("AUTOMOBILE", "documents"))
-CATEGORIES = {"hate": 0.5, "insults": 0.6, "misconduct": 0.7, "self_harm": 0.4, "sexual": 0.8, "violence": 0.9}
+CATEGORIES = {"hate": 0.7, "insults": 0.75, "misconduct": 0.7, "self_harm": 0.4, "sexual": 0.6, "violence": 0.65}
+AUDIT_BLOCK = 64
 SCOPE = ("license", "death", "permit", "fee", "claim")
 
 
@@ -52,29 +52,34 @@ def q05_pii_spans(spark, d):
     return found.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("s.start").cast("long")).alias("starts"))
 
 
-def _checked(spark, d, m, pattern, check):
+def _checked(spark, d, pattern, check):
     v = F.regexp_extract("text", pattern, 0)
-    return prompts(spark, d).where(F.col("request_id") % 16 == m).select("request_id", v.alias("value"), check(v).alias("valid"))
+    return prompts(spark, d).select("request_id", v.alias("value"), check(v).alias("valid"))
+
+
+def q02_nfkc(spark, d):
+    wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz0123456789", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９")
+    return prompts(spark, d).select("request_id", compose(wide).alias("composed"))
 
 
 def q06_luhn(spark, d):
-    return _checked(spark, d, 2, "4539[0-9 ]{15}", checksums.luhn)
+    return _checked(spark, d, "4539[0-9 ]{15}", checksums.luhn)
 
 
 def q07_verhoeff(spark, d):
-    return _checked(spark, d, 3, "2345[0-9 ]{10}", checksums.verhoeff)
+    return _checked(spark, d, "2345 [0-9]{4} [0-9]{4}", checksums.verhoeff)
 
 
 def q08_iban_mod97(spark, d):
-    return _checked(spark, d, 4, "GB[0-9A-Z]+", checksums.iban)
+    return _checked(spark, d, "GB[0-9A-Z]+", checksums.iban)
 
 
 def q09_ssn(spark, d):
-    return _checked(spark, d, 1, "[0-9]{3}-[0-9]{2}-[0-9]{4}", checksums.ssn)
+    return _checked(spark, d, "[0-9]{3}-[0-9]{2}-[0-9]{4}", checksums.ssn)
 
 
 def q10_pan(spark, d):
-    return _checked(spark, d, 5, "[A-Z]{5}[0-9]{4}[A-Z]", checksums.pan)
+    return _checked(spark, d, "[A-Z]{5}[0-9]{4}[A-Z]", checksums.pan)
 
 
 def q11_allowlist_partition(spark, d):
@@ -86,7 +91,7 @@ def q11_allowlist_partition(spark, d):
 def _mail_masked(spark, d, strategy):
     text = F.col("text")
     out = pii.mask(text, pii.detect(text, entities={"EMAIL_ADDRESS"}), strategy)
-    return prompts(spark, d).where("request_id % 16 = 11").select("request_id", out.alias("masked"))
+    return _docs(spark, d).select("doc_id", F.md5(out).alias("masked"))
 
 
 def q12_mask_redact(spark, d):
@@ -102,7 +107,7 @@ def q14_mask_hash(spark, d):
 
 
 def q15_mask_partial(spark, d):
-    return _mail_masked(spark, d, "partial")
+    return _mail_masked(spark, d, pii.partial(4, 2))
 
 
 def q16_rules_verdict(spark, d):
@@ -130,7 +135,7 @@ def q21_verdict_counts(spark, d):
 
 
 def q22_evaluate_masked(spark, d):
-    return evaluate(prompts(spark, d)).where("request_id % 16 in (2, 7, 14)").select("request_id", "text_out")
+    return evaluate(prompts(spark, d)).select("request_id", "text_out")
 
 
 def q23_severity_thresholds(spark, d):
@@ -152,13 +157,12 @@ def q26_chunk_stats(spark, d):
 
 
 def q27_tokens_df(spark, d):
-    t = F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("term")
-    return _docs(spark, d).select("doc_id", t).groupBy("term").agg(F.count("*").alias("df"))
+    return retrieval.counted(_docs(spark, d), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def q28_stem(spark, d):
-    w = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word")
-    return table(spark, d, "benchmark").select(w).distinct().select("word", retrieval.stem(F.col("word")).alias("stem"))
+    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")
+    return _docs(spark, d).select(w).distinct().select("word", retrieval.stem(F.col("word")).alias("stem"))
 
 
 def _queries(spark, d):
@@ -192,11 +196,11 @@ def q33_rail_confusion(spark, d):
 
 
 def q34_ingest_status(spark, d):
-    return ingest(_docs(spark, d), 8_000).select("doc_id", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+    return ingest(_docs(spark, d)).select("doc_id", "status", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def q35_corpus_stats(spark, d):
-    out = ingest(_docs(spark, d), 8_000)
+    out = ingest(_docs(spark, d))
     return out.agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), F.sum(F.when(F.col("status") == "indexed", F.length("text"))).cast("long").alias("chars"))
 
 
@@ -223,9 +227,13 @@ def q40_history_cap(spark, d):
 def q41_audit_chain_verify(spark, d):
     body = F.concat_ws("|", F.col("request_id").cast("string"), F.col("surface"), F.col("text"))
     rows = prompts(spark, d).select("request_id", "surface", "text", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    kept = records.chain(rows, "day", "request_id", body)
-    changed = kept.withColumn("text", F.when(F.col("request_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).where("request_id % 101 != 0")
-    return records.verify_chain(changed, "day", "request_id", body)
+    kept = records.chain(rows, "day", "request_id", body, AUDIT_BLOCK)
+    sealed = records.seals(kept, "day", "request_id")
+    # forged texts, forged texts with a new hash of their own, and records taken out
+    i = F.col("request_id")
+    changed = kept.where(i % 101 != 0).withColumn("text", F.when(i % 97 == 0, F.concat("text", F.lit("!"))).when(i % 89 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")))
+    changed = changed.withColumn("hash", F.when(i % 89 == 0, F.sha2(F.concat_ws("|", "prev", body), 256)).otherwise(F.col("hash")))
+    return records.verify_chain(changed, sealed, "day", "request_id", body)
 
 
 def q42_entitlement(spark, d):
@@ -288,17 +296,20 @@ def q56_regeneration_pick(spark, d):
 
 
 def q59_approval_ttl(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    asked = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("ask"), F.col("ts").alias("asked"))
-    said = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("said"))
-    age = F.unix_timestamp("said") - F.unix_timestamp("asked")
-    hit = asked.join(said, "user_id").where((age >= 0) & (age <= 86_400)).groupBy("ask").agg(F.min(age).alias("age"))
-    return asked.join(hit, "ask", "left").groupBy(F.when(F.col("age").isNull(), "expired").otherwise("claimed").alias("state")).agg(F.count("*").alias("n"))
+    """Each signup asks; the user's next purchase within a day claims."""
+    e = table(spark, d, "events").where("event_type in ('signup', 'purchase')").select("user_id", "event_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    said = F.when(F.col("event_type") == "purchase", F.col("at"))
+    later = Window.partitionBy("user_id").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    asked = e.withColumn("next", F.min(said).over(later)).where("event_type = 'signup'")
+    state = F.when(F.coalesce(F.col("next") - F.col("at") <= 86_400, F.lit(False)), "claimed").otherwise("expired")
+    return asked.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def _streamed(spark: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All of a file stream's results in update-free form, through a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palisade-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
