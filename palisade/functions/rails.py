@@ -103,6 +103,11 @@ def rule_hits(text: Column, rules) -> Column:
     return sum(counts[1:], counts[0]).cast("long")
 
 
+def rule_spans(text: Column, rules) -> Column:
+    """All places of all rules."""
+    return F.concat(*[spans.find(text, f"(?i){parse_rule(r)[0]}", parse_rule(r)[1], i) for i, r in enumerate(rules)])
+
+
 def injection_score(text: Column, techniques: set[str] | None = None) -> Column:
     scores = [F.when(text.rlike(f"(?i){p}"), s).otherwise(0.0) for t, s, p in INJECTION if techniques is None or t in techniques]
     return F.greatest(*scores)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palisade import oracles_governance
 from palisade.functions import rails
 from palisade.operators import retrieval
 from palisade.sources.carriers import PROMPTS, RATES, USAGE
@@ -121,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
     figures = lambda c: f"list_distinct(list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')), lambda x: length(x) >= 2))"
     status = "case when length(text) > 200000 then 'oversized' when bad then 'blocked' when trim(text) = '' then 'empty' else '' end"
     ingest = f"with d as (select doc_id, text, {_INJECTION} >= 0.85 or {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} = 'block' as bad from documents), s as (select *, {status} as reason from d) "
-    return {
+    return oracles_governance.oracle_sql() | {
         "q01_normalize_fold": f"""{_P}, r as (select request_id, regexp_replace(regexp_replace(text, 'a', 'а', 'g'), 'the ', 'the​ \t ', 'g') as raw from prompts),
             c as (select request_id, raw, regexp_replace({_FOLD}, '[ \t]+', ' ', 'g') as clean from r)
             select request_id, clean, cast(list_sum(list_transform(range(1, least(length(raw), length(clean)) + 1), lambda i: case when substr(raw, i, 1) <> substr(clean, i, 1) then 1 else 0 end)) + abs(length(raw) - length(clean)) as bigint) as changes from c""",
@@ -192,7 +193,6 @@ def oracle_sql() -> dict[str, str]:
         "q60_stream_tumbling": "select strftime(ts, '%Y-%m-%d') as day, user_id, count(*) as n, cast(sum(floor(abs(value))) as bigint) as used from events group by all",
         "q61_stream_sliding": "with w as (select time_bucket(interval 15 minutes, ts) - to_minutes(15 * k) as s, event_type from events, range(4) r(k)) select strftime(s, '%Y-%m-%d %H:%M') as start, count(*) as n, count(*) filter (where event_type = 'error') as errors from w group by 1",
         "q63_html_text": r"select page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) as text_md5 from pages",
-        "q64_agent_suite": "select event_type, count(*) as cases, round(avg(case when event_id % 4 = user_id % 4 then 1.0 else 0.0 end), 6) as routing, round(avg(case when event_id % 3 <> 0 then case when value > 10 then 1.0 else 0.0 end end), 6) as decisions from events group by 1",
         "q65_detection_by_source": f"select source, kind, count(*) as n from ({_FOUR}) group by all",
         "q22_rail_counts": f"""{_P}, r as (select case when regexp_matches(lower(text), '(^|[^a-z0-9_])(idiot|moron|imbecile|scum|vermin)($|[^a-z0-9_])') then 'mask' else 'pass' end as words, {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} as rules,
             case when surface in ('user.prompt', 'user.feedback', 'ingest.document', 'agent.data') and {_INJECTION} >= 0.85 then 'block' else 'pass' end as injection from prompts)

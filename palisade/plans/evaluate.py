@@ -9,7 +9,8 @@ from palisade.functions import pii, rails
 from palisade.functions.normalize import compose, normalize
 
 MAX_CHARS = 200_000
-INJECTION_SURFACES = ("user.prompt", "user.feedback", "ingest.document", "agent.data")
+RUNS_ALWAYS, RUNS_BY_MATRIX = ("ingest.document", "agent.data"), ("user.prompt", "user.feedback")
+INJECTION_SURFACES = RUNS_BY_MATRIX + RUNS_ALWAYS
 
 
 def evaluate(rows: DataFrame) -> DataFrame:
@@ -35,3 +36,19 @@ def ingest(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     out = evaluate(docs.withColumn("surface", F.lit("ingest.document")))
     reason = F.when(F.length("text") > max_chars, "oversized").when(F.col("verdict") == "block", "blocked").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty")
     return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "indexed").otherwise("quarantined"))
+
+
+def composed(rows: DataFrame, rules: tuple[str, ...], entities: set[str] | None = None) -> DataFrame:
+    """`rows` with text_out: each rail that masks rewrites what the one before left, in the order words, identifiers, rules.
+
+    A rail takes part by what it finds in the given text, and finds its places anew in the text at hand."""
+    text = F.col("text")
+    masks = {
+        "words": (F.size(rails.blocked_terms(text)) > 0, lambda t: rails.star_out(t, rails.blocked_terms(t))),
+        "pii": (F.size(pii.detect(text, entities=entities)) > 0, lambda t: pii.mask(t, pii.detect(t, entities=entities))),
+        "rules": (rails.rule_verdict(text, rules) == "mask", lambda t: rails.star_out(t, rails.rule_spans(t, rules))),
+    }
+    out = rows.select("*", *(asked.alias(f"__{k}") for k, (asked, _) in masks.items())).withColumn("text_out", text)
+    for k, (_, rewrite) in masks.items():
+        out = out.withColumn("text_out", F.when(F.col(f"__{k}"), rewrite(F.col("text_out"))).otherwise(F.col("text_out")))
+    return out.drop(*(f"__{k}" for k in masks))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade import queries_governance
 from palisade.functions import checksums, pii, rails
 from palisade.functions.normalize import change_count, compose, normalize
 from palisade.operators import decisions, records, retrieval
@@ -336,11 +337,6 @@ def q63_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(F.trim(bare)).alias("text_md5"))
 
 
-def q64_agent_suite(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("cases"), F.round(F.avg((F.col("event_id") % 4 == F.col("user_id") % 4).cast("double")), 6).alias("routing"), F.round(F.avg(F.when(F.col("event_id") % 3 != 0, (F.col("value") > 10).cast("double"))), 6).alias("decisions"))
-
-
 def q65_detection_by_source(spark, d):
     docs = table(spark, d, "documents")
     found = docs.select("source", F.explode(pii.candidates(F.col("text"), entities=FOUR)).alias("s"))
@@ -411,4 +407,5 @@ def q69_two_arm_pivot(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("q") and k[1:3].isdigit()}
+    own = {**globals(), **vars(queries_governance)}
+    return {k: f for k, f in own.items() if k.startswith("q") and k[1:3].isdigit()}
