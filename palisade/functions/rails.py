@@ -72,13 +72,18 @@ def _term(t: str, mode: str) -> str:
 
 
 def blocked_terms(text: Column, terms=BLOCKLIST, allow=ALLOWLIST, mode: str = "word") -> Column:
-    """Hits of a lexicon, without those inside an allowed phrase. Terms over 256 characters are ignored."""
+    """Hits of a lexicon, without those inside an allowed phrase. Terms over 256 characters are ignored.
+
+    One alternation tells whether a text holds any term; only then are the terms looked for one by one."""
     lower = F.lower(text)
-    hits = F.concat(*[spans.find(lower, _term(t, mode), "blocked_term", i) for i, t in enumerate(terms) if 0 < len(t) <= 256])
-    if not allow:
-        return hits
-    free = F.concat(*[spans.find(lower, _term(t, mode), "allowed", i) for i, t in enumerate(allow)])
-    return F.filter(hits, lambda h: ~F.exists(free, lambda a: (a["start"] <= h["start"]) & (h["stop"] <= a["stop"])))
+    used = [t for t in terms if 0 < len(t) <= 256]
+    if not used:
+        return F.expr(spans.NONE)
+    hits = F.concat(*[spans.find(lower, _term(t, mode), "blocked_term", i) for i, t in enumerate(used)])
+    if allow:
+        free = F.concat(*[spans.find(lower, _term(t, mode), "allowed", i) for i, t in enumerate(allow)])
+        hits = F.filter(hits, lambda h: ~F.exists(free, lambda a: (a["start"] <= h["start"]) & (h["stop"] <= a["stop"])))
+    return F.when(lower.rlike("|".join(_term(t, "substring") for t in used)), hits).otherwise(F.expr(spans.NONE))
 
 
 def star_out(text: Column, hits: Column) -> Column:

@@ -45,7 +45,7 @@ def test_pii(spark):
     t = F.col("text")
     assert [x.kind for x in one(spark, "card 4539 5787 6362 1486", pii.detect(t))] == ["CREDIT_CARD"]
     assert one(spark, "mail jo.e@x.org now", pii.mask(t, pii.detect(t), "replace")) == "mail <EMAIL_ADDRESS> now"
-    assert one(spark, "mail joe@x.org now", pii.mask(t, pii.detect(t), "partial")) == "mail jo***@***.org now"
+    assert one(spark, "mail joe@x.org now", pii.mask(t, pii.detect(t), "partial")) == "mail ***@*.org now"
     assert one(spark, "é 10.0.0.1 é", pii.mask(t, pii.detect(t), "redact")) == "é [REDACTED] é"
 
 
@@ -67,7 +67,7 @@ def test_evaluate(spark):
     out = evaluate(spark.createDataFrame(rows, "text string, surface string")).collect()
     assert [r.verdict for r in out] == ["mask", "block", "pass", "block", "pass", "pass"]
     assert out[0].text_out == "you *****, mail <EMAIL_ADDRESS>"
-    got = ingest(spark.createDataFrame([(1, "x" * 30_000), (2, "drop database"), (3, " "), (4, "fine")], "doc_id int, text string")).orderBy("doc_id").collect()
+    got = ingest(spark.createDataFrame([(1, "x" * 200_001), (2, "drop database"), (3, " "), (4, "fine")], "doc_id int, text string")).orderBy("doc_id").collect()
     assert [r.reason for r in got] == ["oversized", "blocked", "empty", None]
 
 
