@@ -119,6 +119,22 @@ def oracle_sql() -> dict[str, str]:
     ds = "regexp_replace(value, '[^0-9]', '', 'g')"
     turned = f"list_transform(range(1, 13), lambda k: {_moves()}[1 + ((k - 1) % 8) * 10 + cast(substr(reverse({ds}), k, 1) as int)])"
     verhoeff = f"regexp_matches({ds}, '^[2-9][0-9]{{11}}$') and list_reduce(list_prepend(0, {turned}), lambda c, x: {_products()}[1 + c * 10 + x]) = 0"
+    digits = lambda v: f"regexp_replace({v}, '[^0-9]', '', 'g')"
+    first = lambda p: f"regexp_extract(text, '{p}')"
+    twelve, iban, ssn = first(r"\b[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}\b"), first(r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"), first(r"\b\d{3}[- ]\d{2}[- ]\d{4}\b")
+    personal = " or ".join(
+        (
+            f"regexp_matches(text, '{at}')", r"regexp_matches(text, 'CLM-\d{8}')", r"regexp_matches(text, '\b(?:0?[1-9]|[12]\d|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:19|20)\d{2}\b')",
+            f"({first(r'[A-Z]{5}[0-9]{4}[A-Z]')} <> '' and regexp_matches(text, '\\b[A-Z]{{3}}[ABCFGHLJPTK][A-Z][0-9]{{4}}[A-Z]\\b'))",
+            f"({ssn} <> '' and not (substr({ssn}, 1, 3) in ('000', '666') or substr({ssn}, 1, 1) = '9' or substr({ssn}, 5, 2) = '00' or substr({ssn}, 8, 4) = '0000'))",
+            f"coalesce(({_luhn(first(r'\b[0-9][0-9 -]{11,22}[0-9]\b'))}), false)",
+            f"case when {twelve} = '' then false else coalesce({verhoeff.replace(ds, digits(twelve))}, false) end",
+            f"case when {iban} = '' then false else coalesce(try_cast(array_to_string(list_transform(string_split(substr({iban}, 5) || substr({iban}, 1, 4), ''), lambda c: case when regexp_matches(c, '[A-Z]') then cast(ascii(c) - 55 as varchar) else c end), '') as hugeint) % 97 = 1, false) end",
+        )
+    )
+    judged = f"""{_P}, r as (select request_id, surface, case when regexp_matches(lower(text), '(^|[^a-z0-9_])(idiot|moron|imbecile|scum|vermin)($|[^a-z0-9_])') then 'mask' else 'pass' end as words_verdict, {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} as rules_verdict,
+        case when surface in ('user.prompt', 'user.feedback', 'ingest.document', 'agent.data') and {_INJECTION} >= 0.85 then 'block' else 'pass' end as injection_verdict, {personal} as personal from prompts),
+        v as (select request_id, surface, words_verdict, rules_verdict, injection_verdict, case when rules_verdict = 'block' or injection_verdict = 'block' then 'block' when personal or words_verdict = 'mask' then 'mask' else 'pass' end as verdict from r) """
     figures = lambda c: f"list_distinct(list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')), lambda x: length(x) >= 2))"
     status = "case when length(text) > 200000 then 'oversized' when bad then 'blocked' when trim(text) = '' then 'empty' else '' end"
     ingest = f"with d as (select doc_id, text, {_INJECTION} >= 0.85 or {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} = 'block' as bad from documents), s as (select *, {status} as reason from d) "
@@ -145,6 +161,9 @@ def oracle_sql() -> dict[str, str]:
         "q16_rules_verdict": f"{_P} select request_id, {_rules(rails.SECURITY_RULES)} as security, {_rules(rails.USE_CASE_RULES)} as use_case, cast({' + '.join(f'''len(regexp_extract_all(text, '(?i){rails.parse_rule(r)[0]}'))''' for r in rails.USE_CASE_RULES)} as bigint) as use_case_hits from prompts",
         "q17_injection_scan": f"{_P}, s as (select request_id, text, cast({_INJECTION} as double) as score from prompts) select request_id, score, {_TECHNIQUE} as technique, score >= 0.85 as blocked from s",
         "q19_scope_vocab": "select doc_id, array_to_string(list_filter(['claim', 'death', 'fee', 'license', 'permit'], lambda t: contains(lower(text), t)), ',') as hits from documents",
+        "q20_evaluate_verdict": judged + "select * from v",
+        "q21_verdict_counts": judged + "select surface, verdict, count(*) as n from v group by all",
+        "q25_review_trigger": judged + ", w as (select verdict, cast(('0x' || right(sha256(cast(request_id as varchar)), 2)) as int) < 13 as picked from v) select case when verdict in ('block', 'mask') then verdict when picked then 'sampled' else 'none' end as why, count(*) as n from w group by 1",
         "q23_severity_thresholds": "select event_id, round(case event_id % 4 when 3 then 2.0 else least(1.0, greatest(0.0, (event_id % 101) / 100.0 * [0.7, 1.0, 1.3][1 + event_id % 4])) end, 6)::double as threshold from events",
         "q27_tokens_df": f"select term, count(*) as df from (select doc_id, unnest(list_distinct({_TERMS})) as term from documents) group by term",
         "q28_stem": f"select distinct w as word, {_stem('w')} as stem from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents)",
