@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -55,12 +56,12 @@ class WordTokens:
         for w in [w for w in unknown if w in self.old]:
             self.new[w] = self.old[w]
             unknown.discard(w)
-        todo = sorted(unknown)
+        todo = list(unknown)
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        tail = np.array([end], "<u4").tobytes()
+            self.new.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+        tail = array("I", [end]).tobytes()
         return [b"".join(map(self.new.__getitem__, w)) + tail for w in words]
 
 
@@ -76,10 +77,13 @@ class Packer:
     def __init__(self, length: int, segments: int, loss: int, first_id: int):
         self.caps = np.array([length, segments, loss], float)
         self.next = first_id
-        self.items: list[list] = []  # key, ids, start, first loss-bearing position
+        self.items: list[list] = []  # (key, ids), tokens, start, first loss-bearing position
+
+    def add(self, key: object, ids: bytes, from_: int) -> None:
+        self.items.append([(key, ids), len(ids) // 4, 0, from_])
 
     def total(self) -> int:
-        return sum(len(i[1]) // 4 - i[2] for i in self.items)
+        return sum(i[1] - i[2] for i in self.items)
 
     def pack(self, rest: bool) -> Iterator[tuple]:
         """Pieces of full sequences; with `rest` of all that is left."""
@@ -93,8 +97,8 @@ class Packer:
     def fill(self, goal: int) -> list[tuple]:
         left = self.caps.copy()
         left[0] = goal
-        sizes = np.array([len(i[1]) // 4 - i[2] for i in self.items], float)
-        free = np.array([max(0, i[3] - i[2]) for i in self.items], float)  # tokens without loss, at the front
+        size, start, from_ = np.array([i[1:] for i in self.items], float).reshape(-1, 3).T
+        sizes, free = size - start, np.maximum(from_ - start, 0.0)  # free: tokens without loss, at the front
         taken: list[list[int]] = []  # item, tokens
         while left[0] > 0 and left[1] > 0:
             room = np.minimum(np.minimum(sizes, left[0]), free + left[2])
@@ -123,11 +127,11 @@ class Packer:
                     taken.pop()
         out, used = [], 0
         for pick, n in taken:
-            key, ids, start, _ = self.items[pick]
-            out.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, self.next, used))
-            self.items[pick][2] = start + n
+            (key, ids), size, start, _ = item = self.items[pick]
+            out.append((key, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), size, self.next, used))
+            item[2] = start + n
             used += n
-        self.items = [i for i in self.items if len(i[1]) // 4 > i[2]]
+        self.items = [i for i in self.items if i[1] > i[2]]
         self.next += 1
         return out
 
@@ -156,7 +160,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
             kind = batch.column(0).type
             ids = tokens.encode(batch.column(1).to_pylist(), end)
             from_ = batch.column(2).to_pylist() if has_loss else [len(i) // 4 // prompt for i in ids]
-            packer.items += [[k, i, 0, f or 0] for k, i, f in zip(batch.column(0).to_pylist(), ids, from_)]
+            for k, i, f in zip(batch.column(0).to_pylist(), ids, from_):
+                packer.add(k, i, f or 0)
             yield from out(False)
         if kind is not None:
             yield from out(True)

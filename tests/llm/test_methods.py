@@ -42,7 +42,8 @@ def test_common_passages_go_deeper(spark):
 
 def test_limits_bind():
     packer = packing.Packer(64, 4, 40, 0)
-    packer.items = [[i, b"\1\0\0\0" * n, 0, n // 8] for i, n in enumerate([3, 2, 100, 1, 5, 64, 7, 2, 2, 2, 40, 33, 1, 1])]
+    for i, n in enumerate([3, 2, 100, 1, 5, 64, 7, 2, 2, 2, 40, 33, 1, 1]):
+        packer.add(i, b"\1\0\0\0" * n, n // 8)
     pieces = list(packer.pack(True))
     at = {}
     for key, start, n, _, size, seq, offset in pieces:
