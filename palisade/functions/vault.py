@@ -49,3 +49,11 @@ def revealed(reads: DataFrame, answers: DataFrame, text: str = "masked") -> Data
     out = reads.join(by, "read_id", "left")
     placed = F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), F.coalesce(F.get("v", i), s["value"]).alias("value"), s["ord"].alias("ord")))
     return out.withColumn("shown", spans.splice(F.col(text), placed, lambda s: s["value"])).drop("v")
+
+
+def resolved(reads: DataFrame, vault: DataFrame, secret: str, ttl_s: int, resolution: Column, text: str = "masked") -> DataFrame:
+    """`reads` with `shown` and `n_revealed`. Where resolution is never, no token is looked up and the text stays as it is;
+    else owner and age decide as in `asked`."""
+    answers = asked(reads.where(F.coalesce(resolution, F.lit("owner_only")) != "never"), vault, secret, ttl_s, text)
+    n = answers.groupBy("read_id").agg(F.count("value").alias("n_revealed"))
+    return revealed(reads, answers, text).join(n, "read_id", "left").fillna(0, ["n_revealed"])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions import rails
 from palisade.functions.vault import TOKEN
 
+#: Types of settings that are lists.
+LISTS = ("string[]", "regex[]", "enum[]", "set", "ruleset")
 #: The tools that each agent may call.
 TOOLS = {
     "pii": ("detect_pii_regex", "detect_pii_presidio", "classify_pii_type", "get_pii_policy"),
@@ -40,20 +46,36 @@ def failed(verdict: Column, error: Column, late: Column, mode: Column) -> Column
     return F.when(late, "block").when(error.isNotNull(), F.when(mode == "fail_open", "pass").otherwise("block")).otherwise(verdict)
 
 
+def _compiles(pattern: str | None) -> bool:
+    try:
+        re.compile(pattern or "")
+    except (re.error, OverflowError, RecursionError):
+        return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def _all_compile(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda patterns: patterns is None or all(map(_compiles, patterns)))
+
+
 def checked(changes: DataFrame, registry: DataFrame) -> DataFrame:
     """`changes` (key, raw, ...) with `value`, as text, or `error`. `registry`: key, type, least, most, options, locked;
-    a row a parameter, so it is broadcast where Spark finds it small."""
+    a row a parameter, so it is broadcast where Spark finds it small. Lists (types in LISTS) are read and given as JSON,
+    their items as strings; a null one is empty, and each item of a regex[] must compile."""
     j = changes.join(registry, "key", "left")
     t, raw = F.col("type"), F.trim("raw")
     whole, real = raw.rlike(r"^[+-]?\d+$"), raw.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")
     n = F.when(real, F.expr("try_cast(trim(raw) as double)"))
     number = t.isin("int", "float")
     readable = F.when(t == "int", whole).when(t == "float", real).otherwise(F.lit(True))
+    items = F.when(t.isin(*LISTS), F.when(F.col("raw").isNull(), F.expr("cast(array() as array<string>)")).when(raw.startswith("["), F.from_json("raw", "array<string>")))
     error = (
         F.when(t.isNull(), "unknown").when(F.col("locked"), "locked").when(number & ~F.coalesce(readable, F.lit(False)), "unreadable")
         .when(number & (n < F.col("least")), "below").when(number & (n > F.col("most")), "above").when((t == "enum") & ~F.array_contains("options", F.col("raw")), "no option")
+        .when(t.isin(*LISTS) & items.isNull(), "no list").when((t == "regex[]") & ~_all_compile(items), "no pattern")
     )
-    value = F.when(t == "bool", F.lower(raw).isin("1", "true", "yes", "on").cast("string")).when(number, n.cast("string")).otherwise(F.col("raw"))
+    value = F.when(t == "bool", F.lower(raw).isin("1", "true", "yes", "on").cast("string")).when(number, n.cast("string")).when(t.isin(*LISTS), F.to_json(items)).otherwise(F.col("raw"))
     return j.select(*changes.columns, F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 

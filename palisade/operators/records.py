@@ -45,27 +45,28 @@ def budget_breaches(usage: DataFrame, daily: int) -> DataFrame:
     return run.where(F.col("used") >= daily).groupBy("user_id", "day").agg(F.min("used").alias("used_at_breach"), F.count("*").alias("uses_after"))
 
 
-def _start(group: str) -> Column:
+def start(group: str) -> Column:
     """What the first record of a block links to."""
     return F.sha2(F.concat_ws("|", F.col(group).cast("string"), F.col("block").cast("string")), 256)
 
 
-def _hashed(prev: Column, body: Column) -> Column:
+def hashed(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat_ws("|", prev, body), 256)
 
 
-def chain(rows: DataFrame, group: str, seq: str, body: Column, block: int = BLOCK) -> DataFrame:
+def chain(rows: DataFrame, group: str, seq: str, body: Column, block: int | Column = BLOCK) -> DataFrame:
     """`rows` with block, prev and hash: a record's hash covers its body and the hash before, in the order of seq.
 
     A group's chain is cut into blocks of consecutive seq numbers, each a fold over at most `block`
-    records; `seals` links the blocks, so no group passes through one task."""
+    records, or into the blocks that a column names; `seals` links the blocks, so no group passes through one task."""
     kept = F.struct(*rows.columns)
-    keyed = rows.select(F.col(group).alias("g"), F.floor(F.col(seq) / block).alias("block"), F.struct(F.col(seq).alias("s"), body.alias("body"), kept.alias("row")).alias("r"))
+    at = block if isinstance(block, Column) else F.floor(F.col(seq) / block)
+    keyed = rows.select(F.col(group).alias("g"), at.alias("block"), F.struct(F.col(seq).alias("s"), body.alias("body"), kept.alias("row")).alias("r"))
     folded = keyed.groupBy("g", "block").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0)).alias("r"))
     links = F.aggregate(
         F.transform("r", lambda x: x["body"]),
-        F.struct(_start("g").alias("at"), F.expr("cast(array() as array<struct<prev:string,hash:string>>)").alias("out")),
-        lambda a, x: F.struct(_hashed(a["at"], x).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("prev"), _hashed(a["at"], x).alias("hash"))).alias("out")),
+        F.struct(start("g").alias("at"), F.expr("cast(array() as array<struct<prev:string,hash:string>>)").alias("out")),
+        lambda a, x: F.struct(hashed(a["at"], x).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("prev"), hashed(a["at"], x).alias("hash"))).alias("out")),
         lambda a: a["out"],
     )
     out = folded.select("block", F.explode(F.arrays_zip(F.col("r.row").alias("row"), links.alias("link"))).alias("x"))
@@ -80,8 +81,8 @@ def seals(chained: DataFrame, group: str, seq: str) -> DataFrame:
 
 def verify_chain(rows: DataFrame, sealed: DataFrame, group: str, seq: str, body: Column) -> DataFrame:
     """Per group: records, those whose content or link is broken, the first of them, and blocks that differ from their seals."""
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy(group, "block").orderBy(seq)), _start(group))
-    checked = rows.withColumn("broken", (_hashed(F.col("prev"), body) != F.col("hash")) | (F.col("prev") != before))
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy(group, "block").orderBy(seq)), start(group))
+    checked = rows.withColumn("broken", (hashed(F.col("prev"), body) != F.col("hash")) | (F.col("prev") != before))
     blocks = checked.groupBy(group, "block").agg(
         F.count("*").alias("records"), F.count_if("broken").alias("broken"), F.min(F.when(F.col("broken"), F.col(seq))).alias("first_broken"), F.max_by("hash", seq).alias("end"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from palisade.functions import rails
 from palisade.operators import controls
 from palisade.oracles_governance import _RULES, _SCORE, _list, _on
-from palisade.queries_controls import AGENT_OF, KEYS, RAW, TAILS, TERMS, TOOL_NAMES
+from palisade.queries_controls import AGENT_OF, KEYS, LIST_RAW, LIST_SETTINGS, RAW, TAILS, TERMS, TOOL_NAMES
 from palisade.sources.carriers import PROMPTS
 
 _P = f"with prompts as ({PROMPTS}) "
@@ -52,6 +52,10 @@ def oracle_sql() -> dict[str, str]:
             select n.user_id as request, n.event_id as at, s.event_type || '-' || s.event_id as stage, 'n' || n.event_id as note from n asof join s on n.user_id = s.user_id and n.event_id >= s.event_id""",
         "q110_denials_since": "select user_id, event_id from events where event_id % 4 = 0 and event_id > 100 qualify row_number() over (partition by user_id order by event_id desc) <= 8",
         "q111_scenarios": "with c as (select user_id as scenario, event_id % 41 <> 0 and event_id % 23 <> 0 and event_id % 37 <> 0 as good from events) select scenario, count(*) as steps, count(*) filter (where not good) as failed, bool_and(good) as passed from c group by 1",
+        "q113_streamed_audit": "select event_type, count(*) as records, count(*) filter (where event_id % 97 = 0) as broken, 0 as broken_seals from events group by 1",
+        "q115_list_settings": f"""with c as (select {_list([x[0] for x in LIST_SETTINGS])}[1 + event_id % 3] as key, {_list(LIST_RAW)}[1 + (event_id // 3) % {len(LIST_RAW) + 1}] as raw from events),
+            e as (select *, case when key = 'agents.on' then 'locked' when raw is not null and not (json_valid(raw) and left(raw, 1) = '[') then 'no list' when key = 'scope.rules' and raw = '["(open"]' then 'no pattern' end as error from c)
+            select key, raw, count(*) as n, case when error is null then cast(to_json(coalesce(cast(cast(case when left(raw, 1) = '[' then raw end as json) as varchar[]), [])) as varchar) end as value, error from e group by all""",
         "q112_tool_dispatch": f"""with c as (select event_id, {_list(AGENT_OF)}[1 + event_id % {len(AGENT_OF)}] as agent, {_list(TOOL_NAMES)}[1 + (event_id // 3) % {len(TOOL_NAMES)}] as tool from events)
             select agent, case when not ({tools}) then 'not_allowed' when event_id % 5 = 0 then 'error' else 'ok' end as status, count(*) as n from c group by all""",
     }

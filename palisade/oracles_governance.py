@@ -64,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
         "q18_meta_question": f"{_P} select request_id, regexp_matches({_ASK}, '{agents.META_QUESTION}') as meta from prompts",
         "q24_mask_composition": rf"{_P} select request_id, regexp_replace(regexp_replace(regexp_replace(replace(text, 'idiot', '*****'), '{mail}', '<EMAIL_ADDRESS>', 'g'), 'CLM-\d{{8}}', repeat('*', 12), 'g'), '(?i)permit \d+', repeat('*', 15), 'g') as text_out from prompts",
         "q52_vault_egress": _VAULT + "select request_id, case when v = '' or outcome = 'revealed' then text else replace(text, v, token) end as shown from o",
+        "q114_vault_resolution": _VAULT + "select request_id, case when v = '' then text when outcome = 'revealed' and request_id % 4 <> 0 then text else replace(text, v, token) end as shown, cast(v <> '' and outcome = 'revealed' and request_id % 4 <> 0 as bigint) as n_revealed from o",
         "q53_unmask_denials": _VAULT + "select outcome, count(*) as n from o where v <> '' group by 1",
         "q55_tool_call_verdict": f"{_P}, v as (select request_id, text, lead(text) over (order by request_id) as result, lead(request_id) over (order by request_id) as next from prompts), o as (select request_id, {_on(_RULES, 'text')} as a, {_on(_RULES, 'result')} or {_on(_SCORE, 'result')} >= 0.85 as b from v where next = request_id + 1) select request_id, case when a then 'block' else 'pass' end as args, case when b then 'block' else 'pass' end as result, case when a or b then 'block' else 'pass' end as verdict from o",
         "q57_explain": f"""{_P}, v as (select request_id, {claim} as claim, {hurt} as hurt, {rule} as rule, {_on(_TECHNIQUE, 'text')} as technique from prompts)

@@ -14,7 +14,7 @@ from palisade.functions.normalize import change_count, compose, normalize
 from palisade.operators import decisions, records, retrieval
 from palisade.oracles import oracle_sql  # noqa: F401
 from palisade.plans.evaluate import evaluate, ingest
-from palisade.sources.carriers import RATES, prompts, table, turns, usage
+from palisade.sources.carriers import RATES, prompts, shared_folder, table, turns, usage
 from palisade.streaming import windows
 
 FOUR = {"EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS", "PHONE_NUMBER"}
@@ -308,10 +308,7 @@ def q59_approval_ttl(spark, d):
 
 def _streamed(spark: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All of a file stream's results in update-free form, through a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     done: list[str] = []

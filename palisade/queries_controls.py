@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palisade.functions import rails, spans
 from palisade.operators import controls, entities
 from palisade.operators.records import keep_last
-from palisade.sources.carriers import prompts, table
+from palisade.sources.carriers import prompts, shared_folder, table
+from palisade.streaming import audit
 
 TAILS = (" Meet Arjun Nair at 14 Anna Salai", ". Thanks", "\nRegards", " <PERSON:0123456789ab> called", "! Ask Birth and Death Records")
 TERMS = ("permit", "claim", "weather")
@@ -17,6 +20,8 @@ SETTINGS = (
 )
 KEYS = (*(s[0] for s in SETTINGS), "pii.typo")
 RAW = ("0.5", "250", "fail_open", "YES", "1.5", "-3", "many", "70000")
+LIST_SETTINGS = (("words.allow", "string[]", None, None, None, False), ("scope.rules", "regex[]", None, None, None, False), ("agents.on", "set", None, None, None, True))
+LIST_RAW = ('["a", "b c"]', "[1, 2.5]", "[]", "plain", '["CLM-[0-9]+", "x|y"]', '["(open"]', '{"a": 1}')
 KINDS = ("PERSON", "ADDRESS", "ORGANISATION")
 AGENT_OF = tuple(controls.TOOLS)
 TOOL_NAMES = tuple(ts[0] for ts in controls.TOOLS.values()) + ("delete_records",)
@@ -148,3 +153,24 @@ def q111_scenarios(spark, d):
 def q112_tool_dispatch(spark, d):
     s = controls.dispatched(_pick(AGENT_OF, _at(len(AGENT_OF))), _pick(TOOL_NAMES, F.floor(F.col("event_id") / 3) % len(TOOL_NAMES)), F.when(_at(5) == 0, "ValueError"))
     return table(spark, d, "events").groupBy(_pick(AGENT_OF, _at(len(AGENT_OF))).alias("agent"), s.alias("status")).agg(F.count("*").alias("n"))
+
+
+def q113_streamed_audit(spark, d):
+    """Three batches of events become a trail by event type; then the values of some records are changed."""
+    place = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    source = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
+    source.repartition(3, "event_id").write.parquet(f"{place}/in")
+    body = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("value").cast("string"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    run = stream.writeStream.foreachBatch(audit.appender(place, "event_type", "event_id", body)).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    kept, seals, heads = audit.trail(spark, place, run.lastProgress["batchId"])
+    forged = kept.withColumn("value", F.when(F.col("event_id") % 97 == 0, F.coalesce("value", F.lit(0)) + 1).otherwise(F.col("value")))
+    return audit.verify(forged, seals, heads, "event_type", "event_id", body)
+
+
+def q115_list_settings(spark, d):
+    registry = spark.createDataFrame(LIST_SETTINGS, "key string, type string, least double, most double, options array<string>, locked boolean")
+    changes = table(spark, d, "events").select(_pick([s[0] for s in LIST_SETTINGS], _at(3)).alias("key"), _pick(LIST_RAW, F.floor(F.col("event_id") / 3) % (len(LIST_RAW) + 1)).alias("raw"))
+    # few distinct values: each is checked once
+    return controls.checked(changes.groupBy("key", "raw").agg(F.count("*").alias("n")), registry)

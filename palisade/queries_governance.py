@@ -38,13 +38,18 @@ def q24_mask_composition(spark, d):
     return out.select("request_id", "text_out")
 
 
-def _vault(spark, d):
+def _stored(spark, d):
     found = find(F.col("text"), r"CLM-\d{8}|user\d+@mail1\.example\.com", "CLAIM")
     rows = prompts(spark, d).select("request_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "text")
     marked = vault.tokenized(rows, "request_id", "user_id", found)
     held = vault.sealed(marked.where("request_id % 11 != 0"), "user_id", "ts", SECRET)
     late = F.when(F.col("request_id") % 3 == 0, 7_200).otherwise(60)
     reads = marked.select(F.col("request_id").alias("read_id"), (F.col("user_id") + (F.col("request_id") % 5 == 0).cast("int")).alias("principal"), F.timestamp_seconds(F.unix_timestamp("ts") + late).alias("at"), "masked")
+    return reads, held
+
+
+def _vault(spark, d):
+    reads, held = _stored(spark, d)
     return reads, vault.asked(reads, held, SECRET, TTL)
 
 
@@ -57,6 +62,13 @@ def q53_unmask_denials(spark, d):
     return _vault(spark, d)[1].groupBy(F.coalesce("denied", F.lit("revealed")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def q114_vault_resolution(spark, d):
+    """Every fourth read is under a policy by which nothing resolves."""
+    reads, held = _stored(spark, d)
+    out = vault.resolved(reads, held, SECRET, TTL, F.when(F.col("read_id") % 4 == 0, "never").otherwise("owner_only"))
+    return out.select(F.col("read_id").alias("request_id"), "shown", "n_revealed")
+
+
 def q55_tool_call_verdict(spark, d):
     """A call's arguments and its result, the text of the next event; injection counts on results alone."""
     p = prompts(spark, d).select("request_id", "text")

@@ -59,3 +59,11 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select((F.col("conv_id") % 10).alias("user"), F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), "role", "text")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found.rstrip("/")
