@@ -306,27 +306,21 @@ def q59_approval_ttl(spark, d):
     return asked.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-def _streamed(spark: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All of a file stream's results in update-free form, through a table in the shared folder."""
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    source = table(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    done: list[str] = []
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/{n}")
-        done.append(f"{place}/{n}")
-
-    shape(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(done[-1])
+def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The events as a file stream, and a new place in the shared folder."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    return stream, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def q60_stream_tumbling(spark, d):
-    return _streamed(spark, d, windows.tumbling).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n", "used")
+    events, place = _stream(spark, d)
+    return windows.newest(windows.tumbling(events), place, "start", "user_id").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "n", "used")
 
 
 def q61_stream_sliding(spark, d):
-    return _streamed(spark, d, windows.sliding).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors")
+    events, place = _stream(spark, d)
+    return windows.newest(windows.sliding(events), place, "start").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "errors")
 
 
 def q63_html_text(spark, d):
@@ -389,7 +383,17 @@ def q58_price_prefix(spark, d):
 
 
 def q62_stream_session(spark, d):
-    return _streamed(spark, d, windows.by_session).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
+    """Complete mode, so that sessions still open at the end are in the result: Spark has no update mode for session
+    windows. A stream without end takes append mode, which gives each session once, when the watermark has passed it."""
+    events, place = _stream(spark, d)
+    done: list[str] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/{n}")
+        done.append(f"{place}/{n}")
+
+    windows.by_session(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(done[-1]).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 
 def q67_permission_check(spark, d):
