@@ -53,6 +53,12 @@ def q05_pii_spans(spark, d):
     return found.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("s.start").cast("long")).alias("starts"))
 
 
+def q116_pii_all(spark, d):
+    """All recognizers, overlaps resolved; q05 asks for the four whose patterns SQL can run."""
+    found = _docs(spark, d).select("doc_id", F.explode(pii.detect(F.col("text"))).alias("s"))
+    return found.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.md5("s.value").alias("value_md5"))
+
+
 def _checked(spark, d, pattern, check):
     v = F.regexp_extract("text", pattern, 0)
     return prompts(spark, d).select("request_id", v.alias("value"), check(v).alias("valid"))
