@@ -11,6 +11,7 @@ from palisade.llm.language_id import op6_language_id
 from palisade.llm.ogg_media import op4_ogg_media
 from palisade.llm.oracles import OP5_SQL, OP8_SQL
 from palisade.llm.packing import op10_vector_packing
+from palisade.llm.periodic_runs import op12_periodic_runs
 from palisade.llm.pii_surrogates import op7_pii_surrogates
 from palisade.llm.prefix_bpe import op9_prefix_bpe
 from palisade.llm.quality_rules import op2_quality_rules
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_prefix_bpe": op9_prefix_bpe,
         "op10_vector_packing": op10_vector_packing,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 

@@ -87,3 +87,34 @@ def without_repeats(texts: list[str | None], width: int) -> list[tuple[int, int,
 
 def crc_mod_4(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 4
+
+
+def with_planted_runs(text: str | None, doc_id: int | None) -> list[str]:
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    n, g = len(w), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+
+
+def runs(w: list, shortest: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, smallest period) by trying every period."""
+    found: dict[tuple[int, int], int] = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(shortest, 2 * q) and j > i:
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w: list[str], found: list[tuple[int, int, int]]) -> list[str]:
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return [x for i, x in enumerate(w) if i not in gone]
