@@ -118,3 +118,23 @@ def runs(w: list, shortest: int = 12) -> list[tuple[int, int, int]]:
 def collapsed(w: list[str], found: list[tuple[int, int, int]]) -> list[str]:
     gone = {i for s, n, q in found for i in range(s + q, s + n)}
     return [x for i, x in enumerate(w) if i not in gone]
+
+
+ASCII_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text: str | None) -> list[str]:
+    return ASCII_WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def contamination(text: str | None, items: list[tuple[int | None, str | None]]) -> tuple[int, int, int, str, bool]:
+    w, hit, ids = plain_words(text), set(), set()
+    for i, t in items:
+        own = plain_words(t)
+        n = min(len(own), 10)
+        known = {tuple(own[p : p + n]) for p in range(len(own) - n + 1)} if n else set()
+        at = [p for p in range(len(w) - n + 1) if tuple(w[p : p + n]) in known] if n else []
+        hit.update(q for p in at for q in range(p, p + n))
+        if at and i is not None:
+            ids.add(str(i))
+    return len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit)

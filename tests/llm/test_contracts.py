@@ -29,6 +29,12 @@ ODD = [
     (21, "don't it's we'll I'd\t\t tabs   spaces \n\n\n new"), (22, " ".join(f"w{i}" for i in range(3_000))),
     (23, " ".join(f"w{i}" if i % 40 else f"v{i}" for i in range(3_000))), (24, "Mail a.b@example.org, call +49 30 1234 5678 or Mr John Smith."),
 ]
+#: Null, empty and short items, items in parts of others, repeated ids and texts, and letters beyond ASCII.
+ITEMS = [
+    (1, None), (2, ""), (3, " - "), (4, "ONE"), (5, "A. b"), (6, " ".join(f"Common{i}" for i in range(5, 20))), (7, " ".join(f"common{i}," for i in range(5, 15))),
+    (8, "same " * 12), (9, "ünï😀code"), (9, "points　and"), (10, "w5 w6 w7"), (11, PASSAGE), (11, PASSAGE), (None, "w100 w101"), (12, "Ünï 😀 code"), (100, "common3 common4"),
+    (13, " ".join(f"w{i}" for i in range(2_990, 3_005))), (14, "word"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +44,7 @@ def odd(spark, tmp_path_factory) -> str:
     rows = [(i, t, ["en", "fr", None][i % 3], f"src{i % 2}", len(t or "")) for i, t in ODD]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i, _ in ODD], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
@@ -46,6 +53,7 @@ def empty(spark, tmp_path_factory) -> str:
     at = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 

@@ -13,7 +13,8 @@ SMALL = os.environ.get("LLM_TEST_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", q.oracle_sql())
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for name_ in ("documents", "benchmark"):
+        con.execute(f"create view {name_} as select * from '{SMALL}/{name_}.parquet'")
     found = con.execute(q.oracle_sql()[name])
     cols = sorted(c[0] for c in found.description)
     names = [c[0] for c in found.description]
