@@ -70,6 +70,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def once(column: Column) -> Column:
+    """To be selected by itself: it generates the one row that there is, so that what follows refers to the result
+    and no optimiser puts the expression into a loop over the elements of its own result."""
+    return F.explode(F.array(column))
+
+
 class IdFilter:
     """A bitmap of fixed size over hashed keys: it may let other keys through, never drops one of its own.
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import IdFilter, Staged, read
+from palisade.llm.common import IdFilter, Staged, once, read
 
 WIDTH, SHINGLE = 10, 3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,11 +38,6 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(low, _GAPS), "")
 
 
-def _once(column: Column) -> Column:
-    """Generates one row: what follows refers to the result, the expression is not put in its place."""
-    return F.explode(F.array(column))
-
-
 def _shingles(words: Column, k: int) -> Column:
     """Hash of the k words from each place on."""
     at = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(F.lit(k), *(F.get(words, i + j) for j in range(k))))
@@ -55,7 +50,7 @@ def _key(text: Column) -> Column:
 
 def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, window, n): the distinct windows of `items` (item_id, text), words joined by spaces."""
-    split = items.select("item_id", _once(_words(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    split = items.select("item_id", once(_words(F.col("text"))).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(width))
     each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
     return split.select("item_id", n.alias("n"), F.explode(each).alias("window")).distinct()
@@ -70,13 +65,13 @@ def occurrences(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     lengths = sorted(r.k for r in known.select("k").distinct().collect())  # SHINGLE numbers at most
     if not lengths:
         return None
-    parts = known.select("window", "n", "k", _once(F.split("window", " ")).alias("w"))
+    parts = known.select("window", "n", "k", once(F.split("window", " ")).alias("w"))
     of = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for k in lengths:
         of = of.when(F.col("k") == k, _shingles(F.col("w"), k))
     parts = Staged(parts.select("window", "n", F.size("w").alias("words"), "k", F.posexplode(of).alias("offset", "token")), "window-shingles").df
     likely = IdFilter(parts.select("token").distinct(), "token")
-    split = docs.where("text is not null").select(_key(F.col("text")).alias("text_key"), _once(_words(F.col("text"))).alias("w"))
+    split = docs.where("text is not null").select(_key(F.col("text")).alias("text_key"), once(_words(F.col("text"))).alias("w"))
     places = split.select("text_key", F.size("w").alias("n_words"), F.posexplode(_shingles(F.col("w"), lengths[0])).alias("pos", "token"))
     for k in lengths[1:]:
         places = places.unionByName(split.select("text_key", F.size("w").alias("n_words"), F.posexplode(_shingles(F.col("w"), k)).alias("pos", "token")))
@@ -94,11 +89,11 @@ def occurrences(docs: DataFrame, known: DataFrame) -> DataFrame | None:
     named = IdFilter(near, "text_key")
     texts = named.keep(docs.where("text is not null").select(_key(F.col("text")).alias("text_key"), "text"), "text_key")
     texts = texts.join(near.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    checked = near.join(texts, "text_key").select("text_key", "near", _once(_words(F.col("text"))).alias("w"))
+    checked = near.join(texts, "text_key").select("text_key", "near", once(_words(F.col("text"))).alias("w"))
     found = F.filter("near", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["window"])
-    checked = checked.select("text_key", _once(found).alias("found")).where(F.size("found") > 0)
+    checked = checked.select("text_key", once(found).alias("found")).where(F.size("found") > 0)
     spans = F.array_sort(F.array_distinct(F.transform("found", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("end")))))
-    checked = checked.select("text_key", F.array_sort(F.array_distinct("found.window")).alias("windows"), _once(spans).alias("spans"))
+    checked = checked.select("text_key", F.array_sort(F.array_distinct("found.window")).alias("windows"), once(spans).alias("spans"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     cover = F.aggregate("spans", zero, lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("hit")), lambda a: a["hit"])
     return checked.select("text_key", "spans", "windows", cover.alias("n_hit"))

@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palisade.llm import wordhash as wh
-from palisade.llm.common import BLANKS, read, small_batches
+from palisade.llm.common import BLANKS, once, read, small_batches
 
 SHORTEST = 12
 SCHEMA = "n_runs long, start long, length long, period long, runs array<struct<start:long,length:long,period:long>>, runs_sha256 string, collapsed_sha256 string"
@@ -238,19 +238,19 @@ def periodic_runs(docs: DataFrame, shortest: int = SHORTEST, keep_text: bool = F
     return rows.mapInArrow(_scan(shortest, keep_text), schema)
 
 
-def with_planted_runs(text: Column, doc_id: Column) -> Column:
-    """The texts that the query searches: one id in ten has a periodic end, its length and period drawn from the id's
-    checksum. A null id plants nothing."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10).cast("long")
-    words = F.regexp_extract_all(text, F.lit(f"[^{BLANKS}]+"), F.lit(0))
-    n = F.size(words).cast("long")
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
-    planted = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.get(words, (a + F.pmod(i, p)).cast("int"))))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(f"[^{BLANKS}]"), F.array_join(planted, " ")).otherwise(text)
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts that the query searches. One id in ten has a periodic end, its length and period drawn
+    from the id's checksum. A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when((F.pmod(h, F.lit(10)) == 0) & F.col("text").rlike(f"[^{BLANKS}]"), F.regexp_extract_all("text", F.lit(f"[^{BLANKS}]+"), F.lit(0)))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), once(words).alias("w"))
+    n = F.size("w").cast("long")
+    rows = rows.withColumn("a", F.pmod("g", n)).withColumn("p", 1 + F.expr("(size(w) - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), n - F.col("a") - 1), lambda i: F.get("w", (F.col("a") + F.pmod(i, F.col("p"))).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(planted).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    docs = with_planted_runs(read(spark, sf_dir, "documents"))
     return periodic_runs(docs).select("row.doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")

@@ -71,7 +71,7 @@ def test_rows_pass_through(spark):
 
 def test_null_id_plants_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d")], "doc_id long, text string")
-    assert docs.select(pr.with_planted_runs(docs.text, docs.doc_id)).first()[0] == "a b c d"
+    assert pr.with_planted_runs(docs).first().text == "a b c d"
 
 
 def test_long_text(spark):
