@@ -53,6 +53,39 @@ FROM docs LEFT JOIN kept USING (r)
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS r, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+  )
+), cut AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM cut GROUP BY lang
+), counts AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM (
+    SELECT lang, k, array_to_string(w[p : p + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM cut JOIN range(1, 6) AS sizes(k) ON len(w) >= k)
+  ) GROUP BY lang, k, phrase HAVING count(*) >= 100
+), candidates AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+), cuts AS (
+  SELECT c.lang, phrase, a, w, c.k, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : c.k], ' ') AS tail FROM candidates c JOIN range(1, 5) AS places(j) ON j < c.k
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cuts.k, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score,
+    row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY 1000 * a * n // (x.f * y.f), j) AS place
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = head JOIN counts y ON y.lang = cuts.lang AND y.phrase = tail JOIN totals ON totals.lang = cuts.lang
+), inner_ AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[p : p + size - 1], ' ') AS phrase FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS p FROM candidates JOIN range(2, 5) AS sizes(size) ON size < k)
+  ) GROUP BY lang, phrase
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank
+  FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.phrase = s.phrase WHERE place = 1 AND (longer IS NULL OR longer < a)
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 OP13_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.llm.collocations import op11_phrase_collocations
 from palisade.llm.decontamination import op13_benchmark_decontamination
 from palisade.llm.jaccard_join import op5_ngram_jaccard_join
 from palisade.llm.language_id import op6_language_id
 from palisade.llm.ogg_media import op4_ogg_media
-from palisade.llm.oracles import OP5_SQL, OP8_SQL, OP13_SQL
+from palisade.llm.oracles import OP5_SQL, OP8_SQL, OP11_SQL, OP13_SQL
 from palisade.llm.packing import op10_vector_packing
 from palisade.llm.periodic_runs import op12_periodic_runs
 from palisade.llm.pii_surrogates import op7_pii_surrogates
@@ -33,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_prefix_bpe": op9_prefix_bpe,
         "op10_vector_packing": op10_vector_packing,
+        "op11_phrase_collocations": op11_phrase_collocations,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_benchmark_decontamination": op13_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op13_benchmark_decontamination": OP13_SQL}
+    return {"op5_ngram_jaccard_join": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op11_phrase_collocations": OP11_SQL, "op13_benchmark_decontamination": OP13_SQL}

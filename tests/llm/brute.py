@@ -138,3 +138,32 @@ def contamination(text: str | None, items: list[tuple[int | None, str | None]])
         if at and i is not None:
             ids.add(str(i))
     return len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit)
+
+
+def collocations(rows: list[tuple[str | None, str | None]], least: int = 100, longest: int = 5, top: int = 2_000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from the (lang, text) of all documents."""
+    counts: dict[str, Counter] = {}
+    n: Counter = Counter()
+    for lang, text in rows:
+        own = counts.setdefault(lang or "und" if lang is None else lang, Counter())
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n["und" if lang is None else lang] += len(w)
+            own.update(tuple(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        many = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside: dict[tuple, int] = {}
+        for p, a in many.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    inside[p[i : i + k]] = max(a, inside.get(p[i : i + k], 0))
+        found = []
+        for p, a in many.items():
+            if inside.get(p, 0) < a:
+                score, k = min((1000 * a * n[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        found.sort()
+        out += [(lang, i, p.decode(), -a, left, right, n[lang], -score) for i, (score, a, p, left, right) in enumerate(found[:top], 1)]
+    return sorted(out)
