@@ -6,18 +6,28 @@ or list of numbers), name (a title or courtesy form with capitalised names or in
 An entity is made of parts, and each distinct part has one replacement: an e-mail's domain
 and its local part within the domain, a name's given names and surname, or the normalised
 number (digits, or an IBAN's letters and digits), which is then poured into the separators
-of each place. A replacement comes from a SHA-512 of the key, the kind of part, the
-normalised value and an attempt number. Type consistency: cards that pass the Luhn check
-go on passing, IBANs keep country and modulo 97, social security numbers stay assignable,
-phones keep country code and leading zeros, octets keep their width, letters keep script
-and case, given names follow the title's gender and the word's script.
-
-Coreference: equal parts have equal replacements everywhere, so one number in two ways of
-writing, or one surname under two titles, stays one; a name's words that stand alone in the
-same text are replaced alike. Distinctness: over the distinct parts of the corpus, where two
-of a kind share a replacement, or one equals an original (given names excepted, they never
-stand for a person alone), or a phone turned into a date or list, all but the least get the
-next attempt until none is left; those attempts are joined to the texts that hold the parts.
+of each place. Everything is drawn from an HMAC-SHA-512 of the part under the key, which
+reaches the plan as a scalar subquery and so isn't shown in it.
+
+Numbers go through a keyed permutation of their format's domain: a Feistel network over mixed
+radices with cycle walking, P, conjugates a shift by a drawn number: x turns into
+P(P^-1(x) + shift). So replacements are one to one without any look at other numbers, can't run
+out, need no rounds, and none is its own original (a domain of one value has no other: phones of
+zeros only stay). A replacement may be some other number's original, which is itself replaced.
+Type consistency: cards keep their first digit and how far they are from passing the Luhn
+check, IBANs keep country and their distance from the right check digits (00, 01 and 99 are
+taken as wrong ones), social security numbers stay assignable, or stay wrong in the same
+part, phones keep country code and leading zeros, octets keep their width and leading zeros.
+About one phone of eight digits in a thousand reads as a date afterwards, as phones do.
+
+Names and mails have no bound, so they are drawn and grow: letters keep script and case, given
+names follow the title's gender and the word's script, surnames of scripts without a table are
+drawn letter by letter. Where two parts of a kind share a replacement, or one equals an original
+(given names excepted, they never stand for a person alone), all but the least get the next
+attempt, with one syllable or letter more, until none is left; those attempts are joined to the
+texts that hold the parts. Coreference: equal parts have equal replacements everywhere, so one
+number in two ways of writing, or one surname under two titles, stays one; a name's words that
+stand alone in the same text are replaced alike.
 
 Null texts stay null, empty ones empty. Rows with equal texts get equal results. Other
 columns, whatever their names, pass through unchanged; an input column `n_entities` is
@@ -27,17 +37,20 @@ and matches may have any length.
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions import checksums
-from palisade.llm.common import Staged, read
+from palisade.llm.common import Staged, once, read
 
 #: The query's key. A deployment passes its own secret to `replace`.
 QUERY_KEY = "op7 query key, not a secret"
 KINDS = ("email", "iban", "ssn", "ipv4", "card", "phone", "name")
-MALE = r"Mr|Sir|Lord|Herrn?|Monsieur|Se[ñn]or|Sr|Signor|Don|господин|г-н|κύριος"
-FEMALE = r"Mrs|Ms|Miss|Madam|Lady|Frau|Fr[äa]ulein|Madame|Mme|Mlle|Mademoiselle|Se[ñn]ora|Se[ñn]orita|Sra|Srta|Signora|Do[ñn]a|госпожа|г-жа|κυρία"
+MALE = r"Mr|Sir|Lord|Herrn?|Monsieur|[Ss]e[ñn]or|Sr|Signor|Don|господин|г-н|κύριος"
+FEMALE = r"Mrs|Ms|Miss|Madam|Lady|Frau|Fr[äa]ulein|Madame|Mme|Mlle|Mademoiselle|[Ss]e[ñn]ora|[Ss]e[ñn]orita|Sra|Srta|Signora|Do[ñn]a|госпожа|г-жа|κυρία"
 OPEN = r"Dr|Prof|Doctor|Professor"
 _DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 #: What digits may be besides phones: dates, spans of years, lists of numbers.
@@ -60,6 +73,8 @@ _INNER = r"(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))*+"
 _WORD = rf"\p{{Lu}}{_INNER}"
 _LINK = r"(?:(?:von|van|de|der|den|del|della|di|da|dos|la|le|du|zu|zur|ter|bin|ibn|al)\x20)*+"
 _PART = rf"{_LINK}(?:\p{{Lu}}\.(?=\x20{_LINK}\p{{Lu}})|{_WORD})"
+#: Words of scripts without capitals, where a name's end can't be seen: up to three of them count.
+_BARE = rf"\p{{Lo}}{_INNER}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -67,11 +82,11 @@ PATTERNS = {
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![\p{L}0-9])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}0-9])",
     "phone": rf"(?<![\p{{L}}0-9+])(?<![0-9][.,:/-])(?:{'|'.join(_PHONES)})(?![\p{{L}}0-9])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.?\x20{_PART}(?:\x20{_PART})*+(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{OPEN})\.?\x20(?:{_PART}(?:\x20{_PART})*+|{_BARE}(?:\x20{_BARE}){{0,2}}+)(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TOKEN = rf"\p{{L}}{_INNER}|[^\p{{L}}]++"
-#: Letters by script, small and capital in the same order; accented Latin letters, and those of scripts not here, turn into plain Latin ones.
+#: Letters by script, small and capital in the same order; accented Latin letters, and those of scripts neither here nor below, turn into plain Latin ones.
 LETTERS = {
     "Cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя",
     "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
@@ -82,6 +97,9 @@ LETTERS = {
     "Han": "山川水火木金土田石林花草春夏秋冬東西南北天地日月星雲風雨雪海",
     "Latin": "abcdefghijklmnopqrstuvwxyz",
 }
+#: Scripts whose letters stand in a row, by their first and last.
+_ROWS = {"Armenian": "աֆ", "Georgian": "აჰ", "Katakana": "アン", "Hangul": "가힣", "Thai": "กฮ", "Bengali": "কহ", "Tamil": "கஹ", "Telugu": "కహ", "Gujarati": "કહ", "Gurmukhi": "ਕਹ", "Kannada": "ಕಹ", "Malayalam": "കഹ", "Ethiopic": "ሀፐ", "Khmer": "កហ", "Lao": "ກຮ", "Sinhala": "කෆ", "Myanmar": "ကအ"}
+LETTERS = {k: "".join(c for c in map(chr, range(ord(v[0]), ord(v[1]) + 1, 1 if k != "Hangul" else 28)) if unicodedata.category(c) in ("Lo", "Ll")) for k, v in _ROWS.items()} | LETTERS
 #: Given names by script and gender (names in use for both under "o").
 GIVEN = {
     ("Latin", "m"): "Adam Albert Andrew Anton Arthur Bernard Charles Daniel David Edgar Edward Felix Francis Frederick George Gregory Harold Henry Hugo Jacob James Joseph Julian Leon Louis Marcus Martin Matthew Michael Nathan Oliver Oscar Patrick Paul Peter Philip Ralph Robert Samuel Simon Stephen Theodore Thomas Victor Vincent Walter William",
@@ -121,14 +139,18 @@ def _kind(value: Column) -> Column:
     return out.otherwise(F.when(value.rlike(r"^\p{L}"), "name").otherwise("phone"))
 
 
-def _ambiguous(value: Column, put: Column) -> Column:
-    """A phone's replacement that reads as a date, a list or another kind."""
-    phone = f"^(?:{PATTERNS['phone']})$"
-    return value.rlike(phone) & ((_kind(put) != "phone") | ~put.rlike(phone))
+def _pads(spark: SparkSession, key: str) -> tuple[Column, Column]:
+    """Inner and outer block of HMAC-SHA-512 under the key, as scalar subqueries: the plan doesn't show them."""
+    own = key.encode()
+    own = (hashlib.sha512(own).digest() if len(own) > 128 else own).ljust(128, b"\0")
+    row = spark.createDataFrame([(bytearray(x ^ 0x36 for x in own), bytearray(x ^ 0x5C for x in own))], "inner binary, outer binary")
+    return row.select("inner").scalar(), row.select("outer").scalar()
 
 
-def _noise(*parts: Column | str) -> Column:
-    return F.sha2(F.concat_ws("\x1f", *(F.lit(p) if isinstance(p, str) else p for p in parts)), 512)
+def _mac(*parts: Column | str) -> Column:
+    """128 hexadecimal digits: HMAC-SHA-512 of the parts under the key whose blocks are the columns __inner and __outer."""
+    message = F.concat_ws("\x1f", *(F.lit(p) if isinstance(p, str) else p for p in parts)).cast("binary")
+    return F.sha2(F.concat(F.col("__outer"), F.unhex(F.sha2(F.concat(F.col("__inner"), message), 512))), 512)
 
 
 def _draw(noise: Column, i: Column | int, below: Column | int) -> Column:
@@ -165,48 +187,147 @@ def _digits(count: int, number: Column) -> Column:
     return F.lpad(number.cast("string"), count, "0")
 
 
-def _card(n: Column, noise: Column) -> Column:
-    """The first digit stays, the last keeps what the Luhn check says."""
-    body = F.concat(F.substr(n, F.lit(1), F.lit(1)), _reshaped(F.substr(n, F.lit(2), F.length(n) - 2), noise))
-    first = _draw(noise, 30, 10)
-    last = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.pmod(d + first, F.lit(10)).cast("string"))
-    luhn = lambda c: F.call_function("luhn_check", c)
-    return F.concat(body, F.get(F.filter(last, lambda d: luhn(F.concat(body, d)) == luhn(n)), F.lit(0)))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+ROUNDS_OF_FEISTEL, WALK, BLOCK = 8, 64, 12
+
+
+def _round(v: Column, i: Column, half: Column) -> Column:
+    return F.conv(F.substr(_mac(v["tweak"], i.cast("string"), half.cast("string")), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
+def _walked(v: Column, x: Column, back: bool = False) -> Column:
+    """A keyed permutation of 0 .. m - 1, or its inverse: a Feistel network over a * b >= m numbers, again where it
+    leaves the domain. Numbers outside are fewer than a: below m = 4,096 WALK steps always lead back, above it all
+    but never (64 ^ -64) don't, and then the job fails rather than give two numbers one replacement."""
+    sign = -1 if back else 1
+
+    def step(s: Column, i: Column) -> Column:
+        left = F.struct(F.pmod(s["l"] + sign * F.pmod(_round(v, i, s["r"]), v["a"]), v["a"]).alias("l"), s["r"].alias("r"))
+        right = F.struct(s["l"].alias("l"), F.pmod(s["r"] + sign * F.pmod(_round(v, i, s["l"]), v["b"]), v["b"]).alias("r"))
+        return F.when(i % 2 == 0, left).otherwise(right)
+
+    order = F.array(*(F.lit(i) for i in (range(ROUNDS_OF_FEISTEL)[::sign])))
+    once_ = lambda y: F.aggregate(order, F.struct(_div(y, v["b"]).alias("l"), F.pmod(y, v["b"]).alias("r")), step, lambda s: s["l"] * v["b"] + s["r"])
+    again = lambda s, i: F.when((s["n"] > 0) & (s["y"] < v["m"]), s).otherwise(F.struct(once_(s["y"]).alias("y"), (s["n"] + 1).alias("n")))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(x.alias("y"), F.lit(0).alias("n")), again, lambda s: s["y"])
+    return _let(found, lambda y: F.when(y < v["m"], y).otherwise(F.raise_error(F.lit("a permutation left its domain"))))
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _block(places: Column, tweak: Column) -> Column:
+    """Digits of the number that stands for that of `places`, an array of (d, r): digits d below r, 2^62 numbers at most."""
+    m = F.aggregate(places, F.lit(1).cast("long"), lambda p, v: p * v["r"])
+    x = F.aggregate(places, F.lit(0).cast("long"), lambda p, v: p * v["r"] + v["d"])
+    shift = lambda v: 1 + F.pmod(_round(v, F.lit(-1), F.lit(0)), v["m"] - 1)
+    put = lambda v: F.when(v["m"] < 2, v["x"]).otherwise(_walked(v, _let(_walked(v, v["x"], back=True), lambda y: F.pmod(y + shift(v), v["m"]))))
+    halves = lambda v: F.struct(v["x"].alias("x"), v["m"].alias("m"), v["tweak"].alias("tweak"), v["a"].alias("a"), _div(v["m"] + v["a"] - 1, v["a"]).alias("b"))
+    root = F.greatest(F.lit(1).cast("long"), F.ceil(F.sqrt(m.cast("double"))).cast("long"))
+    new = _let(F.struct(x.alias("x"), m.alias("m"), tweak.alias("tweak"), root.alias("a")), lambda v: _let(halves(v), put))
+    start = F.struct(new.alias("y"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    return F.aggregate(F.reverse(places), start, lambda s, v: F.struct(_div(s["y"], v["r"]).alias("y"), F.concat(F.array(F.pmod(s["y"], v["r"])), s["out"]).alias("out")), lambda s: s["out"])
 
 
-def _iban(n: Column, noise: Column) -> Column:
-    """Country kept; the check digits make the modulo what it was: 1 for valid ones, else not 1."""
-    country, body = F.substr(n, F.lit(1), F.lit(2)), _reshaped(F.substr(n, F.lit(5)), noise)
-    chars = F.split(F.concat(body, country, F.lit("00")), "")
-    number = F.transform(chars, lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.try_cast("int")))
-    rest = F.aggregate(number, F.lit(0), lambda a, x: F.when(x > 9, (a * 100 + x) % 97).otherwise((a * 10 + x) % 97))
-    valid = 98 - rest
-    check = F.when(checksums.iban(n), valid).otherwise(F.pmod(valid + 1 + _draw(noise, 29, 90), F.lit(97)))
-    return F.concat(country, _digits(2, check), body)
+def _permuted(places: Column, tweak: Column) -> Column:
+    """New digits for `places`, in blocks of BLOCK; what a block turns into goes into the next one's tweak."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(places) - 1) / BLOCK).cast("int")), lambda j: F.slice(places, j * BLOCK + 1, F.lit(BLOCK)))
+    none = F.expr("cast(array() as array<bigint>)")
+    done = F.aggregate(blocks, none, lambda out, block: F.concat(out, _block(block, F.concat_ws("\x1e", tweak, F.array_join(out.cast("array<string>"), ",")))))
+    return F.when(F.size(places) > 0, done).otherwise(none)
 
 
-def _ssn(n: Column, noise: Column) -> Column:
-    """Assignable numbers stay assignable."""
-    area = 1 + _draw(noise, 0, 898)
-    good = F.concat(_digits(3, F.when(area >= 666, area + 1).otherwise(area)), _digits(2, 1 + _draw(noise, 1, 99)), _digits(4, 1 + _draw(noise, 2, 9999)))
-    return F.when(checksums.ssn(n), good).otherwise(_reshaped(n, noise))
+def _place(d: Column, r: Column | int) -> Column:
+    return F.struct(d.cast("long").alias("d"), (F.lit(r) if isinstance(r, int) else r).cast("long").alias("r"))
+
+
+def _chars(value: Column) -> Column:
+    """Places of digits and capital letters."""
+    return F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), _place(c.try_cast("int"), 10)).otherwise(_place(F.ascii(c) - 65, 26)))
+
+
+def _as_chars(value: Column, new: Column) -> Column:
+    """The new digits in the kinds of characters that `value` has."""
+    return F.array_join(F.zip_with(F.split(F.substr(value, F.lit(1), F.size(new)), ""), new, lambda c, d: F.when(c.rlike("[0-9]"), d.cast("string")).otherwise(F.char(d + 65))), "")
+
+
+def _luhn_digit(body: Column) -> Column:
+    ten = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
+    return F.get(F.filter(ten, lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0)).cast("int")
+
+
+def _iban_digits(country: Column, body: Column) -> Column:
+    """The right check digits, as a number."""
+    number = F.transform(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: F.when(c.rlike("[A-Z]"), F.ascii(c) - 55).otherwise(c.try_cast("int")))
+    return 98 - F.aggregate(number, F.lit(0), lambda a, x: F.when(x > 9, (a * 100 + x) % 97).otherwise((a * 10 + x) % 97))
+
+
+def _number(norm: Column, part: Column) -> tuple[Column, Column, Column]:
+    """For each kind of number: what stays in front, its class within the kind, and the places that are permuted."""
+    sub = lambda i, n: F.substr(norm, F.lit(i), F.lit(n))
+    area, group, serial = (sub(i, n).try_cast("int") for i, n in ((1, 3), (4, 2), (6, 4)))
+    bad = (area == 0) | (area == 666) | (area >= 900)
+    kind = F.when(bad, "a").when(group == 0, "g").when(serial == 0, "s").otherwise("v")
+    good_area = _place(area - F.when(area > 666, 2).otherwise(1), 898)
+    ssn = (
+        F.when(bad, F.array(_place(F.when(area == 0, 0).when(area == 666, 1).otherwise(area - 898), 102), _place(group, 100), _place(serial, 10_000)))
+        .when(group == 0, F.array(good_area, _place(serial, 10_000))).when(serial == 0, F.array(good_area, _place(group - 1, 99)))
+        .otherwise(F.array(good_area, _place(group - 1, 99), _place(serial - 1, 9_999)))
+    )
+    head = F.regexp_extract(norm, rf"(?:{COUNTRY})?0*", 0)
+    rest = F.substr(norm, F.length(head) + 1)
+    phone = F.transform(_chars(rest), lambda v, i: F.when(i == 0, _place(v["d"] - 1, 9)).otherwise(v))
+    octets = F.transform(F.split(norm, r"\."), lambda o: F.when((F.length(o) > 1) & o.startswith("0"), _place(o.try_cast("int"), F.when(F.length(o) == 2, 10).otherwise(100))).when(F.length(o) == 1, _place(o.try_cast("int"), 10)).when(F.length(o) == 2, _place(o.try_cast("int") - 10, 90)).otherwise(_place(o.try_cast("int") - 100, 156)))
+    lead = F.array_join(F.transform(F.split(norm, r"\."), lambda o: F.concat(F.length(o).cast("string"), F.when((F.length(o) > 1) & o.startswith("0"), "z").otherwise(""))), ".")
+    front = F.when(part == "phone", head).when(part == "iban", sub(1, 2)).when(part == "card", sub(1, 1)).when(part == "ipv4", lead).otherwise("")
+    kinds = F.when(part == "ssn", kind).when(part == "iban", F.translate(F.substr(norm, F.lit(5)), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "9" * 10 + "A" * 26)).otherwise(F.length(norm).cast("string"))
+    places = F.when(part == "phone", phone).when(part == "iban", _chars(F.substr(norm, F.lit(5)))).when(part == "card", _chars(F.substr(norm, F.lit(2), F.length(norm) - 2))).when(part == "ipv4", octets).otherwise(ssn)
+    return front, kinds, places
+
+
+def _number_from(norm: Column, part: Column, front: Column, kinds: Column, new: Column) -> Column:
+    """The number that the new digits make, with check digits as far from right as they were."""
+    two = lambda n, width: F.lpad(n.cast("string"), width, "0")
+    at = lambda i: F.get(new, F.lit(i))
+    bad_area = F.when(at(0) == 0, 0).when(at(0) == 1, 666).otherwise(at(0) + 898)
+    good_area = at(0) + F.when(at(0) >= 665, 2).otherwise(1)
+    ssn = (
+        F.when(kinds == "a", F.concat(two(bad_area, 3), two(at(1), 2), two(at(2), 4))).when(kinds == "g", F.concat(two(good_area, 3), F.lit("00"), two(at(1), 4)))
+        .when(kinds == "s", F.concat(two(good_area, 3), two(at(1) + 1, 2), F.lit("0000"))).otherwise(F.concat(two(good_area, 3), two(at(1) + 1, 2), two(at(2) + 1, 4)))
+    )
+    phone = F.concat(F.regexp_replace(front, r"\+", ""), F.array_join(F.transform(new, lambda d, i: F.when(i == 0, d + 1).otherwise(d).cast("string")), ""))
+    old_body = F.substr(norm, F.lit(1), F.length(norm) - 1)
+    body = F.concat(front, F.array_join(new.cast("array<string>"), ""))
+    off = F.substr(norm, F.length(norm), F.lit(1)).try_cast("int") - _luhn_digit(old_body)
+    card = _let(body, lambda x: F.concat(x, F.pmod(_luhn_digit(x) + off, F.lit(10)).cast("string")))
+    old = F.substr(norm, F.lit(5))
+    away = F.substr(norm, F.lit(3), F.lit(2)).try_cast("int") - _iban_digits(front, old)
+    iban = _let(_as_chars(old, new), lambda x: F.concat(front, two(F.pmod(_iban_digits(front, x) + away, F.lit(100)), 2), x))
+    ipv4 = F.array_join(F.zip_with(F.split(front, r"\."), new, lambda w, d: F.when(w.endswith("z"), two(d, F.substr(w, F.lit(1), F.lit(1)).try_cast("int"))).when(w == "1", d.cast("string")).when(w == "2", (d + 10).cast("string")).otherwise((d + 100).cast("string"))), ".")
+    return F.when(part == "phone", phone).when(part == "iban", iban).when(part == "card", card).when(part == "ipv4", ipv4).otherwise(ssn)
 
 
-def _phone(n: Column, noise: Column) -> Column:
-    """Country code and leading zeros kept; the first digit behind them isn't 0."""
-    head = F.regexp_extract(n, rf"(?:{COUNTRY})?0*", 0)
-    rest = F.substr(n, F.length(head) + 1)
-    put = F.concat((1 + _draw(noise, 30, 9)).cast("string"), _reshaped(F.substr(rest, F.lit(2)), noise))
-    return F.regexp_replace(F.concat(head, F.when(rest == "", "").otherwise(put)), r"\+", "")
+NUMBERS = ("iban", "ssn", "ipv4", "card", "phone")
 
 
-def _ipv4(value: Column, noise: Column) -> Column:
-    octet = lambda p, i: F.when(F.length(p) == 1, 1 + _draw(noise, i, 9)).when(F.length(p) == 2, 10 + _draw(noise, i, 90)).otherwise(100 + _draw(noise, i, 155))
-    return F.array_join(F.transform(F.split(value, r"\."), lambda p, i: octet(p, i).cast("string")), ".")
+def numbers(parts: DataFrame, key: str) -> DataFrame:
+    """`parts` (part, norm) of NUMBERS with `s`, what each turns into: one to one within each format."""
+    part, norm = F.col("part"), F.col("norm")
+    inner, outer = _pads(parts.sparkSession, key)
+    front, kinds, places = _number(norm, part)
+    split = parts.select("*", once(F.struct(front.alias("front"), kinds.alias("kinds"), places.alias("places"))).alias("q"))
+    split = split.withColumns({"__inner": inner, "__outer": outer})
+    new = split.select(*parts.columns, "q", once(_permuted(F.col("q.places"), F.concat_ws("\x1f", part, F.col("q.front"), F.col("q.kinds")))).alias("new"))
+    return new.select(*parts.columns, _number_from(norm, part, F.col("q.front"), F.col("q.kinds"), F.col("new")).alias("s"))
 
 
 def _script(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}$"), "Cyrillic").when(word.rlike(r"\p{IsGreek}$"), "Greek").otherwise("Latin")
+    return F.when(word.rlike(r"\p{IsCyrillic}$"), "Cyrillic").when(word.rlike(r"\p{IsGreek}$"), "Greek").when(word.rlike(r"\p{IsLatin}['’-]*$"), "Latin").otherwise("Other")
 
 
 def _one(words: list[str], noise: Column, i: int) -> Column:
@@ -241,37 +362,39 @@ def _gender(value: Column) -> Column:
 
 
 def _mentioned_parts(entities: DataFrame) -> DataFrame:
-    """(id, i, word, part, norm, form): what each of the `entities` (id, kind, value) is made of, in order; form is a phone's value."""
+    """(id, i, word, part, norm): what each of the `entities` (id, kind, value) is made of, in order."""
     value, kind = F.col("value"), F.col("kind")
     mails = entities.where("kind = 'email'")
     mail_parts = F.array(F.struct(F.lit("email").alias("part"), F.lower(value).alias("norm")), F.struct(F.lit("domain").alias("part"), F.lower(F.substring_index(value, "@", -1)).alias("norm")))
-    mails = mails.select("id", F.posexplode(mail_parts).alias("i", "x")).select("id", "i", F.lit("").alias("word"), "x.*", F.lit("").alias("form"))
+    mails = mails.select("id", F.posexplode(mail_parts).alias("i", "x")).select("id", "i", F.lit("").alias("word"), "x.*")
     only = lambda keep: F.regexp_replace(value, keep, "")
     norm = F.when(kind == "iban", only("[^A-Z0-9]")).when(kind == "phone", only("[^+0-9]")).when(kind == "ipv4", value).otherwise(only("[^0-9]"))
-    numbers = entities.where("kind not in ('email', 'name')").select("id", F.lit(0).alias("i"), F.lit("").alias("word"), kind.alias("part"), norm.alias("norm"), F.when(kind == "phone", value).otherwise("").alias("form"))
+    figures = entities.where("kind not in ('email', 'name')").select("id", F.lit(0).alias("i"), F.lit("").alias("word"), kind.alias("part"), norm.alias("norm"))
     names = entities.where("kind = 'name'").select("id", _gender(value).alias("gender"), F.split(value, " ").alias("words"))
     names = names.select("id", "gender", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     word = F.col("word")
     role = (
-        F.when((F.col("i") == 0) | word.rlike(r"^\p{Ll}"), "as it is").when(word.rlike(r"^\p{Lu}\.$"), "initial")
+        F.when((F.col("i") == 0) | word.rlike(r"^\p{Ll}") & ~word.rlike(r"^\p{IsGeorgian}"), "as it is").when(word.rlike(r"^\p{Lu}\.$"), "initial")
         .when(F.col("i") == F.col("n") - 1, F.concat(F.lit("surname."), _script(word))).otherwise(F.concat(F.lit("given."), _script(word), F.lit("."), F.col("gender")))
     )
     names = names.select("id", "i", "word", role.alias("part"))
-    names = names.withColumn("norm", F.when(F.col("part").startswith("surname"), _masculine(word)).otherwise(F.lower("word"))).withColumn("form", F.lit(""))
-    return mails.unionByName(numbers).unionByName(names)
+    names = names.withColumn("norm", F.when(F.col("part").startswith("surname"), _masculine(word)).otherwise(F.lower("word")))
+    return mails.unionByName(figures).unionByName(names)
 
 
 def _made(parts: DataFrame, key: str) -> DataFrame:
-    """`parts` (part, norm, attempt) with `s`, what each turns into."""
+    """`parts` (part, norm, attempt) of names and mails with `s`, what each turns into."""
     part, norm, attempt, noise = F.col("part"), F.col("norm"), F.col("attempt"), F.col("noise")
-    parts = parts.withColumn("noise", _noise(key, part, norm, attempt.cast("string")))
+    inner, outer = _pads(parts.sparkSession, key)
+    parts = parts.withColumns({"__inner": inner, "__outer": outer}).select("part", "norm", "attempt", once(_mac(part, norm, attempt.cast("string"))).alias("noise"))
     tld = F.substring_index(norm, ".", -1)
     body = F.substr(norm, F.lit(1), F.length(norm) - F.length(tld) - 1)
     more = F.when(attempt < 4, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(4), F.greatest(attempt, F.lit(4))), lambda i: F.substr(F.lit(LETTERS["Latin"]), _draw(noise, i + 11, 26) + 1, F.lit(1))), ""))
     out = F.when(part == "domain", F.concat(_reshaped(body, noise), more, F.lit("."), tld))
     out = out.when(part == "email", F.concat(_reshaped(F.substring_index(norm, "@", 1), noise), more, F.lit("@"), F.substring_index(norm, "@", -1)))
-    for name, make in (("iban", _iban), ("card", _card), ("ssn", _ssn), ("phone", _phone), ("ipv4", _ipv4), ("initial", lambda n, z: F.upper(_reshaped(n, z)))):
-        out = out.when(part == name, make(norm, noise))
+    out = out.when(part == "initial", F.upper(_reshaped(norm, noise)))
+    longer = F.concat(norm, F.repeat(F.substr(norm, F.lit(1), F.lit(1)), attempt))
+    out = out.when(part.startswith("surname.Other") | part.startswith("given.Other"), F.initcap(_reshaped(longer, noise)))
     for script in SURNAME:
         out = out.when(part == f"surname.{script}", _surname(script, noise, attempt))
         for gender in "mfo":
@@ -280,25 +403,25 @@ def _made(parts: DataFrame, key: str) -> DataFrame:
 
 
 def replacements(mentioned: DataFrame, key: str) -> DataFrame:
-    """(part, norm, s) for the distinct parts of `mentioned`, free of collisions."""
-    parts = mentioned.where("part != 'as it is'").select("part", "norm").distinct()
-    table = Staged(_made(parts.withColumn("attempt", F.lit(0)), key), "parts").df
-    forms = mentioned.where("part = 'phone'").select("part", "norm", F.col("form").alias("value"))
+    """(part, norm, s) for the distinct parts of `mentioned`: numbers by permutation, names and mails free of collisions."""
+    every = Staged(mentioned.where("part != 'as it is'").select("part", "norm").distinct(), "distinct-parts").df
+    number = F.col("part").isin(*NUMBERS)
+    by_format = Staged(numbers(every.where(number), key), "numbers").df
+    table = Staged(_made(every.where(~number).withColumn("attempt", F.lit(0)), key), "parts").df
     strict = "part != 'initial' and part not like 'given.%'"
-    originals = table.where(strict).select("part", F.regexp_replace("norm", r"^\+", "").alias("low")).distinct()
+    originals = table.where(strict).select("part", F.col("norm").alias("low")).distinct()
     for _ in range(ROUNDS):
         own = table.where("part != 'initial'").withColumn("low", F.lower("s"))
         least = own.groupBy("part", "low").agg(F.count("*").alias("n"), F.min("norm").alias("first")).where("n > 1").select("part", "low", "first")
         shared = own.join(least, ["part", "low"]).where("norm != first").select("part", "norm")
         taken = own.join(originals, ["part", "low"], "left_semi").select("part", "norm")
-        unclear = table.where("part = 'phone'").join(forms, ["part", "norm"]).where(_ambiguous(F.col("value"), _poured(F.col("s"), F.col("value")))).select("part", "norm")
-        again = Staged(shared.unionByName(taken).unionByName(unclear).distinct(), "collisions").df
+        again = Staged(shared.unionByName(taken).distinct(), "collisions").df
         if not again.limit(1).count():
-            return table.select("part", "norm", "s")
+            return by_format.unionByName(table.select("part", "norm", "s"))
         kept = table.join(again, ["part", "norm"], "left_anti")
         next_ = _made(table.join(again, ["part", "norm"], "left_semi").select("part", "norm", (F.col("attempt") + 1).alias("attempt")), key)
         table = Staged(kept.unionByName(next_), "parts").df
-    raise RuntimeError("replacements go on colliding")
+    raise RuntimeError("names or mails go on colliding")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:

@@ -133,3 +133,90 @@ def test_very_long_matches(spark):
 def test_other_scripts_change(spark):
     (new,) = put(spark, "用户@例子.公司 and דוד@דוגמה.קום and пётр@почта.рф")
     assert not any(x in new for x in ("用户@", "דוד@", "пётр@"))
+
+
+def test_whole_domains_one_to_one(spark):
+    """All addresses of non-zero one-digit octets in one text, and all numbers of some short formats: nothing runs out."""
+    octets = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    (new,) = put(spark, " ".join(octets))
+    assert len(new.split(" ")) == len(set(new.split(" "))) == 6_561 and not [1 for a, b in zip(octets, new.split(" ")) if a == b]
+    rows = spark.range(10_000).selectExpr("'ssn' AS part", "concat('00000', lpad(cast(id AS string), 4, '0')) AS norm")  # wrong areas and groups
+    rows = rows.unionByName(spark.range(898).selectExpr("'ssn' AS part", "concat(lpad(cast(if(id < 665, id + 1, id + 2) AS string), 3, '0'), '010000') AS norm"))
+    rows = rows.unionByName(spark.range(90_000).selectExpr("'phone' AS part", "concat('+1', cast(id + 10000 AS string)) AS norm"))
+    out = ps.numbers(rows, "k").toPandas()
+    assert len(out) == 100_898 and not out.duplicated(["part", "s"]).any() and not (out.norm.str.removeprefix("+") == out.s).any()
+    assert set(out[out.part == "phone"].s) == {f"1{i}" for i in range(10_000, 100_000)}  # a permutation of the format's domain
+    wrong = out[out.part == "ssn"]
+    assert all(s[:3] in ("000", "666") or s[0] == "9" for s in wrong[wrong.norm.str.startswith("00000")].s) and all(s.endswith("0000") for s in wrong[wrong.norm.str.endswith("010000")].s)
+
+
+def test_permutation_and_its_inverse(spark):
+    """Small domains of every size: a permutation, and back."""
+    from pyspark.sql import functions as F
+
+    inner, outer = ps._pads(spark, "k")
+    rows = spark.range(1, 70).selectExpr("id AS m", "cast(ceil(sqrt(id)) AS bigint) AS a").selectExpr("m", "a", "(m + a - 1) div a AS b", "explode(sequence(0L, m - 1)) AS x")
+    rows = rows.selectExpr("named_struct('m', m, 'a', a, 'b', b, 'tweak', cast(m AS string)) AS v", "x").withColumns({"__inner": inner, "__outer": outer})
+    out = rows.select("v", "x", "__inner", "__outer", ps.once(ps._walked(F.col("v"), F.col("x"))).alias("y"))
+    out = out.select("v.m", "x", "y", ps._walked(F.col("v"), F.col("y"), back=True).alias("z")).toPandas()
+    assert (out.x == out.z).all() and not out.duplicated(["m", "y"]).any() and (out.y < out.m).all() and (out.y >= 0).all()
+
+
+def test_plain_permutation(spark):
+    """The same numbers by Python's own HMAC and integers."""
+    import hashlib
+    import hmac
+    import math
+
+    def plain(digits: list[tuple[int, int]], tweak: str) -> list[int]:
+        m = math.prod(r for _, r in digits)
+        x = 0
+        for d, r in digits:
+            x = x * r + d
+        a = max(1, math.ceil(math.sqrt(m)))
+        b = -(-m // a)
+        f = lambda i, half: int(hmac.new(b"k", "\x1f".join((tweak, str(i), str(half))).encode(), hashlib.sha512).hexdigest()[:15], 16)
+
+        def walk(y: int, sign: int) -> int:
+            while True:
+                left, right = divmod(y, b)
+                for i in range(8)[::sign]:
+                    if i % 2 == 0:
+                        left = (left + sign * f(i, right)) % a
+                    else:
+                        right = (right + sign * f(i, left)) % b
+                y = left * b + right
+                if y < m:
+                    return y
+
+        y = walk((walk(x, -1) + 1 + f(-1, 0) % (m - 1)) % m, 1)
+        out = []
+        for _, r in reversed(digits):
+            y, d = divmod(y, r)
+            out.insert(0, d)
+        return out
+
+    norms = ["5551234", "2125550143", "999999999999999"]
+    out = {r.norm: r.s for r in ps.numbers(spark.createDataFrame([("phone", n) for n in norms], "part string, norm string"), "k").collect()}
+    for n in norms:
+        digits = [(int(c) - (i == 0), 9 if i == 0 else 10) for i, c in enumerate(n)]
+        tweak = "\x1f".join(("phone", "", str(len(n)))) + "\x1e"
+        want = plain(digits[:12], tweak)
+        if digits[12:]:
+            want += plain(digits[12:], tweak + ",".join(map(str, want)))
+        assert out[n] == "".join(str(d + (i == 0)) for i, d in enumerate(want))
+
+
+def test_key_is_in_no_plan(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    assert "hidden-key-of-the-test" not in ps.replace(docs, "hidden-key-of-the-test")._jdf.queryExecution().toString()
+    parts = spark.createDataFrame([("phone", "5551234")], "part string, norm string")
+    assert "hidden-key-of-the-test" not in ps.numbers(parts, "hidden-key-of-the-test")._jdf.queryExecution().toString()
+
+
+def test_scripts_stay(spark):
+    armenian, han, arabic, georgian = put(spark, "Ms Դավիթ Պետրոսյան came", "señor 山田 太郎.", "Dr محمد علي", "Dr გიორგი ბერიძე,")
+    assert regex.fullmatch(r"Ms \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+ came", armenian) and regex.search(r"^Ms \p{Armenian}+ \p{Armenian}+ came$", armenian) and "Դավիթ" not in armenian
+    assert regex.fullmatch(r"señor \p{Han}+ \p{Han}+\.", han) and "山田" not in han
+    assert regex.fullmatch(r"Dr \p{Arabic}+ \p{Arabic}+", arabic) and "علي" not in arabic
+    assert georgian == "Dr გიორგი ბერიძე," or regex.fullmatch(r"Dr \p{Georgian}+ \p{Georgian}+,", georgian)
