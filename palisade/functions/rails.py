@@ -32,8 +32,8 @@ USE_CASE_RULES = (
 )
 #: Injection patterns with their techniques and scores, in order.
 INJECTION = (
-    ("override", 0.95, r"ignore\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+instructions?"),
-    ("override", 0.95, r"disregard\s+(?:your|all|the|any)\s+(?:instructions?|rules?|guidelines?|training)"),
+    ("instruction_override", 0.95, r"ignore\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+instructions?"),
+    ("instruction_override", 0.95, r"disregard\s+(?:your|all|the|any)\s+(?:instructions?|rules?|guidelines?|training)"),
     ("exfiltration", 0.95, r"(?:reveal|print|show|repeat|output|display)\s+(?:me\s+)?(?:your|the)\s+(?:system\s+|initial\s+|original\s+)?(?:prompt|instructions?|rules)"),
     ("role_play", 0.85, r"you\s+are\s+now\s+(?:a|an|in)\b"),
     ("role_play", 0.88, r"\b(?:developer|debug|god)\s+mode\b"),

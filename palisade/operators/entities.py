@@ -59,12 +59,12 @@ def named(text: Column, found: Column, taken: Column, kinds: tuple[str, ...], le
     return F.aggregate(ordered, first, step, lambda a: a["out"])
 
 
-def merged(text: Column, proposed: Column, judged: Column, kinds: tuple[str, ...], least: float, allow: str | None = None) -> Column:
+def merged(text: Column, proposed: Column, judged: Column, kinds: tuple[str, ...], least: float, allow: str | None = None, most: int | None = MOST_JUDGED) -> Column:
     """Struct of `kept` spans and how many proposals were corroborated, rejected, findings unverifiable, allowlisted.
 
-    A judge's findings (JUDGED, the first 40) all count, proposals only where they touch one of them; a null `judged`
+    A judge's findings (JUDGED, the first `most`; None: all) all count, proposals only where they touch one of them; a null `judged`
     is no judge, and proposals stand. A finding that isn't in the text word for word is counted and dropped."""
-    said = F.transform(F.slice(judged, 1, MOST_JUDGED), lambda j: F.struct(_strip(F.coalesce(j["value"], F.lit(""))).alias("value"), F.upper(F.trim(j["kind"])).alias("kind"), F.coalesce(j["confidence"], F.lit(0.0)).alias("score")))
+    said = F.transform(judged if most is None else F.slice(judged, 1, most), lambda j: F.struct(_strip(F.coalesce(j["value"], F.lit(""))).alias("value"), F.upper(F.trim(j["kind"])).alias("kind"), F.coalesce(j["confidence"], F.lit(0.0)).alias("score")))
     at = lambda v: F.instr(text, v) - 1
     places = F.transform(F.filter(said, lambda j: (j["value"] != "") & (at(j["value"]) >= 0)), lambda j: F.struct(at(j["value"]).alias("start"), (at(j["value"]) + F.length(j["value"])).alias("stop")))
     held = F.filter(proposed, lambda p: judged.isNull() | F.exists(F.coalesce(places, F.array()), lambda a: (p["start"] < a["stop"]) & (a["start"] < p["stop"])))

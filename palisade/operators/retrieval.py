@@ -18,6 +18,8 @@ STOP = tuple(
 SUFFIXES = "ations|ation|ements|ement|ments|ment|ances|ance|ings|ing|ies|ied|als|al|es|ed|s"
 K1, B, MIN_COVERAGE = 1.5, 0.75, 0.15
 CHUNK, OVERLAP = 700, 80
+#: White space as chunks see it.
+WHITE = "[\\s\\x1c-\\x1f\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
 def stem(w: Column) -> Column:
@@ -50,7 +52,7 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Paragraphs packed up to `size`, each chunk starting with the end of the one before. A longer paragraph becomes
     units of sentences joined up to `size`; of a sentence longer than that, full pieces stand by themselves."""
     size, overlap = max(size, 120), max(0, min(overlap, max(size, 120) // 2))
-    blank = "[\\s\\x1c-\\x1f\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    blank = WHITE
     flat = F.filter(F.transform(F.split(text, rf"\n{blank}*\n"), lambda p: F.trim(F.regexp_replace(p, f"{blank}+", " "))), lambda p: p != "")
     pieces = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - 1) / size)).cast("int")), lambda i: F.substr(s, i * size + 1, F.lit(size)))
     # a sentence's full pieces go out at once, before what is being joined, as in the order of reading they are units of their own

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import pii, rails
 from palisade.functions.normalize import compose, normalize
+from palisade.operators.retrieval import WHITE
 
 MAX_CHARS = 200_000
 RUNS_ALWAYS, RUNS_BY_MATRIX = ("ingest.document", "agent.data"), ("user.prompt", "user.feedback")
@@ -32,9 +33,12 @@ def evaluate(rows: DataFrame) -> DataFrame:
 
 
 def ingest(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Status of each document: quarantined if too long, blocked or empty, in this order; else indexed."""
+    """Status of each document: quarantined if too long, blocked or empty, in this order; else indexed.
+
+    A document is empty if nothing is left of it after normalising and masking, as when no chunk would come of it."""
     out = evaluate(docs.withColumn("surface", F.lit("ingest.document")))
-    reason = F.when(F.length("text") > max_chars, "oversized").when(F.col("verdict") == "block", "blocked").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty")
+    left = F.regexp_replace("text_out", WHITE, "")
+    reason = F.when(F.length("text") > max_chars, "oversized").when(F.col("verdict") == "block", "blocked").when(left == "", "empty")
     return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "indexed").otherwise("quarantined"))
 
 

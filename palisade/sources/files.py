@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -17,6 +18,9 @@ PLAIN, SHEETS = ("txt", "md", "log", "json", "html"), ("csv", "tsv", "xlsx")
 MAX_ROWS = 5_000
 CUT = "[truncated: more rows than the limit]"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_LINK = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+MISSING = "[missing: the file has no such sheet]"
 
 
 def decode(data: bytes) -> str:
@@ -36,19 +40,25 @@ def piped(title: str, rows: list[list[str]]) -> str:
     return f"## {title}\n\n" + "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])
 
 
-def _workbook(data: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
-    """Sheets of a spreadsheet file with their rows."""
+def _workbook(data: bytes) -> Iterator[tuple[str, Iterator[list[str]] | None]]:
+    """Sheets of a spreadsheet file with their rows, in the workbook's order; the relationships tell where each is kept. None
+    for rows: it is named but not there."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
-        for n, title in enumerate(titles, 1):
-            if f"xl/worksheets/sheet{n}.xml" not in names:
+        links = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            links = {x.get("Id"): x.get("Target") or "" for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(_LINK)}
+        for n, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), 1):
+            title, target = sheet.get("name"), links.get(sheet.get(_ID), f"worksheets/sheet{n}.xml")
+            part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+            if part not in names:
+                yield title, None
                 continue
             rows = []
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{n}.xml")).iter(f"{_MAIN}row"):
+            for row in ElementTree.fromstring(z.read(part)).iter(f"{_MAIN}row"):
                 cells: list[str] = []
                 for c in row.iter(f"{_MAIN}c"):
                     letters = re.match("[A-Z]*", c.get("r") or "")[0]
@@ -60,20 +70,25 @@ def _workbook(data: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
             yield title, iter(rows)
 
 
-def tables(data: bytes, kind: str) -> str:
-    """Every sheet of a file as a table: blank rows go, pipes are escaped, MAX_ROWS rows over all sheets."""
+def tables(data: bytes, kind: str, most: int | None = -1) -> str:
+    """Every sheet of a file as a table: blank rows go, pipes are escaped, `most` rows over all sheets (-1: MAX_ROWS, None: all)."""
+    most = MAX_ROWS if most == -1 else most
+    csv.field_size_limit(max(len(data), 1 << 17))  # a cell may be as long as its file
     if kind == "xlsx":
         sheets = _workbook(data)
     else:
         sheets = iter([("table", csv.reader(io.StringIO(decode(data)), delimiter="\t" if kind == "tsv" else ","))])
     parts, seen = [], 0
     for title, rows in sheets:
+        if rows is None:
+            parts.append(f"## {title}\n\n{MISSING}")
+            continue
         kept = []
         for row in rows:
             cells = [c.strip().replace("|", "\\|") for c in row]
             if not any(cells):
                 continue
-            if seen >= MAX_ROWS:
+            if most is not None and seen >= most:
                 break
             kept.append(cells)
             seen += 1
@@ -88,19 +103,22 @@ def tables(data: bytes, kind: str) -> str:
     return "\n\n".join(parts)
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts, errors = [], []
-        for kind, data in zip(batch["kind"], batch["content"]):
-            try:
-                if kind not in PLAIN + SHEETS:
-                    raise ValueError(f"{kind}: one of {', '.join(PLAIN + SHEETS)} is needed")
-                texts.append(tables(bytes(data), kind) if kind in SHEETS else decode(bytes(data)))
-                errors.append(None)
-            except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as e:
-                texts.append(None)
-                errors.append(str(e) or type(e).__name__)
-        yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "text": texts, "error": errors})
+def _texts(most: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, errors = [], []
+            for kind, data in zip(batch["kind"], batch["content"]):
+                try:
+                    if kind not in PLAIN + SHEETS:
+                        raise ValueError(f"{kind}: one of {', '.join(PLAIN + SHEETS)} is needed")
+                    texts.append(tables(bytes(data), kind, most) if kind in SHEETS else decode(bytes(data)))
+                    errors.append(None)
+                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as e:
+                    texts.append(None)
+                    errors.append(str(e) or type(e).__name__)
+            yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "text": texts, "error": errors})
+
+    return run
 
 
 def kind_of(path):
@@ -109,10 +127,10 @@ def kind_of(path):
     return F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise("txt")
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text, error) of every file below `path`; files are read whole in tasks."""
+def documents(spark: SparkSession, path: str, most: int | None = -1) -> DataFrame:
+    """(path, kind, text, error) of every file below `path`; files are read whole in tasks. `most` rows of a spreadsheet (-1: MAX_ROWS, None: all)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", kind_of(F.col("path")).alias("kind"), "content").mapInPandas(_texts, "path string, kind string, text string, error string")
+    return files.select("path", kind_of(F.col("path")).alias("kind"), "content").mapInPandas(_texts(most), "path string, kind string, text string, error string")
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
