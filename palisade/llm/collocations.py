@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -39,6 +40,7 @@ LEAST, LONGEST, TOP = 100, 5, 2_000
 CELLS, BLOCKS, BITS = 34, 12, 27
 HELD = 1 << 22
 SHARD = 4_000_000
+BUCKETS, RANGE = 1_024, 4_096
 SCAN = 1 << 20
 #: Capitals are lower-cased, what ends a piece turns into a line's end and other blanks into a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -177,13 +179,21 @@ def _bitmap(sketch: DataFrame, least: int) -> np.ndarray:
 
 
 def _candidates(longest: int, pairs, more):
-    """(lang, phrase): candidates and their words, each about once a chunk and not again while its task remembers it."""
+    """(bucket, lang, phrases): candidates and their words, each once for what a task remembers, by hash buckets, one a line."""
+
+    def sent(seen: set[tuple[str, bytes]]) -> pa.RecordBatch:
+        held: dict[tuple[int, str], list[bytes]] = {}
+        for lang, phrase in sorted(seen):
+            held.setdefault((zlib.crc32(phrase) % BUCKETS, lang), []).append(phrase)
+        cols = [pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.string()), pa.array([b"\n".join(x) for x in held.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "phrases"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, bytes]] = set()
         for chunk in _chunks(batches):
-            data, good, new = chunk.raw.tobytes(), None, []
+            data, good = chunk.raw.tobytes(), None
             if len(seen) > HELD >> 3:
+                yield sent(seen)
                 seen.clear()
             for k in range(2, longest + 1):
                 cells, inside = chunk.likely(k, pairs.value)
@@ -199,16 +209,32 @@ def _candidates(longest: int, pairs, more):
                 for i in at[np.unique(same, return_index=True)[1]].tolist():
                     words = data[chunk.starts[i] : chunk.ends[i + k - 1]].split()
                     lang = chunk.langs[chunk.text[i]]
-                    for phrase in (b" ".join(words), *(words if k == 2 else ())):
-                        if (lang, phrase) not in seen:
-                            seen.add((lang, phrase))
-                            new.append((lang, phrase))
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.string()), pa.array([x.decode() for _, x in new], pa.string())], ["lang", "phrase"])
+                    seen.add((lang, b" ".join(words)))
+                    if k == 2:
+                        seen.update((lang, w) for w in words)
+        yield sent(seen)
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase): distinct ones, from rows in the order of buckets and languages."""
+    last, seen = None, set()
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last[1]] * len(seen), pa.string()), pa.array([x.decode() for x in seen], pa.string())], ["lang", "phrase"])
+
+    for batch in batches:
+        for bucket, lang, phrases in zip(*(c.to_pylist() for c in batch.columns)):
+            if last != (bucket, lang):
+                if seen:
+                    yield told()
+                last, seen = (bucket, lang), set()
+            seen.update(phrases.split(b"\n"))
+    if seen:
+        yield told()
+
+
 _automata: dict[str, dict] = {}
 
 
@@ -229,7 +255,7 @@ def _compiled(name: str, phrases: dict[str, tuple[list[bytes], list[int]]]) -> d
 
 
 def _scan(shard):
-    """(id, n): occurrences of the shard's phrases in the texts of their languages."""
+    """(block, ids, counts): occurrences of the shard's phrases in the texts of their languages, by ranges of ids."""
     fold = bytes(np.where(_FOLD == 10, ord("."), _FOLD).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +279,32 @@ def _scan(shard):
                         sizes[lang] = 0
             for lang, texts in held.items():
                 count(lang, texts)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
+        blocks = [(i, at, total[i : i + RANGE][at]) for i in range(0, size, RANGE) if len(at := np.flatnonzero(total[i : i + RANGE]))]
+        cols = [pa.array([i // RANGE for i, _, _ in blocks], pa.int32()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in blocks], pa.binary()), pa.array([n.tobytes() for _, _, n in blocks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "counts"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, id, f): sums over tasks, from rows in the order of shards and blocks."""
+    last, total = None, np.zeros(RANGE, np.int64)
+
+    def told() -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), last[0], np.int32)), pa.array(at + last[1] * RANGE), pa.array(total[at])], ["shard", "id", "f"])
+
+    for batch in batches:
+        for shard, block, ids, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if last != (shard, block):
+                if last:
+                    yield told()
+                last, total = (shard, block), np.zeros(RANGE, np.int64)
+            total[np.frombuffer(ids, np.uint16)] += np.frombuffer(counts, np.int64)
+    if last:
+        yield told()
+
+
 def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f): exact counts of the candidates for `least` occurrences in their language, two to `longest`
     words, and of their words; and (lang, n): the words of each language."""
@@ -271,8 +317,9 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     pairs = send(_bitmap(pairs_sketch, least))
     more_sketch = Staged(texts.mapInArrow(_sketch(least, longest, pairs), SKETCH), "sketch").df
     more = send(_bitmap(more_sketch, least))
-    found = texts.mapInArrow(_candidates(longest, pairs, more), "lang string, phrase string").distinct()
-    found = Staged(found, "candidates").df
+    found = texts.mapInArrow(_candidates(longest, pairs, more), "bucket int, lang string, phrases binary")
+    found = found.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
+    found = Staged(found.mapInArrow(_merged, "lang string, phrase string"), "candidates").df
     sizes = {r.lang: r.size for r in found.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2).alias("size")).collect()}
 
     # a large language has several shards, small ones share one
@@ -300,12 +347,12 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
             own[1].append(number)
         sent = send((uuid.uuid4().hex, rows.num_rows, phrases))
         del rows
-        counts.append(Staged(texts.where(F.col("lang").isin(list(phrases))).mapInArrow(_scan(sent), "id long, n long").withColumn("shard", F.lit(i)), f"matches-{i}").df)
+        counts.append(Staged(texts.where(F.col("lang").isin(list(phrases))).mapInArrow(_scan(sent), "block int, ids binary, counts binary").select(F.lit(i).alias("shard"), "*"), f"matches-{i}").df)
         sent.destroy()
     every = counts[0]
     for other in counts[1:]:
         every = every.unionByName(other)
-    total = every.groupBy("shard", "id").agg(F.sum("n").alias("f"))
+    total = every.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_summed, "shard int, id long, f long")
     return Staged(known.join(total, ["shard", "id"]).select("lang", "phrase", "f"), "phrase-counts").df, n
 
 
