@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade import queries_controls, queries_governance
+from palisade import queries_controls, queries_governance, queries_stores
 from palisade.functions import checksums, pii, rails
 from palisade.functions.normalize import change_count, compose, normalize
-from palisade.operators import decisions, records, retrieval
+from palisade.operators import decisions, records, retrieval, store
 from palisade.oracles import oracle_sql  # noqa: F401
 from palisade.plans.evaluate import evaluate, ingest
 from palisade.sources.carriers import RATES, prompts, shared_folder, table, turns, usage
@@ -177,23 +177,35 @@ def _queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
 
 
+def _index(spark, d):
+    """A lasting index of the documents: one scan, then searches read postings of their terms alone."""
+    return store.built(_docs(spark, d).withColumnRenamed("doc_id", "key"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+def _found(spark, path, queries):
+    return store.search(spark, path, queries).withColumnRenamed("key", "doc_id")
+
+
 def q29_bm25_topk(spark, d):
-    return retrieval.search(retrieval.index(_docs(spark, d)), _queries(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return _found(spark, _index(spark, d), _queries(spark, d))
 
 
 def _relevant(spark, d, width=8):
-    """Documents that hold `width` words of a benchmark item in a row."""
-    def shingles(df, key):
-        w = df.select(key, F.split("text", " ").alias("w"))
-        at = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
-        return w.where(F.size("w") >= width).select(key, F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, width), " "))).alias("s"))
-    items = shingles(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id").distinct()
-    return shingles(_docs(spark, d), "doc_id").join(items, "s").select("query_id", "doc_id").distinct()
+    """Documents that hold `width` words of a benchmark item in a row; sequences are compared by 64-bit hashes."""
+    def places(df, key):
+        w = df.select(key, F.explode(F.array(F.split("text", " "))).alias("w")).where(F.size("w") >= width)
+        at = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(width))))
+        return w.select(key, F.explode(F.array_distinct(at)).alias("h"))
+    items = places(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    hashes = items.select("h").distinct()
+    few = hashes.limit(store.BROADCAST + 1).count() <= store.BROADCAST
+    near = places(_docs(spark, d), "doc_id").select("doc_id", "h").join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
+    return near.join(items.select("query_id", "h"), "h").select("query_id", "doc_id").distinct()
 
 
 def q32_retrieval_metrics(spark, d):
     q = _queries(spark, d)
-    return retrieval.retrieval_metrics(retrieval.search(retrieval.index(_docs(spark, d)), q), _relevant(spark, d), q)
+    return retrieval.retrieval_metrics(_found(spark, _index(spark, d), q), _relevant(spark, d), q)
 
 
 def q33_rail_confusion(spark, d):
@@ -347,7 +359,7 @@ def q22_rail_counts(spark, d):
 
 
 def q30_coverage_gate(spark, d):
-    return retrieval.coverage_gate(retrieval.index(_docs(spark, d)), _queries(spark, d))
+    return store.gate(spark, _index(spark, d), _queries(spark, d))
 
 
 def q31_seed_overlap(spark, d):
@@ -414,5 +426,5 @@ def q69_two_arm_pivot(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {**globals(), **vars(queries_governance), **vars(queries_controls)}
+    own = {**globals(), **vars(queries_governance), **vars(queries_controls), **vars(queries_stores)}
     return {k: f for k, f in own.items() if k.startswith("q") and k[1:3].isdigit()}
