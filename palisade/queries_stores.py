@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import lexicon, store
 from palisade.sources.carriers import shared_folder, table
+from palisade.streaming import state
 
 
 def _terms(spark, d):
@@ -47,3 +48,32 @@ def q119_index_sums(spark, d):
     assert store.totals(spark, path) == before
     rows = store.live(spark, path)
     return rows.agg(F.count("*").alias("units"), F.sum("length").alias("length"), F.sum(F.size("terms")).cast("long").alias("postings"))
+
+
+def _event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+
+
+def _place(spark):
+    return f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+
+
+def q120_stream_approvals(spark, d):
+    """Every other event parks a call of its user; claims follow within an hour, some by others, some a second time, some not at all."""
+    i, at = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    after = lambda s: F.timestamp_seconds(F.unix_timestamp(at) + s)
+    row = lambda kind, who, when: F.struct(F.col("user_id").cast("string").alias("scope"), F.lit(kind).alias("kind"), i.cast("string").alias("token"), who.cast("string").alias("who"), when.alias("at"))
+    other = F.col("user_id") + (i % 14 == 0).cast("int")
+    rows = F.array(row("park", F.col("user_id"), at), row("claim", other, after(i * 37 % 1800 * 2 + 1)), row("claim", F.col("user_id"), after(i * 53 % 2700 * 2 + 2)))
+    keep = F.filter(rows, lambda r: (r["kind"] == "park") | (i % 6 != 0))
+    events = _event_stream(spark, d).where(i % 2 == 0).select(F.explode(keep).alias("r")).select("r.*")
+    return state.collected(state.approvals(events), _place(spark)).groupBy("scope", "outcome").agg(F.count("*").alias("n"))
+
+
+def q121_stream_budgets(spark, d):
+    """The daily ceiling as it is reached: q39 over a stream."""
+    tokens = F.floor(F.abs("value") * 10).cast("long") + F.col("event_id") % 977
+    usage = _event_stream(spark, d).select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("at"), tokens.alias("tokens"))
+    out = state.collected(state.budgets(usage, {"daily": 1500, "monthly": 40_000}), _place(spark))
+    return out.select(F.col("user").cast("long").alias("user_id"), "window", "period", "used")
