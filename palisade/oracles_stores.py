@@ -34,8 +34,8 @@ def _lexicon() -> str:
   select doc_id, count(term) as n, count(distinct term) as terms, cast(coalesce(sum(start), 0) as bigint) as starts from d left join kept using (r) group by r, doc_id"""
 
 
-def oracle_sql(bm25: str) -> dict[str, str]:
-    """`bm25`: the common tables of a search over `documents`."""
+def oracle_sql(bm25: str, ingest: str) -> dict[str, str]:
+    """`bm25`: the common tables of a search over `documents`; `ingest`: those with the reason why a document is not indexed."""
     again = f"with {CHANGED}, " + bm25.removeprefix("with ").replace("from documents", "from changed")
     return {
         "q117_large_lexicon": _lexicon(),
@@ -52,5 +52,6 @@ def oracle_sql(bm25: str) -> dict[str, str]:
             select user_id, 'daily' as "window", strftime(ts, '%Y-%m-%d') as period, sum(tokens_in + tokens_out) over (partition by user_id, strftime(ts, '%Y-%m-%d') order by epoch_ms(ts), tokens_in + tokens_out rows unbounded preceding) as used, 1500 as most from u
             union all select user_id, 'monthly', strftime(ts, '%Y-%m'), sum(tokens_in + tokens_out) over (partition by user_id, strftime(ts, '%Y-%m') order by epoch_ms(ts), tokens_in + tokens_out rows unbounded preceding), 40000 from u)
             select user_id, "window", period, cast(min(used) as bigint) as used from r where used >= most group by user_id, "window", period""",
+        "q122_ingest_outputs": ingest + "select doc_id, case when reason = '' then 'indexed' else 'quarantined' end as status, reason, reason = '' as indexed, reason <> '' as quarantined, true as audited from s",
         "q119_index_sums": again + "select (select count(*) from len) as units, (select cast(sum(length) as bigint) from len) as length, (select count(*) from tf) as postings",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import lexicon, store
 from palisade.sources.carriers import shared_folder, table
-from palisade.streaming import state
+from palisade.streaming import ingest, state
 
 
 def _terms(spark, d):
@@ -77,3 +77,16 @@ def q121_stream_budgets(spark, d):
     usage = _event_stream(spark, d).select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("at"), tokens.alias("tokens"))
     out = state.collected(state.budgets(usage, {"daily": 1500, "monthly": 40_000}), _place(spark))
     return out.select(F.col("user").cast("long").alias("user_id"), "window", "period", "used")
+
+
+def q122_ingest_outputs(spark, d):
+    """All documents taken in by a stream: where each went, and that it is there and nowhere else."""
+    schema, path = table(spark, d, "documents").schema, _place(spark)
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*")
+    ingest.run(docs.select("doc_id", F.lit("").alias("title"), "text"), path)
+    out = ingest.outcome(spark, path)
+    kept = spark.read.parquet(f"{path}/quarantine").select("doc_id").distinct().withColumn("kept", F.lit(True))
+    noted = spark.read.parquet(f"{path}/audit/records").select("doc_id").distinct().withColumn("noted", F.lit(True))
+    cut = spark.read.parquet(f"{path}/chunks").select("doc_id").distinct().withColumn("cut", F.lit(True))
+    out = out.join(kept, "doc_id", "left").join(noted, "doc_id", "left").join(cut, "doc_id", "left")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "status", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("cut", F.lit(False)).alias("indexed"), F.coalesce("kept", F.lit(False)).alias("quarantined"), F.coalesce("noted", F.lit(False)).alias("audited"))
