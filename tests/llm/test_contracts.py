@@ -120,6 +120,30 @@ def test_damaged_media():
             read_ogg(media[:at] + bytes([media[at] ^ 1]) + media[at + 1 :])
 
 
+def test_times_come_from_granule_positions():
+    """A page whose granule position is moved, with a right checksum, is found out; so are times of streams of unlike length."""
+    from palisade.llm.ogg_media import _PAGE, page_checksum
+
+    payload = padded("time " * 4_000)
+    media = write_ogg(payload)
+    first = sum(len(payload[i : i + 960]) for i in range(0, len(payload), 1920))  # samples of the first stream, at 8,000 a second
+    assert read_ogg(media)[1].endswith(f";samples={len(payload)};end_us={max(first, len(payload) - first) * 125}")
+    at = 0
+    while True:
+        head = _PAGE.unpack_from(media, at)
+        size = 27 + head[7] + sum(media[at + 27 : at + 27 + head[7]])
+        if head[3] > 0:
+            break
+        at += size
+    for moved in (head[3] - 1, head[3] + 960):
+        page = bytearray(media[at : at + size])
+        page[6:14] = struct.pack("<q", moved)
+        page[22:26] = b"\0\0\0\0"
+        page[22:26] = struct.pack("<I", page_checksum(bytes(page)))
+        with pytest.raises(ValueError, match="granule|samples"):
+            read_ogg(media[:at] + bytes(page) + media[at + size :])
+
+
 def test_jaccard(spark, table):
     out, rows = result(spark, "op5_ngram_jaccard_join", table), texts(spark, table)
     want = brute.jaccard_components(list(rows.items()), 4, 85, 100)
