@@ -79,9 +79,9 @@ def blocked_terms(text: Column, terms=BLOCKLIST, allow=ALLOWLIST, mode: str = "w
     used = [t for t in terms if 0 < len(t) <= 256]
     if not used:
         return F.expr(spans.NONE)
-    hits = F.concat(*[spans.find(lower, _term(t, mode), "blocked_term", i) for i, t in enumerate(used)])
+    hits = spans.find_all(lower, [(_term(t, mode), "blocked_term", i) for i, t in enumerate(used)])
     if allow:
-        free = F.concat(*[spans.find(lower, _term(t, mode), "allowed", i) for i, t in enumerate(allow)])
+        free = spans.find_all(lower, [(_term(t, mode), "allowed", i) for i, t in enumerate(allow)])
         hits = F.filter(hits, lambda h: ~F.exists(free, lambda a: (a["start"] <= h["start"]) & (h["stop"] <= a["stop"])))
     return F.when(lower.rlike("|".join(_term(t, "substring") for t in used)), hits).otherwise(F.expr(spans.NONE))
 
@@ -110,7 +110,7 @@ def rule_hits(text: Column, rules) -> Column:
 
 def rule_spans(text: Column, rules) -> Column:
     """All places of all rules."""
-    return F.concat(*[spans.find(text, f"(?i){parse_rule(r)[0]}", parse_rule(r)[1], i) for i, r in enumerate(rules)])
+    return spans.find_all(text, [(f"(?i){parse_rule(r)[0]}", parse_rule(r)[1], i) for i, r in enumerate(rules)])
 
 
 def injection_score(text: Column, techniques: set[str] | None = None) -> Column:

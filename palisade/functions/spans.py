@@ -40,22 +40,32 @@ def _before(numbers: Column, first: Column, levels: int) -> Column:
 
 def sums_before(numbers: Column) -> Column:
     """For each of the `numbers` (int) the sum of those before it."""
-    return let(numbers, lambda n: _before(n, F.lit(0), 2))
+    return let(numbers, lambda n: _before(n, F.lit(0), 1))
 
 
-def find(text: Column, pattern: str, kind: str, order: int = 0) -> Column:
-    """Leftmost non-overlapping matches; offsets come from the lengths of matches and gaps."""
+def find_all(text: Column, patterns: list[tuple[str, str, int]], holds: dict[str, Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches of each of `patterns` (pattern, kind, order), those of the first one first; offsets come
+    from the lengths of matches and gaps, by one expression for all. `holds`: by kind, what a text with a match fulfils."""
 
     def placed(f: Column) -> Column:
         lengths = F.zip_with(F.slice(f["g"], F.lit(1), F.size(f["m"])), f["m"], lambda g, m: F.length(g) + F.length(m))
-        return let(F.struct(f["m"].alias("m"), f["g"].alias("g"), sums_before(lengths).alias("at")), numbered)
+        start = lambda at, i: F.get(at, i) + F.length(F.get(f["g"], i))
+        span = lambda at, m, i: F.struct(start(at, i).alias("start"), (start(at, i) + F.length(m)).alias("stop"), f["kind"].alias("kind"), m.alias("value"), f["ord"].alias("ord"))
+        return let(sums_before(lengths), lambda at: F.transform(f["m"], lambda m, i: span(at, m, i)))
+
+    def each(pattern: str, kind: str, order: int) -> Column:
+        found = F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("ord"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+        guard = (holds or {}).get(kind)
+        return F.when(text.rlike(pattern) if guard is None else guard & text.rlike(pattern), found)
 
-    def numbered(f: Column) -> Column:
-        start = lambda i: F.get(f["at"], i) + F.length(F.get(f["g"], i))
-        return F.transform(f["m"], lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("stop"), F.lit(kind).alias("kind"), m.alias("value"), F.lit(order).alias("ord")))
+    if not patterns:
+        return F.expr(NONE)
+    return F.flatten(F.transform(F.filter(F.array(*(each(*p) for p in patterns)), lambda f: f.isNotNull()), placed))
 
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.expr(NONE))
+
+def find(text: Column, pattern: str, kind: str, order: int = 0) -> Column:
+    """Leftmost non-overlapping matches of one pattern."""
+    return find_all(text, [(pattern, kind, order)])
 
 
 def resolve(spans: Column) -> Column:
