@@ -36,3 +36,9 @@ def test_stages(spark):
     assert set(packed.doc_id) == set(held)
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.max()).all()
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
