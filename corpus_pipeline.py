@@ -2,6 +2,11 @@
 
 Toxic documents go, one document of each group of near copies stays, passages that repeat
 across what is left are removed, personal data gets surrogates, and the texts are packed.
+
+Null and empty texts are no toxic ones, link with nothing, hold no passage and no data, and are packed as one end id
+each. Rows that repeat an id and its text are one row after the second stage; other texts under one id are documents of
+their own, and rows with a null id come behind those with one. Among linked documents the least id stays. A text may have any length.
+All but the last stage return the columns of the documents, whatever their names. An empty table gives no sequences.
 """
 
 from __future__ import annotations
