@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade import oracles_controls, oracles_governance, oracles_stores
+from palisade import oracles_controls, oracles_governance, oracles_runs, oracles_stores
 from palisade.functions import rails
 from palisade.operators import retrieval
 from palisade.sources.carriers import PROMPTS, RATES, USAGE
@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
     figures = lambda c: f"list_distinct(list_filter(list_transform(regexp_extract_all({c}, '[0-9][0-9,]*'), lambda x: replace(x, ',', '')), lambda x: length(x) >= 2))"
     status = "case when length(text) > 200000 then 'oversized' when bad then 'blocked' when trim(text) = '' then 'empty' else '' end"
     ingest = f"with d as (select doc_id, text, {_INJECTION} >= 0.85 or {_rules((*rails.SECURITY_RULES, *rails.USE_CASE_RULES))} = 'block' as bad from documents), s as (select *, {status} as reason from d) "
-    return oracles_governance.oracle_sql() | oracles_controls.oracle_sql() | oracles_stores.oracle_sql(_BM25, ingest) | {
+    return oracles_governance.oracle_sql() | oracles_controls.oracle_sql() | oracles_stores.oracle_sql(_BM25, ingest) | oracles_runs.oracle_sql() | {
         "q01_normalize_fold": f"""{_P}, r as (select request_id, regexp_replace(regexp_replace(text, 'a', 'а', 'g'), 'the ', 'the​ \t ', 'g') as raw from prompts),
             c as (select request_id, raw, regexp_replace({_FOLD}, '[ \t]+', ' ', 'g') as clean from r)
             select request_id, clean, cast(list_sum(list_transform(range(1, least(length(raw), length(clean)) + 1), lambda i: case when substr(raw, i, 1) <> substr(clean, i, 1) then 1 else 0 end)) + abs(length(raw) - length(clean)) as bigint) as changes from c""",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade import queries_controls, queries_governance, queries_stores
+from palisade import queries_controls, queries_governance, queries_runs, queries_stores
 from palisade.functions import checksums, pii, rails
 from palisade.functions.normalize import change_count, compose, normalize
 from palisade.operators import decisions, records, retrieval, store
@@ -426,5 +426,5 @@ def q69_two_arm_pivot(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {**globals(), **vars(queries_governance), **vars(queries_controls), **vars(queries_stores)}
+    own = {**globals(), **vars(queries_governance), **vars(queries_controls), **vars(queries_stores), **vars(queries_runs)}
     return {k: f for k, f in own.items() if k.startswith("q") and k[1:3].isdigit()}
