@@ -27,10 +27,10 @@ def adjudicate(verdict: Column, score: Column, threshold: float, margin: float,
 
 def policy_floor(verdict: Column, findings: Column, action: Column) -> Column:
     """Struct of the verdict under a policy's floor and whether the floor overrode it. No findings or no action: no floor;
-    an unknown action is a block; an escalation stands above all."""
+    an unknown action is a block; an escalating policy stands above all, a verdict that escalates above a floor of pass alone."""
     floor = F.when(action.isin(*LEVELS, "escalate"), action).otherwise("block")
     asked = (findings > 0) & action.isNotNull()
-    out = F.when(~asked, verdict).when(floor == "escalate", floor).when(rank(floor) > rank(verdict), floor).otherwise(verdict)
+    out = F.when(~asked | ((verdict == "escalate") & (floor == "pass")), verdict).when(floor == "escalate", floor).when(rank(floor) > rank(verdict), floor).otherwise(verdict)
     return F.struct(out.alias("verdict"), (out != verdict).alias("overridden"))
 
 

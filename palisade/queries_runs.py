@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from palisade.functions import rails, vault
 from palisade.functions.spans import find
-from palisade.operators import toolruns
-from palisade.sources.carriers import prompts
+from palisade.operators import supervisor, toolruns
+from palisade.sources.carriers import prompts, table
 
 SECRET, TTL = "fedcba9876543210", 3_600  # of the query's own test vault
 TOOLS = {"lookup": (False, ("reference",)), "search": (False, ()), "file": (True, ("reference",))}
+DONE = ("pass", "flag", "mask", "block", "escalate")
 RULES = (*rails.SECURITY_RULES, *rails.USE_CASE_RULES)
 
 
@@ -52,3 +53,18 @@ def q124_tool_arguments(spark, d):
 
 def q125_tool_run_sums(spark, d):
     return toolruns.summed(_calls(spark, d)[0])
+
+
+def q126_supervisor_rounds(spark, d):
+    """Every event is a plan, three a request, and what two agents did; the first of a request is also what was said of all results."""
+    e = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 3).alias("request"))
+    i = F.col("event_id")
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    names = F.array(*(pick(supervisor.AGENTS, F.floor(i / k) % 6) for k in (1, 2, 5, 7)))
+    plans = e.select("request", (i % 3 + 1).alias("round"), F.slice(names, 1, F.floor(i / 3) % 7 % 5).alias("agents"), (i % 7 < 4).alias("more"), (i % 53).cast("double").alias("at_s")).where(F.col("request") % 19 != 7)
+    acts = e.select("request", F.explode(F.array(*map(F.lit, supervisor.AGENTS))).alias("agent"), "event_id").where("event_id % 3 = 0")
+    code = F.floor(F.col("request") / 2) + F.length("agent") * 3
+    results = acts.select("request", "agent", pick(DONE, code % len(DONE)).alias("action"))
+    said = e.where("event_id % 3 = 0").select("request", pick((*DONE, "unheard"), i % 6).alias("action"), (i % 12 / 10).alias("confidence"), (i % 47).cast("double").alias("at_s"))
+    out = supervisor.decided(plans, results, said)
+    return out.select("request", F.col("made").cast("long").alias("made"), F.size("ran").cast("long").alias("ran"), "status", "action", "overridden")
