@@ -17,7 +17,8 @@ LOOKALIKES = (
 )
 FOLDED = "aeopcxyisjABEKMHOPCTX" + "aovptuABEZHIKMNOPTYX" + "ilol/"
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}]"
-BLANKS = r"[ \t\x{00A0}\x{2000}-\x{200A}\x{3000}]+"
+#: Runs of blanks, and single ones other than a space, which is what they become.
+BLANKS = r"[ \t\x{00A0}\x{2000}-\x{200A}\x{3000}]{2,}|[\t\x{00A0}\x{2000}-\x{200A}\x{3000}]"
 
 
 def strip_invisible(text: Column) -> Column:
@@ -29,18 +30,28 @@ def fold_lookalikes(text: Column) -> Column:
 
 
 def collapse_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, BLANKS, " ")
+    return F.when(text.contains("  ") | text.contains("\t") | ~_ascii(text), F.regexp_replace(text, BLANKS, " ")).otherwise(text)
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 @F.pandas_udf(T.StringType())
-def compose(text: pd.Series) -> pd.Series:
-    """Compatibility composition (NFKC), for which the JVM functions have no counterpart; plain ASCII goes through as it is."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def compose(text: Column | str) -> Column:
+    """Compatibility composition (NFKC), for which the JVM functions have no counterpart; plain ASCII stays as it is and isn't sent to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = _nfkc(F.when(~_ascii(text), text))
+    return F.when(_ascii(text), text).otherwise(other)
 
 
 def normalize(text: Column) -> Column:
-    """All steps that need no Python; `compose` comes before them where text may hold compatibility forms."""
-    return collapse_blanks(fold_lookalikes(strip_invisible(text)))
+    """All steps that need no Python; `compose` comes before them where text may hold compatibility forms. What is folded or stripped isn't ASCII."""
+    return collapse_blanks(F.when(_ascii(text), text).otherwise(fold_lookalikes(strip_invisible(text))))
 
 
 def change_count(before: Column, after: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,16 +76,20 @@ def _term(t: str, mode: str) -> str:
 def blocked_terms(text: Column, terms=BLOCKLIST, allow=ALLOWLIST, mode: str = "word") -> Column:
     """Hits of a lexicon, without those inside an allowed phrase. Terms over 256 characters are ignored.
 
-    One alternation tells whether a text holds any term; only then are the terms looked for one by one."""
-    lower = F.lower(text)
+    Terms are looked for one by one, with their borders, only in texts that hold any as a plain string."""
     used = [t for t in terms if 0 < len(t) <= 256]
     if not used:
         return F.expr(spans.NONE)
-    hits = spans.find_all(lower, [(_term(t, mode), "blocked_term", i) for i, t in enumerate(used)])
-    if allow:
-        free = spans.find_all(lower, [(_term(t, mode), "allowed", i) for i, t in enumerate(allow)])
-        hits = F.filter(hits, lambda h: ~F.exists(free, lambda a: (a["start"] <= h["start"]) & (h["stop"] <= a["stop"])))
-    return F.when(lower.rlike("|".join(_term(t, "substring") for t in used)), hits).otherwise(F.expr(spans.NONE))
+
+    def found(low: Column) -> Column:
+        find = lambda ts, kind: spans.find_all(low, [(_term(t, mode), kind, i) for i, t in enumerate(ts)], {_term(t, mode): low.contains(t.lower()) for t in ts})
+        hits = find(used, "blocked_term")
+        if allow:
+            free = find(allow, "allowed")
+            hits = F.filter(hits, lambda h: ~F.exists(free, lambda a: (a["start"] <= h["start"]) & (h["stop"] <= a["stop"])))
+        return F.when(reduce(or_, (low.contains(t.lower()) for t in used)), hits).otherwise(F.expr(spans.NONE))
+
+    return spans.let(F.lower(text), found)
 
 
 def star_out(text: Column, hits: Column) -> Column:
@@ -98,9 +104,50 @@ def parse_rule(rule: str) -> tuple[str, str]:
     return pattern.strip(), action
 
 
+def needed(pattern: str) -> list[set[str]]:
+    """Sets of lower-case ASCII strings: a text that `pattern` matches, in either case, holds one of each set. Longest first."""
+    from re import _constants as c
+    from re import _parser
+
+    def walk(sequence) -> list[set[str]]:
+        out, run = [], ""
+        for op, arg in [*sequence, (None, None)]:
+            if op is c.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if op is c.AT:
+                continue
+            out, run = out + [{run}] if run else out, ""
+            if op is c.SUBPATTERN:
+                out += walk(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
+                out += walk(arg[2])
+            elif op is c.BRANCH:
+                sides = [walk(side) for side in arg[1]]
+                if all(sides):
+                    out.append(set.union(*(max(side, key=_least) for side in sides)))
+        return out
+
+    return sorted(walk(_parser.parse(pattern)), key=_least, reverse=True)
+
+
+def _least(strings: set[str]) -> int:
+    return min(map(len, strings))
+
+
+def _matching(text: Column, patterns: list[str], then) -> Column:
+    """`then` of one column a pattern: whether the text holds it in either case. The strings that every match has are far cheaper to
+    look for than the pattern, so only texts with all of them meet it."""
+    def hold(low: Column, p: str) -> Column:
+        parts = [reduce(or_, (low.contains(s) for s in sorted(some))) for some in needed(p)]
+        return reduce(and_, [*parts, text.rlike(f"(?i){p}")])
+
+    return spans.let(F.lower(text), lambda low: then([hold(low, p) for p in patterns]))
+
+
 def rule_verdict(text: Column, rules) -> Column:
     parsed = [parse_rule(r) for r in rules if r.strip() and not r.lstrip().startswith("#")]
-    return fold(*[F.when(text.rlike(f"(?i){p}"), a).otherwise("pass") for p, a in parsed])
+    return _matching(text, [p for p, _ in parsed], lambda held: fold(*[F.when(h, a).otherwise("pass") for h, (_, a) in zip(held, parsed)]))
 
 
 def rule_hits(text: Column, rules) -> Column:
@@ -114,17 +161,22 @@ def rule_spans(text: Column, rules) -> Column:
 
 
 def injection_score(text: Column, techniques: set[str] | None = None) -> Column:
-    scores = [F.when(text.rlike(f"(?i){p}"), s).otherwise(0.0) for t, s, p in INJECTION if techniques is None or t in techniques]
-    return F.greatest(*scores)
+    used = [(s, p) for t, s, p in INJECTION if techniques is None or t in techniques]
+    return _matching(text, [p for _, p in used], lambda held: F.greatest(*(F.when(h, s).otherwise(0.0) for h, (s, _) in zip(held, used))))
 
 
 def injection_technique(text: Column) -> Column:
     """Technique of the first pattern with the largest score."""
-    best = injection_score(text)
-    out = F.when(F.lit(False), "")
-    for t, s, p in INJECTION:
-        out = out.when((best == s) & text.rlike(f"(?i){p}"), t)
-    return out
+    # the first of equal scores comes first, as the sort is stable
+    ordered = sorted(INJECTION, key=lambda x: -x[1])
+
+    def first(held: list[Column]) -> Column:
+        out = F.when(F.lit(False), "")
+        for h, (t, _, _) in zip(held, ordered):
+            out = out.when(h, t)
+        return out
+
+    return _matching(text, [p for _, _, p in ordered], first)
 
 
 def in_scope(text: Column, terms) -> Column:

@@ -45,7 +45,7 @@ def sums_before(numbers: Column) -> Column:
 
 def find_all(text: Column, patterns: list[tuple[str, str, int]], holds: dict[str, Column] | None = None) -> Column:
     """Leftmost non-overlapping matches of each of `patterns` (pattern, kind, order), those of the first one first; offsets come
-    from the lengths of matches and gaps, by one expression for all. `holds`: by kind, what a text with a match fulfils."""
+    from the lengths of matches and gaps, by one expression for all. `holds`: by pattern, what a text with a match fulfils."""
 
     def placed(f: Column) -> Column:
         lengths = F.zip_with(F.slice(f["g"], F.lit(1), F.size(f["m"])), f["m"], lambda g, m: F.length(g) + F.length(m))
@@ -55,7 +55,7 @@ def find_all(text: Column, patterns: list[tuple[str, str, int]], holds: dict[str
 
     def each(pattern: str, kind: str, order: int) -> Column:
         found = F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("ord"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-        guard = (holds or {}).get(kind)
+        guard = (holds or {}).get(pattern)
         return F.when(text.rlike(pattern) if guard is None else guard & text.rlike(pattern), found)
 
     if not patterns:

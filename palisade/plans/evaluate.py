@@ -37,8 +37,8 @@ def ingest(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 
     A document is empty if nothing is left of it after normalising and masking, as when no chunk would come of it."""
     out = evaluate(docs.withColumn("surface", F.lit("ingest.document")))
-    left = F.regexp_replace("text_out", WHITE, "")
-    reason = F.when(F.length("text") > max_chars, "oversized").when(F.col("verdict") == "block", "blocked").when(left == "", "empty")
+    left = F.col("text_out").rlike(f"[^{WHITE[1:]}")
+    reason = F.when(F.length("text") > max_chars, "oversized").when(F.col("verdict") == "block", "blocked").when(~left, "empty")
     return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "indexed").otherwise("quarantined"))
 
 
