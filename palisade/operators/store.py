@@ -81,17 +81,6 @@ def live(spark: SparkSession, path: str) -> DataFrame:
     return _alive(_read(spark, path, parts, "forward", FORWARD.format(kind=kind)), _read(spark, path, parts, "gone", f"key {kind}")).drop("generation")
 
 
-def _forward(units: DataFrame, place: str) -> DataFrame:
-    """Terms of each unit with any, from one scan: words are counted and written, and each distinct one is stemmed once."""
-    spark = units.sparkSession
-    words = units.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("w")).where(~F.col("w").isin(*retrieval.STOP))
-    words.groupBy("key", "w").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/words")
-    words = spark.read.parquet(f"{place}/words")
-    stems = words.select("w").distinct().select("w", retrieval.stem(F.col("w")).alias("term"))
-    tf = words.join(stems, "w").groupBy("key", "term").agg(F.sum("n").alias("tf"))
-    return tf.groupBy("key").agg(F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms"))
-
-
 def _write_segment(spark: SparkSession, path: str, folder: str, forward: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = f"{path}/{folder}"
     forward.write.mode("overwrite").parquet(f"{place}/forward")
@@ -117,15 +106,16 @@ def change(spark: SparkSession, path: str, upserts: DataFrame | None = None, del
     units = given.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("text").alias("text"))
     units.write.mode("overwrite").parquet(f"{place}/units")
     units = spark.read.schema(units.schema).parquet(f"{place}/units")
-    forward, rows = _write_segment(spark, path, folder, _forward(units, place))
+    forward, rows = _write_segment(spark, path, folder, retrieval.bags(units, "key", "text"))
     gone = units.select("key")
     if deletes is not None:
         gone = gone.unionByName(deletes.select("key").where(F.col("key").isNotNull())).distinct()
     gone.write.mode("overwrite").parquet(f"{place}/gone")
     gone = spark.read.schema(gone.schema).parquet(f"{place}/gone")
     kind = forward.schema["key"].dataType.simpleString()
-    before = _alive(_read(spark, path, parts, "forward", FORWARD.format(kind=kind)), _read(spark, path, parts, "gone", f"key {kind}"))
-    killed = before.join(gone, "key", "left_semi")
+    # of what the index holds only the rows whose keys go now are looked at further
+    before = _read(spark, path, parts, "forward", FORWARD.format(kind=kind)).join(gone, "key", "left_semi")
+    killed = _alive(before, _read(spark, path, parts, "gone", f"key {kind}").join(gone, "key", "left_semi"))
     signed = rows.select("term", F.lit(1).cast("long").alias("df")).unionByName(killed.select(F.explode("terms.term").alias("term"), F.lit(-1).cast("long").alias("df")))
     signed.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0").withColumn("bucket", _bucket(F.col("term"))).write.mode("overwrite").parquet(f"{place}/df")
     sums = forward.select("length", F.lit(1).cast("long").alias("units")).unionByName(killed.select((-F.col("length")).alias("length"), F.lit(-1).cast("long").alias("units")))
@@ -191,12 +181,13 @@ def matches(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
 
 
 def frequencies(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """(term, df) of the terms of `queries`, summed over segments."""
+    """(term, df) of the terms of `queries`, summed over segments; marked for a broadcast if these are few, so that postings stay where they are."""
     _, parts = segments(spark, path)
     q, few = _asked(queries)
     wanted = q.select("term").distinct()
     rows = _read(spark, path, parts, "df", "term string, df long, bucket int").join(F.broadcast(wanted) if few else wanted, "term")
-    return rows.groupBy("term").agg(F.sum("df").alias("df"))
+    found = rows.groupBy("term").agg(F.sum("df").alias("df"))
+    return F.broadcast(found) if few else found
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 4, min_coverage: float = retrieval.MIN_COVERAGE) -> DataFrame:
