@@ -90,3 +90,11 @@ def test_stars_and_gate(spark):
     assert [r[0] for r in df.select(entities.candidate(F.col("text"))).collect()] == [True, False, False, False, False]
     found = spans.find(F.col("text"), "Ann Lee", "PERSON")
     assert df.select(spans.splice(F.col("text"), found, entities.starred)).first()[0] == "Ask A******"
+
+
+def test_house_number_is_read_once_a_span():
+    """What names an expression works it out anew, so each pattern stands in the plan's text once for each bound value."""
+    from palisade.operators import entities as e
+
+    plan = str(e.named(F.col("text"), F.col("found"), F.col("taken"), ("PERSON", "ADDRESS"), 0.6))
+    assert plan.count(e.HOUSE_NUMBER) <= 1
