@@ -88,9 +88,11 @@ def _results(text):
 
 
 def q57_explain(spark, d):
-    r = _results(F.col("text"))
+    # generated, so that four columns don't each look for every pattern
+    rows = prompts(spark, d).select("request_id", F.explode(F.array(_results(F.col("text")))).alias("r"))
+    r = F.col("r")
     say = lambda level: agents.explained(r, level, F.lit("prompt"), F.col("request_id").cast("string"))
-    return prompts(spark, d).select("request_id", say("minimal").alias("minimal"), say("category").alias("category"), say("detailed").alias("detailed"), agents.reason(r).alias("reason"))
+    return rows.select("request_id", say("minimal").alias("minimal"), say("category").alias("category"), say("detailed").alias("detailed"), agents.reason(r).alias("reason"))
 
 
 def q64_agent_suite(spark, d):
