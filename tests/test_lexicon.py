@@ -86,3 +86,15 @@ def test_nothing(spark):
     assert lexicon.hits(docs.limit(0), spark.createDataFrame([("a",)], "term string")).count() == 0
     with pytest.raises(ValueError):
         lexicon.hits(docs, none, mode="other")
+
+
+def test_few_terms_are_found_without_a_shuffle(spark):
+    """As by joins, allowed phrases included, in rows of any columns; and however many hits a text has."""
+    docs = spark.createDataFrame([(i, t, [i]) for i, t in enumerate([*TEXTS, "the " * 30_000])], "`a.b` int, text string, other array<int>")
+    terms, allow = (spark.createDataFrame([(t,) for t in x], "term string") for x in (TERMS, ["the other", "she,", "the the the the"]))
+    few = lexicon.hits(docs, terms, allow)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString() and few.columns == [*docs.columns, "hits"]
+    many = lexicon.hits(docs.where("length(text) < 1000"), terms, allow, broadcast=1)
+    assert sorted(map(tuple, few.where("length(text) < 1000").collect())) == sorted(map(tuple, many.collect()))
+    assert few.where("length(text) > 1000").select(F.size("hits")).first()[0] == 0
+    assert lexicon.hits(docs, terms).where("length(text) > 1000").select(F.size("hits")).first()[0] == 29_999
