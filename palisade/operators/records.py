@@ -62,15 +62,15 @@ def chain(rows: DataFrame, group: str, seq: str, body: Column, block: int | Colu
     kept = F.struct(*rows.columns)
     at = block if isinstance(block, Column) else F.floor(F.col(seq) / block)
     keyed = rows.select(F.col(group).alias("g"), at.alias("block"), F.struct(F.col(seq).alias("s"), body.alias("body"), kept.alias("row")).alias("r"))
-    folded = keyed.groupBy("g", "block").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0)).alias("r"))
-    links = F.aggregate(
-        F.transform("r", lambda x: x["body"]),
-        F.struct(start("g").alias("at"), F.expr("cast(array() as array<struct<prev:string,hash:string>>)").alias("out")),
-        lambda a, x: F.struct(hashed(a["at"], x).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("prev"), hashed(a["at"], x).alias("hash"))).alias("out")),
-        lambda a: a["out"],
-    )
-    out = folded.select("block", F.explode(F.arrays_zip(F.col("r.row").alias("row"), links.alias("link"))).alias("x"))
-    return out.select("x.row.*", "block", "x.link.prev", "x.link.hash")
+    # sorted by numbers and places alone: a comparison by a lambda takes longer than the hashes
+    order = F.array_sort(F.transform("r", lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"))))
+    folded = keyed.groupBy("g", "block").agg(F.collect_list("r").alias("r")).select("g", "block", "r", F.explode(F.array(order)).alias("order"))
+    folded = folded.select("g", "block", F.explode(F.array(F.transform("order", lambda o: F.get("r", o["i"])))).alias("r"))
+    # each hash once; the one before is the last of the list
+    hashes = F.aggregate(F.transform("r", lambda x: x["body"]), F.array(start("g")), lambda out, x: F.array_append(out, hashed(F.element_at(out, -1), x)))
+    linked = folded.select("block", F.col("r.row").alias("row"), F.explode(F.array(hashes)).alias("at"))
+    out = linked.select("block", F.explode(F.arrays_zip("row", F.slice("at", 1, F.size("row")).alias("prev"), F.slice("at", 2, F.size("row")).alias("hash"))).alias("x"))
+    return out.select("x.row.*", "block", "x.prev", "x.hash")
 
 
 def seals(chained: DataFrame, group: str, seq: str) -> DataFrame:

@@ -26,6 +26,9 @@ KINDS = ("PERSON", "ADDRESS", "ORGANISATION")
 AGENT_OF = tuple(controls.TOOLS)
 TOOL_NAMES = tuple(ts[0] for ts in controls.TOOLS.values()) + ("delete_records",)
 
+#: Files of a batch of the streamed audit: what reads and writes them at a time.
+AUDIT_FILES = 12
+
 
 def _pick(words, i):
     return F.get(F.array(*map(F.lit, words)), i.cast("int"))
@@ -160,9 +163,9 @@ def q113_streamed_audit(spark, d):
     """Three batches of events become a trail by event type; then the values of some records are changed."""
     place = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
     source = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
-    source.repartition(3, "event_id").write.parquet(f"{place}/in")
+    source.repartition(3 * AUDIT_FILES, "event_id").write.parquet(f"{place}/in")
     body = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("value").cast("string"))
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", AUDIT_FILES).parquet(f"{place}/in")
     run = stream.writeStream.foreachBatch(audit.appender(place, "event_type", "event_id", body)).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     kept, seals, heads = audit.trail(spark, place, run.lastProgress["batchId"])
