@@ -61,7 +61,7 @@ def _read(spark: SparkSession, path: str, parts: list[tuple[int, str]], name: st
 
 
 FORWARD = "key {kind}, length long, terms array<struct<term:string,tf:long>>"
-POSTINGS = "term string, key {kind}, tf long, length long, bucket int"
+POSTINGS = "term string, n long, keys array<{kind}>, tfs array<long>, lengths array<long>, bucket int"
 
 
 def _kind(spark: SparkSession, path: str, parts: list[tuple[int, str]]) -> str:
@@ -78,17 +78,21 @@ def live(spark: SparkSession, path: str) -> DataFrame:
     """(key, length, terms) of the units that the index holds now."""
     _, parts = segments(spark, path)
     kind = _kind(spark, path, parts)
-    return _alive(_read(spark, path, parts, "forward", FORWARD.format(kind=kind)), _read(spark, path, parts, "gone", f"key {kind}")).drop("generation")
+    rows = _read(spark, path, parts, "forward", FORWARD.format(kind=kind)).where("length > 0")
+    return (_alive(rows, _read(spark, path, parts[1:], "gone", f"key {kind}")) if len(parts) > 1 else rows).drop("generation")
 
 
-def _write_segment(spark: SparkSession, path: str, folder: str, forward: DataFrame) -> tuple[DataFrame, DataFrame]:
-    place = f"{path}/{folder}"
+def _write_forward(place: str, forward: DataFrame) -> DataFrame:
     forward.write.mode("overwrite").parquet(f"{place}/forward")
-    forward = spark.read.schema(forward.schema).parquet(f"{place}/forward")
-    rows = forward.select("key", "length", F.explode("terms").alias("t")).select("t.term", "key", "t.tf", "length", _bucket(F.col("t.term")).alias("bucket"))
-    # ranges of terms: a very common one is split by key, and files of a bucket hold neighbouring terms
-    rows.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{place}/postings")
-    return forward, rows
+    return forward.sparkSession.read.schema(forward.schema).parquet(f"{place}/forward")
+
+
+def _write_postings(place: str, forward: DataFrame) -> DataFrame:
+    """Writes the blocks of `forward` by buckets; gives back (term, df) of each, to be added up."""
+    rows = retrieval.postings(forward).withColumn("bucket", _bucket(F.col("term")))
+    # a bucket with much is split by the tasks that made its blocks, whatever its terms, and files hold neighbouring terms
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{place}/postings")
+    return forward.sparkSession.read.schema("term string, n long, bucket int").parquet(f"{place}/postings").select("term", F.col("n").alias("df"))
 
 
 def change(spark: SparkSession, path: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None, generation: int | None = None) -> int:
@@ -103,22 +107,23 @@ def change(spark: SparkSession, path: str, upserts: DataFrame | None = None, del
     folder = f"segment-{g}"
     place = f"{path}/{folder}"
     given = upserts if upserts is not None else deletes.select("key", F.lit(None).cast("string").alias("text")).limit(0)
-    units = given.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("text").alias("text"))
-    units.write.mode("overwrite").parquet(f"{place}/units")
-    units = spark.read.schema(units.schema).parquet(f"{place}/units")
-    forward, rows = _write_segment(spark, path, folder, retrieval.bags(units, "key", "text"))
-    gone = units.select("key")
+    given = given.where(F.col("key").isNotNull())
+    forward = _write_forward(place, retrieval.bags(given, "key", "text", empty=True))
+    if not forward.groupBy("key").count().where("count > 1").isEmpty():
+        forward = _write_forward(place, retrieval.bags(given.groupBy("key").agg(F.max("text").alias("text")), "key", "text", empty=True))
+    added = _write_postings(place, forward)
+    gone = forward.select("key")
     if deletes is not None:
         gone = gone.unionByName(deletes.select("key").where(F.col("key").isNotNull())).distinct()
     gone.write.mode("overwrite").parquet(f"{place}/gone")
     gone = spark.read.schema(gone.schema).parquet(f"{place}/gone")
     kind = forward.schema["key"].dataType.simpleString()
     # of what the index holds only the rows whose keys go now are looked at further
-    before = _read(spark, path, parts, "forward", FORWARD.format(kind=kind)).join(gone, "key", "left_semi")
+    before = _read(spark, path, parts, "forward", FORWARD.format(kind=kind)).where("length > 0").join(gone, "key", "left_semi")
     killed = _alive(before, _read(spark, path, parts, "gone", f"key {kind}").join(gone, "key", "left_semi"))
-    signed = rows.select("term", F.lit(1).cast("long").alias("df")).unionByName(killed.select(F.explode("terms.term").alias("term"), F.lit(-1).cast("long").alias("df")))
+    signed = added.unionByName(killed.select(F.explode("terms.term").alias("term"), F.lit(-1).cast("long").alias("df")))
     signed.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0").withColumn("bucket", _bucket(F.col("term"))).write.mode("overwrite").parquet(f"{place}/df")
-    sums = forward.select("length", F.lit(1).cast("long").alias("units")).unionByName(killed.select((-F.col("length")).alias("length"), F.lit(-1).cast("long").alias("units")))
+    sums = forward.where("length > 0").select("length", F.lit(1).cast("long").alias("units")).unionByName(killed.select((-F.col("length")).alias("length"), F.lit(-1).cast("long").alias("units")))
     sums.agg(F.coalesce(F.sum("units"), F.lit(0).cast("long")).alias("units"), F.coalesce(F.sum("length"), F.lit(0).cast("long")).alias("length")).write.mode("overwrite").parquet(f"{place}/totals")
     _write_manifest(spark, path, version + 1, [*parts, (g, folder)])
     return g
@@ -130,10 +135,11 @@ def compact(spark: SparkSession, path: str) -> None:
     if not parts:
         return
     g, folder = parts[-1][0], f"snapshot-{parts[-1][0]}-{uuid.uuid4().hex}"
-    forward, rows = _write_segment(spark, path, folder, live(spark, path))
     place = f"{path}/{folder}"
+    forward = _write_forward(place, live(spark, path))
+    rows = _write_postings(place, forward)
     forward.select("key").limit(0).write.parquet(f"{place}/gone")
-    rows.groupBy("term").agg(F.count("*").alias("df")).withColumn("bucket", _bucket(F.col("term"))).write.parquet(f"{place}/df")
+    rows.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket(F.col("term"))).write.parquet(f"{place}/df")
     forward.agg(F.count("*").alias("units"), F.coalesce(F.sum("length"), F.lit(0).cast("long")).alias("length")).write.parquet(f"{place}/totals")
     _write_manifest(spark, path, version + 1, [(g, folder)])
 
@@ -166,20 +172,31 @@ def _asked(queries: DataFrame) -> tuple[DataFrame, bool]:
     return q, q.limit(BROADCAST + 1).count() <= BROADCAST
 
 
-def matches(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """(query_id, n_terms, term, key, tf, length): live postings of the terms of `queries` (query_id, text), and no others:
-    the terms are joined first, and buckets that hold none of them are not read."""
+def _hits(spark: SparkSession, path: str, wanted: DataFrame, few: bool) -> DataFrame:
+    """`wanted` (term, bucket, ...) with (key, tf, length) of the live postings of each term, and no others: the terms are joined
+    first, and buckets that hold none of them are not read."""
     _, parts = segments(spark, path)
     kind = _kind(spark, path, parts)
-    q, few = _asked(queries)
-    asked = [r.bucket for r in q.select("bucket").distinct().collect()]  # BUCKETS numbers at most: other folders are not read
+    asked = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # BUCKETS numbers at most: other folders are not read
     rows = _read(spark, path, parts, "postings", POSTINGS.format(kind=kind)).where(F.col("bucket").isin(asked))
-    hits = rows.join(F.broadcast(q) if few else q, ["bucket", "term"]).drop("bucket")
+    rows = rows.join(F.broadcast(wanted) if few else wanted, ["bucket", "term"])
+    units = F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("tfs").alias("tf"), F.col("lengths").alias("length")))
+    hits = rows.select(*(c for c in wanted.columns if c != "bucket"), "generation", units)
     if len(parts) > 1:
-        hits = _alive(hits, _read(spark, path, parts[1:], "gone", f"key {kind}"))
+        hits = _alive(hits.repartition("key"), _read(spark, path, parts[1:], "gone", f"key {kind}"))
     return hits.drop("generation")
 
 
+def matches(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """(query_id, n_terms, term, key, tf, length): live postings of the terms of `queries` (query_id, text), and no others."""
+    q, few = _asked(queries)
+    if not few:
+        return _hits(spark, path, q, few)
+    # a unit's places come together once, before they are multiplied by queries
+    hits = _hits(spark, path, q.select("term", "bucket").distinct(), few)
+    return hits.repartition("key").join(F.broadcast(q.drop("bucket")), "term")
+
+
 def frequencies(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """(term, df) of the terms of `queries`, summed over segments; marked for a broadcast if these are few, so that postings stay where they are."""
     _, parts = segments(spark, path)
