@@ -47,7 +47,7 @@ def ingester(path: str, max_chars: int = MAX_CHARS, size: int = retrieval.CHUNK,
         seen.select("doc_id", "title", "status", "reason", "verdict", masked, "text_out").write.mode("overwrite").parquet(f"{path}/scanned/{place}")
         seen = spark.read.parquet(f"{path}/scanned/{place}")
         good = seen.where("status = 'indexed'")
-        cut = good.select("doc_id", "title", F.posexplode(retrieval.chunks(F.col("text_out"), size, overlap)).alias("n", "chunk"))
+        cut = retrieval.cut(good.select("doc_id", "title", "text_out"), "text_out", size, overlap)
         cut.write.mode("overwrite").parquet(f"{path}/chunks/{place}")
         cut = spark.read.parquet(f"{path}/chunks/{place}")
         seen.where("status = 'quarantined'").select("doc_id", "title", "reason", "verdict", "text_out").write.mode("overwrite").parquet(f"{path}/quarantine/{place}")
