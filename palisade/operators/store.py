@@ -60,7 +60,8 @@ def _read(spark: SparkSession, path: str, parts: list[tuple[int, str]], name: st
     return reduce(DataFrame.unionByName, each) if each else _none(spark, f"{schema}, generation long")
 
 
-FORWARD = "key {kind}, length long, terms array<struct<term:string,tf:long>>"
+#: A unit's terms and how often it has each are strings with blanks between, as nested values take longer to write and to read.
+FORWARD = "key {kind}, length long, terms string, tfs string"
 POSTINGS = "term string, n long, keys array<{kind}>, tfs array<long>, lengths array<long>, bucket int"
 
 
@@ -75,7 +76,13 @@ def _alive(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def live(spark: SparkSession, path: str) -> DataFrame:
-    """(key, length, terms) of the units that the index holds now."""
+    """(key, length, terms) of the units that the index holds now; `terms` are pairs (term, tf)."""
+    terms = F.arrays_zip(F.split("terms", " ").alias("term"), F.split("tfs", " ").cast("array<bigint>").alias("tf"))
+    return _live(spark, path).select("key", "length", terms.alias("terms"))
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows as they are kept."""
     _, parts = segments(spark, path)
     kind = _kind(spark, path, parts)
     rows = _read(spark, path, parts, "forward", FORWARD.format(kind=kind)).where("length > 0")
@@ -90,8 +97,8 @@ def _write_forward(place: str, forward: DataFrame) -> DataFrame:
 def _write_postings(place: str, forward: DataFrame) -> DataFrame:
     """Writes the blocks of `forward` by buckets; gives back (term, df) of each, to be added up."""
     rows = retrieval.postings(forward).withColumn("bucket", _bucket(F.col("term")))
-    # a bucket with much is split by the tasks that made its blocks, whatever its terms, and files hold neighbouring terms
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{place}/postings")
+    # a bucket with much is split by the tasks that made its blocks, whatever its terms; searches read a bucket whole, so its rows aren't sorted by term
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{place}/postings")
     return forward.sparkSession.read.schema("term string, n long, bucket int").parquet(f"{place}/postings").select("term", F.col("n").alias("df"))
 
 
@@ -108,9 +115,9 @@ def change(spark: SparkSession, path: str, upserts: DataFrame | None = None, del
     place = f"{path}/{folder}"
     given = upserts if upserts is not None else deletes.select("key", F.lit(None).cast("string").alias("text")).limit(0)
     given = given.where(F.col("key").isNotNull())
-    forward = _write_forward(place, retrieval.bags(given, "key", "text", empty=True))
+    forward = _write_forward(place, retrieval.bags(given, "key", "text", empty=True, joined=True))
     if not forward.groupBy("key").count().where("count > 1").isEmpty():
-        forward = _write_forward(place, retrieval.bags(given.groupBy("key").agg(F.max("text").alias("text")), "key", "text", empty=True))
+        forward = _write_forward(place, retrieval.bags(given.groupBy("key").agg(F.max("text").alias("text")), "key", "text", empty=True, joined=True))
     added = _write_postings(place, forward)
     gone = forward.select("key")
     if deletes is not None:
@@ -121,7 +128,7 @@ def change(spark: SparkSession, path: str, upserts: DataFrame | None = None, del
     # of what the index holds only the rows whose keys go now are looked at further
     before = _read(spark, path, parts, "forward", FORWARD.format(kind=kind)).where("length > 0").join(gone, "key", "left_semi")
     killed = _alive(before, _read(spark, path, parts, "gone", f"key {kind}").join(gone, "key", "left_semi"))
-    signed = added.unionByName(killed.select(F.explode("terms.term").alias("term"), F.lit(-1).cast("long").alias("df")))
+    signed = added.unionByName(killed.select(F.explode(F.split("terms", " ")).alias("term"), F.lit(-1).cast("long").alias("df")))
     signed.groupBy("term").agg(F.sum("df").alias("df")).where("df != 0").withColumn("bucket", _bucket(F.col("term"))).write.mode("overwrite").parquet(f"{place}/df")
     sums = forward.where("length > 0").select("length", F.lit(1).cast("long").alias("units")).unionByName(killed.select((-F.col("length")).alias("length"), F.lit(-1).cast("long").alias("units")))
     sums.agg(F.coalesce(F.sum("units"), F.lit(0).cast("long")).alias("units"), F.coalesce(F.sum("length"), F.lit(0).cast("long")).alias("length")).write.mode("overwrite").parquet(f"{place}/totals")
@@ -136,7 +143,7 @@ def compact(spark: SparkSession, path: str) -> None:
         return
     g, folder = parts[-1][0], f"snapshot-{parts[-1][0]}-{uuid.uuid4().hex}"
     place = f"{path}/{folder}"
-    forward = _write_forward(place, live(spark, path))
+    forward = _write_forward(place, _live(spark, path))
     rows = _write_postings(place, forward)
     forward.select("key").limit(0).write.parquet(f"{place}/gone")
     rows.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket(F.col("term"))).write.parquet(f"{place}/df")
