@@ -19,6 +19,7 @@ rows are packed each. Extra columns are ignored. An empty table gives no sequenc
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,10 +34,15 @@ from palisade.llm.common import read, small_batches
 
 LENGTH, SEGMENTS, LOSS, PROMPT, SLACK, END = 4096, 16, 3840, 8, 1 / 64, 2
 MEMO = 600_000
+#: Letters of ASCII and Latin-1, in UTF-8, then marks.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,;:!?]*")
 
 
 class WordTokens:
-    """Ids of whole texts from a memo of blank-separated words: this tokenizer drops white space, so words don't interact."""
+    """Ids of whole texts from a memo of blank-separated words: this tokenizer drops white space, so words don't interact.
+
+    New words of letters, with marks behind them or not, are encoded thousands at a time as one text; every run of letters and
+    every run of marks ends there with one token that ends a word. Other words are encoded one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,6 +51,9 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(True)
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -56,7 +65,16 @@ class WordTokens:
         for w in [w for w in unknown if w in self.old]:
             self.new[w] = self.old[w]
             unknown.discard(w)
-        todo = list(unknown)
+        plain = list(filter(LETTERS.fullmatch, unknown))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            runs = np.cumsum([1 + (w[-1] < 65) for w in part])
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == runs[-1] and stops[-1] == len(ids):
+                stops, ids = (4 * stops[runs - 1]).tolist(), ids.tobytes()
+                self.new.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+        todo = [w for w in unknown if w not in self.new]
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)

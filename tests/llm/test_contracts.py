@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from palisade.llm import packing
 from palisade.llm import queries as q
 from palisade.llm.ogg_media import padded, read_ogg, write_ogg
 from tests.llm import brute
@@ -189,6 +190,22 @@ def test_packing(spark, table):
     assert used.sum() >= 0.97 * padded_to.sum()
 
 
+def test_new_words_are_encoded_together():
+    tokens = packing.WordTokens(str(public_tokenizers.path("word_bpe_49k.json")))
+    plain, calls = tokens.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    tokens.tokenizer = Counting()
+    words = [a + b + c for a in ("Été", "wort", "ÀÉß", "Quem") for b in "abcdefgh" for c in ("", ".", "?!", "'s", "\u0301", "1", "\u0130", "<|endoftext|>")]
+    want = [struct.pack(f"<{len(e.ids) + 1}I", *e.ids, 2) for e in plain.encode_batch([*words, " ".join(words)], add_special_tokens=False)]
+    assert tokens.encode([*words, " ".join(words)], 2) == want
+    assert len(calls) == 1 + 4 * 8 * 5  # words of letters and marks are one text
+
+
 @pytest.mark.parametrize("name", ["op3_toxicity", "op6_language_id"])
 def test_classifiers_answer_every_row(spark, odd, name):
     out, rows = result(spark, name, odd), texts(spark, odd)
