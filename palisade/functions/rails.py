@@ -137,12 +137,13 @@ def _least(strings: set[str]) -> int:
 
 def _matching(text: Column, patterns: list[str], then) -> Column:
     """`then` of one column a pattern: whether the text holds it in either case. The strings that every match has are far cheaper to
-    look for than the pattern, so only texts with all of them meet it."""
-    def hold(low: Column, p: str) -> Column:
+    look for than the pattern, so only texts with all of them meet it. The text is bound too: within a lambda Spark takes a column's
+    name for an alias that stands before it in the same select."""
+    def hold(whole: Column, low: Column, p: str) -> Column:
         parts = [reduce(or_, (low.contains(s) for s in sorted(some))) for some in needed(p)]
-        return reduce(and_, [*parts, text.rlike(f"(?i){p}")])
+        return reduce(and_, [*parts, whole.rlike(f"(?i){p}")])
 
-    return spans.let(F.lower(text), lambda low: then([hold(low, p) for p in patterns]))
+    return spans.let(text, lambda whole: spans.let(F.lower(whole), lambda low: then([hold(whole, low, p) for p in patterns])))
 
 
 def rule_verdict(text: Column, rules) -> Column:
@@ -181,5 +182,5 @@ def injection_technique(text: Column) -> Column:
 
 def in_scope(text: Column, terms) -> Column:
     """Scope words found, as substrings of the folded text."""
-    lower = F.lower(text)
-    return F.filter(F.array(*map(F.lit, sorted(t.lower() for t in terms))), lambda t: F.contains(lower, t))
+    words = F.array(*map(F.lit, sorted(t.lower() for t in terms)))
+    return spans.let(F.lower(text), lambda low: F.filter(words, lambda t: F.contains(low, t)))
