@@ -4,31 +4,34 @@ Method. Counts of word sequences are first bounded from above by a sketch: a seq
 one of 2^CELLS cells, and a cell's count is at least that of each of its sequences. Tasks send the
 cells that they touch, counted, so the sketch grows with the corpus and is added up by cell ranges
 on many tasks. It has two levels: pairs first, then sequences of three to five words all of whose
-pairs reach the threshold. The cells that reach it are broadcast as a bitmap of fixed size (where
-it fills up, more candidates are counted, with the same results).
-
-Candidates are the sequences whose bounds, and those of all their parts, reach the threshold. They
-and their words are compiled into pyahocorasick automata of at most `shard` characters, with a
-delimiter before and after each word, so that matches begin and end with words, and a guard
-between pieces that no phrase holds. Every document passes the automata of its own language; all
-overlapping matches are counted and added up, and only then thresholds, scores and ranks are
-applied, to exact counts.
+pairs reach the threshold, and the words of such pairs. The cells that reach it are broadcast as a
+bitmap of fixed size (where it fills up, more candidates are counted, with the same results).
+
+Candidates are the sequences whose bounds, and those of all their parts, reach the threshold. From
+each place on, the longest of them is that place's window; the others are its beginnings. A task sends
+each window once, with its count, to a bucket of its first two words, and each word to one of its own;
+so a bucket's windows hold every occurrence of the candidates that begin with these words. There the
+candidates of a language are compiled into pyahocorasick automata of at most `shard` characters, with
+a guard before each phrase and a delimiter after each word, so that matches begin with windows and end
+with words. A bucket's windows pass its automata, and no text passes those of others: work grows with
+the input, not with its product with the number of automata. Matches are added up with their windows'
+counts, and only then thresholds, scores and ranks are applied, to exact counts.
 
 Phrases, counts and ranks are kept apart by language; a null language is `und`. Null and empty
 texts have no words, repeated rows count each, doc_id is not used, other columns are not read, a
 long text is worked on by itself, ties are ordered as stated at `collocations`, and an empty
-table gives none. The driver holds a row for each language and one shard's phrases at a time.
+table gives none. The driver holds the bitmaps.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +43,7 @@ LEAST, LONGEST, TOP = 100, 5, 2_000
 CELLS, BLOCKS, BITS = 34, 12, 27
 HELD = 1 << 22
 SHARD = 4_000_000
-BUCKETS, RANGE = 1_024, 4_096
+BUCKETS = 1_024
 SCAN = 1 << 20
 #: Capitals are lower-cased, what ends a piece turns into a line's end and other blanks into a space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -68,6 +71,7 @@ class _Chunk:
         self.salt = np.repeat(np.array([_lang_hash(x) for x in langs], wh.U), self.n)
         self.text = np.repeat(np.arange(len(langs)), self.n)
         self.words = wh.word_hashes(self.raw, self.starts, self.ends, wh.table(11, False))
+        self._good = None
 
     def cells(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cell of the k words from each place on, and whether they are of one piece."""
@@ -76,13 +80,41 @@ class _Chunk:
         m = len(self.words) - k + 1
         return wh.mix(wh.runs(self.words, k) ^ self.salt[:m]) >> wh.U(64 - CELLS), self.piece[:m] == self.piece[k - 1 :]
 
+    def good(self, pairs: np.ndarray) -> np.ndarray:
+        """Pairs of one piece that reach the threshold by the bitmap, by their first words."""
+        if self._good is None:
+            cells, inside = self.cells(2)
+            self._good = inside & _among(cells, pairs)
+        return self._good
+
+    def paired(self, pairs: np.ndarray) -> np.ndarray:
+        """Words of such pairs."""
+        out = np.zeros(len(self.words), bool)
+        if len(good := self.good(pairs)):
+            out[:-1] |= good
+            out[1:] |= good
+        return out
+
     def likely(self, k: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same, where all pairs reach the threshold by the bitmap."""
-        cells, inside = self.cells(k)
-        two, _ = self.cells(2)
-        if len(cells):
-            inside &= wh.slide(_among(two, pairs), k - 1, np.logical_and)[: len(cells)]
-        return cells, inside
+        """Places from which on all pairs among k words reach the threshold, and the cells of these words."""
+        good = self.good(pairs)
+        at = np.flatnonzero(wh.slide(good, k - 1, np.logical_and)) if len(good) > k - 2 else np.zeros(0, np.int64)
+        return at, wh.mix(wh.ranges(self.words, at, np.full(len(at), k)) ^ self.salt[at]) >> wh.U(64 - CELLS)
+
+    def reach(self, longest: int, pairs: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that may reach the threshold, and of how many words the longest sequence from each place on is that may
+        with all of its parts, 0 where none is."""
+        single, reach = _among(self.cells(1)[0], more), np.zeros(len(self.words), np.int8)
+        last = self.good(pairs)
+        reach[: len(last)][last] = 2
+        for k in range(3, longest + 1):
+            at, cells = self.likely(k, pairs)
+            at = at[_among(cells, more) & last[at] & last[at + 1]]  # both parts that are one word shorter
+            if not len(at):
+                break
+            reach[at] = k
+            last = reach >= k
+        return single, reach
 
 
 def _among(cells: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -101,7 +133,7 @@ SKETCH = "block int, cells binary, counts binary, lang string, n long"
 
 
 def _sketch(least: int, longest: int, pairs=None):
-    """Counted cells by block, of pairs and words by language, or, with the pairs' bitmap, of longer sequences."""
+    """Counted cells by block, of pairs and words by language, or, with the pairs' bitmap, of longer sequences and of words in likely pairs."""
     kind = np.uint8 if least < 256 else np.uint32
     names = ["block", "cells", "counts", "lang", "n"]
 
@@ -121,14 +153,16 @@ def _sketch(least: int, longest: int, pairs=None):
         held, size, n = [], 0, {}
         for chunk in _chunks(batches):
             if pairs is None:
-                found = [chunk.cells(2)]
+                cells, inside = chunk.cells(2)
+                found = [cells[inside]]
                 for lang, words in zip(chunk.langs, chunk.n.tolist()):
                     n[lang] = n.get(lang, 0) + words
             else:
-                found = [chunk.likely(k, pairs.value) for k in range(3, longest + 1)]
-            for cells, inside in found:
-                held.append(cells[inside])
-                size += len(held[-1])
+                found = [chunk.likely(k, pairs.value)[1] for k in range(3, longest + 1)]
+                found.append(chunk.cells(1)[0][chunk.paired(pairs.value)])
+            for cells in found:
+                held.append(cells)
+                size += len(cells)
             if size > HELD:
                 yield blocks(held)
                 held, size = [], 0
@@ -178,136 +212,153 @@ def _bitmap(sketch: DataFrame, least: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _candidates(longest: int, pairs, more):
-    """(bucket, lang, phrases): candidates and their words, each once for what a task remembers, by hash buckets, one a line."""
-
-    def sent(seen: set[tuple[str, bytes]]) -> pa.RecordBatch:
-        held: dict[tuple[int, str], list[bytes]] = {}
-        for lang, phrase in sorted(seen):
-            held.setdefault((zlib.crc32(phrase) % BUCKETS, lang), []).append(phrase)
-        cols = [pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.string()), pa.array([b"\n".join(x) for x in held.values()], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "phrases"])
+class _Seen:
+    """Windows of some chunks: which words they use, and how far each place reaches."""
+
+    def __init__(self):
+        self.langs: dict[str, int] = {}
+        self.places: list[tuple[np.ndarray, ...]] = []  # used, single, reach
+        self.words: list[tuple[np.ndarray, ...]] = []  # bytes, lengths, languages of those used
+        self.size = 0
+
+    def add(self, chunk: _Chunk, longest: int, pairs: np.ndarray, more: np.ndarray) -> None:
+        single, reach = chunk.reach(longest, pairs, more)
+        used = single | chunk.paired(pairs)
+        if not used.any():
+            return
+        starts, ends = chunk.starts[used], chunk.ends[used]
+        mark = np.zeros(len(chunk.raw) + 1, np.int8)
+        mark[starts] += 1
+        mark[ends] -= 1
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in chunk.langs])
+        self.places.append((used, single, reach))
+        self.words.append((chunk.raw[np.cumsum(mark[:-1], dtype=np.int8) == 1], ends - starts, lang[chunk.text[used]]))
+        self.size += len(used)
+
+    def sent(self, longest: int) -> pa.RecordBatch:
+        used, single, reach = map(np.concatenate, zip(*self.places))
+        data, lengths, lang = map(np.concatenate, zip(*self.words))
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        # a word has one number in each language
+        numbers, distinct = pd.factorize(coded.indices.to_numpy().astype(np.int64) * len(self.langs) + lang)
+        words, lang, v = coded.dictionary.take(pa.array(distinct // len(self.langs))).to_pylist(), distinct % len(self.langs), len(distinct)
+        hashes = np.array([zlib.crc32(w) for w in words])
+        ids = np.full(len(used), -1)
+        ids[used] = numbers
+        n = np.bincount(ids[single], minlength=v)
+        at = np.flatnonzero(n)
+        texts, counts, firsts, buckets = [words[i] for i in at.tolist()], [n[at]], [at], [hashes[at] % BUCKETS]
+        at = np.flatnonzero(reach > 1)
+        key = ids[at]
+        for k in range(2, longest + 1):
+            # exact: numbers of what the k - 1 words before are, and of the next word
+            key = pd.factorize(key * v + ids[at + k - 1])[0]
+            own = reach[at] == k
+            n = np.bincount(key[own])
+            place = np.zeros(len(n), np.int64)
+            place[key[own]] = at[own]
+            found = np.flatnonzero(n)
+            rows = ids[place[found][:, None] + np.arange(k)]
+            texts += [b" ".join([words[i] for i in row]) for row in rows.tolist()]
+            counts.append(n[found])
+            firsts.append(rows[:, 0])
+            buckets.append((hashes[rows[:, 0]] * 31 + hashes[rows[:, 1]]) % BUCKETS + BUCKETS)  # apart from words, which begin windows too
+            at, key = at[~own], key[~own]
+            if not len(at):
+                break
+        n, group = np.concatenate(counts).astype(np.uint32), lang[np.concatenate(firsts)] * 2 * BUCKETS + np.concatenate(buckets)
+        order = np.argsort(group, kind="stable")
+        n, group, texts = n[order], group[order], [texts[i] for i in order.tolist()]
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        to, of = np.append(cut[1:], len(group)), list(self.langs)
+        cols = [pa.array((group[cut] % (2 * BUCKETS)).astype(np.int32)), pa.array([of[i] for i in (group[cut] // (2 * BUCKETS)).tolist()], pa.string())]
+        cols += [pa.array([b"\n".join(texts[i:j]) for i, j in zip(cut, to)], pa.binary()), pa.array([n[i:j].tobytes() for i, j in zip(cut, to)], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "windows", "counts"])
+
+
+WINDOWS = "bucket int, lang string, windows binary, counts binary"
+
+
+def _windows(longest: int, pairs, more):
+    """Windows, one a line, by buckets of their first two words, and words by their own, each once for what a task remembers, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, bytes]] = set()
+        seen = _Seen()
         for chunk in _chunks(batches):
-            data, good = chunk.raw.tobytes(), None
-            if len(seen) > HELD >> 3:
-                yield sent(seen)
-                seen.clear()
-            for k in range(2, longest + 1):
-                cells, inside = chunk.likely(k, pairs.value)
-                if k > 2 and len(cells):
-                    inside &= _among(cells, more.value)
-                    if k > 3:
-                        inside &= good[: len(cells)] & good[1 : len(cells) + 1]  # both parts that are one word shorter
-                good, at = inside, np.flatnonzero(inside)
-                if not len(at):
-                    break
-                # sequences by their words' hashes, not by cells, which several may share
-                same = wh.runs(chunk.words, k)[at] ^ chunk.salt[at]
-                for i in at[np.unique(same, return_index=True)[1]].tolist():
-                    words = data[chunk.starts[i] : chunk.ends[i + k - 1]].split()
-                    lang = chunk.langs[chunk.text[i]]
-                    seen.add((lang, b" ".join(words)))
-                    if k == 2:
-                        seen.update((lang, w) for w in words)
-        yield sent(seen)
+            seen.add(chunk, longest, pairs.value, more.value)
+            if seen.size > HELD:
+                yield seen.sent(longest)
+                seen = _Seen()
+        if seen.size:
+            yield seen.sent(longest)
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase): distinct ones, from rows in the order of buckets and languages."""
-    last, seen = None, set()
+def _parts(window: bytes) -> list[bytes]:
+    """What a window counts for: itself and its beginnings of two words or more."""
+    words = window.split(b" ")
+    return [b" ".join(words[:k]) for k in range(2, len(words))] + [window]
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([last[1]] * len(seen), pa.string()), pa.array([x.decode() for x in seen], pa.string())], ["lang", "phrase"])
-
-    for batch in batches:
-        for bucket, lang, phrases in zip(*(c.to_pylist() for c in batch.columns)):
-            if last != (bucket, lang):
-                if seen:
-                    yield told()
-                last, seen = (bucket, lang), set()
-            seen.update(phrases.split(b"\n"))
-    if seen:
-        yield told()
 
-
-_automata: dict[str, dict] = {}
-
-
-def _compiled(name: str, phrases: dict[str, tuple[list[bytes], list[int]]]) -> dict:
-    """One automaton for each language; a worker keeps those of one shard. Keys are bytes, one character each."""
+def _added(windows: list[tuple[bytes, int]], phrases: list[bytes], total: dict[bytes, int]) -> None:
+    """Matches of an automaton of the phrases, a line's end before each, so that a place counts once, and a blank behind each word."""
     import ahocorasick
 
-    if name not in _automata:
-        _automata.clear()
-        made = {}
-        for lang, (keys, ids) in phrases.items():
-            made[lang] = ahocorasick.Automaton()
-            for key, i in zip(keys, ids):
-                made[lang].add_word(f" {key.decode('latin-1')} ", i)
-            made[lang].make_automaton()
-        _automata[name] = made
-    return _automata[name]
-
-
-def _scan(shard):
-    """(block, ids, counts): occurrences of the shard's phrases in the texts of their languages, by ranges of ids."""
-    fold = bytes(np.where(_FOLD == 10, ord("."), _FOLD).astype(np.uint8))
+    automaton = ahocorasick.Automaton()
+    for i, phrase in enumerate(phrases):
+        automaton.add_word(f"\n{phrase.decode('latin-1')} ", i)
+    automaton.make_automaton()
+    ends = np.cumsum([len(w) + 2 for w, _ in windows])
+    text = "".join([f"\n{w.decode('latin-1')} " for w, _ in windows])
+    matches = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)  # (last place, phrase)
+    found = np.zeros(len(phrases), np.int64)
+    np.add.at(found, matches[:, 1], np.array([n for _, n in windows])[np.searchsorted(ends, matches[:, 0], side="right")])
+    for phrase, n in zip(phrases, found.tolist()):
+        total[phrase] = total.get(phrase, 0) + n
+
+
+def _matched(least: int, shard: int):
+    """(lang, phrase, f): counts that reach the threshold, from windows in the order of buckets and languages. Windows go in
+    their order through one automaton of at most `shard` characters after the other, each of the phrases that its windows hold."""
+
+    def counts(lang: str, held: dict[bytes, int]) -> pa.RecordBatch:
+        total: dict[bytes, int] = {}
+        windows, phrases, size = [], {}, 0
+        for window in sorted(held):
+            new = [p for p in _parts(window) if p not in phrases]
+            more = sum(len(p) + 2 for p in new)
+            if windows and size + more > shard:
+                _added(windows, list(phrases), total)
+                windows, phrases, size, new = [], {}, 0, _parts(window)
+                more = sum(len(p) + 2 for p in new)
+            windows.append((window, held[window]))
+            phrases.update(dict.fromkeys(new))
+            size += more
+        _added(windows, list(phrases), total)
+        good = [(p.decode(), n) for p, n in total.items() if n >= least]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(good), pa.string()), pa.array([p for p, _ in good], pa.string()), pa.array([n for _, n in good], pa.int64())], ["lang", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, size, phrases = shard.value
-        automata, total = _compiled(name, phrases), np.zeros(size, np.int64)
-
-        def count(lang: str, texts: list[bytes]) -> None:
-            data = b" . ".join(texts).translate(fold).replace(b".", b" . ")
-            line = f" {b' '.join(data.split()).decode('latin-1')} "
-            np.add.at(total, np.fromiter(map(itemgetter(1), automata[lang].iter(line)), np.int64), 1)
-
+        last, held = None, {}
         for batch in batches:
-            held: dict[str, list[bytes]] = {}
-            sizes: dict[str, int] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and lang in automata:
-                    held.setdefault(lang, []).append(text.encode())
-                    sizes[lang] = sizes.get(lang, 0) + len(text)
-                    if sizes[lang] > SCAN:
-                        count(lang, held.pop(lang))
-                        sizes[lang] = 0
-            for lang, texts in held.items():
-                count(lang, texts)
-        blocks = [(i, at, total[i : i + RANGE][at]) for i in range(0, size, RANGE) if len(at := np.flatnonzero(total[i : i + RANGE]))]
-        cols = [pa.array([i // RANGE for i, _, _ in blocks], pa.int32()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in blocks], pa.binary()), pa.array([n.tobytes() for _, _, n in blocks], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "counts"])
+            for bucket, lang, windows, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if last != (bucket, lang):
+                    if held:
+                        yield counts(last[1], held)
+                    last, held = (bucket, lang), {}
+                for window, m in zip(windows.split(b"\n"), np.frombuffer(n, np.uint32).tolist()):
+                    held[window] = held.get(window, 0) + m
+        if held:
+            yield counts(last[1], held)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, id, f): sums over tasks, from rows in the order of shards and blocks."""
-    last, total = None, np.zeros(RANGE, np.int64)
-
-    def told() -> pa.RecordBatch:
-        at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), last[0], np.int32)), pa.array(at + last[1] * RANGE), pa.array(total[at])], ["shard", "id", "f"])
-
-    for batch in batches:
-        for shard, block, ids, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            if last != (shard, block):
-                if last:
-                    yield told()
-                last, total = (shard, block), np.zeros(RANGE, np.int64)
-            total[np.frombuffer(ids, np.uint16)] += np.frombuffer(counts, np.int64)
-    if last:
-        yield told()
-
-
 def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, f): exact counts of the candidates for `least` occurrences in their language, two to `longest`
-    words, and of their words; and (lang, n): the words of each language."""
+    """(lang, phrase, f): exact counts of phrases of two to `longest` words that occur at least `least` times in their
+    language, of their parts and of words; and (lang, n): the words of each language."""
     spark = docs.sparkSession
     small_batches(spark)
     send = spark.sparkContext.broadcast
@@ -317,43 +368,8 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard:
     pairs = send(_bitmap(pairs_sketch, least))
     more_sketch = Staged(texts.mapInArrow(_sketch(least, longest, pairs), SKETCH), "sketch").df
     more = send(_bitmap(more_sketch, least))
-    found = texts.mapInArrow(_candidates(longest, pairs, more), "bucket int, lang string, phrases binary")
-    found = found.repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
-    found = Staged(found.mapInArrow(_merged, "lang string, phrase string"), "candidates").df
-    sizes = {r.lang: r.size for r in found.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2).alias("size")).collect()}
-
-    # a large language has several shards, small ones share one
-    dealt, room, last = [], 0, -1
-    for lang, size in sorted(sizes.items()):
-        parts = -(-size // shard)
-        for part in range(parts):
-            if size / parts > room:
-                last, room = last + 1, shard
-            room -= size / parts
-            dealt.append((lang, parts, part, last))
-    if not dealt:
-        return spark.createDataFrame([], "lang string, phrase string, f long"), n
-    shards = spark.createDataFrame(dealt, "lang string, parts int, part int, shard int")
-    known = found.join(shards.select("lang", "parts").distinct(), "lang").withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")).cast("int"))
-    known = known.join(shards, ["lang", "parts", "part"]).withColumn("id", F.row_number().over(Window.partitionBy("shard").orderBy("lang", "phrase")) - 1)
-    known = Staged(known.select("shard", F.col("id").cast("long").alias("id"), "lang", "phrase"), "phrases").df
-    counts = []
-    for i in range(last + 1):
-        phrases: dict[str, tuple[list[bytes], list[int]]] = {}
-        rows = known.where(F.col("shard") == i).select("lang", "phrase", "id").toArrow()
-        for lang, phrase, number in zip(*(c.to_pylist() for c in rows.columns)):
-            own = phrases.setdefault(lang, ([], []))
-            own[0].append(phrase.encode())
-            own[1].append(number)
-        sent = send((uuid.uuid4().hex, rows.num_rows, phrases))
-        del rows
-        counts.append(Staged(texts.where(F.col("lang").isin(list(phrases))).mapInArrow(_scan(sent), "block int, ids binary, counts binary").select(F.lit(i).alias("shard"), "*"), f"matches-{i}").df)
-        sent.destroy()
-    every = counts[0]
-    for other in counts[1:]:
-        every = every.unionByName(other)
-    total = every.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInArrow(_summed, "shard int, id long, f long")
-    return Staged(known.join(total, ["shard", "id"]).select("lang", "phrase", "f"), "phrase-counts").df, n
+    found = texts.mapInArrow(_windows(longest, pairs, more), WINDOWS).repartition("bucket", "lang").sortWithinPartitions("bucket", "lang")
+    return Staged(found.mapInArrow(_matched(least, shard), "lang string, phrase string, f long"), "phrase-counts").df, n
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shard: int = SHARD) -> DataFrame:

@@ -47,6 +47,21 @@ def test_full_bitmap_gives_the_same(spark, monkeypatch):
     assert _rows(co.collocations(docs, 3)) == brute.collocations(ROWS, 3)
 
 
+def test_texts_are_read_as_often_for_many_automata_as_for_one(spark, monkeypatch):
+    docs, staged = spark.createDataFrame(ROWS, "lang string, text string"), []
+    made = co.Staged.__init__
+    monkeypatch.setattr(co.Staged, "__init__", lambda self, df, name: (staged.append(name), made(self, df, name))[1])
+    want = brute.collocations(ROWS, 2)
+    assert _rows(co.collocations(docs, 2, shard=40)) == want and len(staged) == 3
+    assert _rows(co.collocations(docs, 2)) == want and len(staged) == 6
+
+
+def test_words_that_stand_alone_count(spark):
+    """Also where their task has no pairs; a word isn't counted anew by what begins with it."""
+    rows = [("en", "a b")] * 3 + [("en", "a")] * 4 + [("en", "a b c")] * 3 + [("de", "a b")] * 2
+    assert _rows(co.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(12), 3)) == brute.collocations(rows, 3)
+
+
 def test_large_numbers(spark):
     """Products beyond 64 bits stay exact."""
     counts = spark.createDataFrame([("en", "a b", 3 * 10**9 + 7), ("en", "a", 3 * 10**9 + 11), ("en", "b", 7 * 10**9 + 1)], "lang string, phrase string, f long")
