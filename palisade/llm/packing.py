@@ -30,19 +30,55 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from palisade.llm import wordhash as wh
 from palisade.llm.common import read, small_batches
 
 LENGTH, SEGMENTS, LOSS, PROMPT, SLACK, END = 4096, 16, 3840, 8, 1 / 64, 2
 MEMO = 600_000
-#: Letters of ASCII and Latin-1, in UTF-8, then marks.
-LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,;:!?]*")
+SCAN = 1 << 22
+#: Letters of ASCII and Latin-1, in UTF-8, or marks: no apostrophe, which begins contractions, and no <, which begins special tokens.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-/:;=-@\[-`{-~]+")
+_KIND = np.array([1 if chr(i).isalpha() else 2 if PLAIN.fullmatch(bytes([i])) else 0 for i in range(128)] + [0] * 128, np.uint8)
+_SECOND = np.array([PLAIN.fullmatch(bytes([0xC3, i])) is not None for i in range(256)])
+
+
+def _units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The bytes with plain words (letters, then marks or none) in lower case; starts and ends of words, plain ones cut before
+    their marks; and each text's first of these, one more at the end."""
+    starts, ends, first = wh.bounds(raw, offsets)
+    kind = _KIND[raw]
+    pair = np.flatnonzero((raw[:-1] == 0xC3) & _SECOND[raw[1:]])
+    kind[pair] = kind[pair + 1] = 1
+    again = np.zeros(len(raw), bool)  # letters behind a mark
+    again[1:] = (kind[1:] == 1) & (kind[:-1] == 2)
+    again[starts] = False
+    odd, marks = np.zeros((2, len(raw) + 1), np.int32)
+    np.cumsum((kind == 0) | again, out=odd[1:])
+    np.cumsum(kind == 2, out=marks[1:])
+    plain = (kind[starts] == 1) & (odd[ends] == odd[starts])
+    own = np.where(plain, marks[ends] - marks[starts], 0)
+    within = np.zeros(len(raw) + 1, np.int8)
+    within[starts[plain]] += 1
+    within[ends[plain]] -= 1
+    within = np.cumsum(within[:-1], dtype=np.int8) == 1
+    upper = (raw >= 65) & (raw <= 90)
+    upper[pair + 1] = raw[pair + 1] <= 0x9E
+    low = raw + np.uint8(32) * (upper & within)
+    at = np.arange(len(starts) + 1)
+    at[1:] += np.cumsum(own > 0)
+    begin, stop = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64)
+    begin[at[:-1]], stop[at[:-1]] = starts, ends - own
+    cut = own > 0
+    begin[at[:-1][cut] + 1], stop[at[:-1][cut] + 1] = (ends - own)[cut], ends[cut]
+    return low, begin, stop, at[first]
 
 
 class WordTokens:
     """Ids of whole texts from a memo of blank-separated words: this tokenizer drops white space, so words don't interact.
 
-    New words of letters, with marks behind them or not, are encoded thousands at a time as one text; every run of letters and
-    every run of marks ends there with one token that ends a word. Other words are encoded one by one."""
+    Words are looked up once for a stretch of texts, and their ids are put together as arrays. Words of letters, with marks behind
+    them or not, are the ids of the letters, which this tokenizer lower-cases, and of the marks; new ones are encoded thousands at
+    a time as one text, where each ends with the one token of it that ends a word. Other words are encoded one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,30 +93,48 @@ class WordTokens:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        if len(self.new) > MEMO:
-            self.new, self.old = {}, self.new
-        words = [(t or "").encode().split() for t in texts]
-        unknown = set().union(*words).difference(self.new)
-        for w in [w for w in unknown if w in self.old]:
-            self.new[w] = self.old[w]
-            unknown.discard(w)
-        plain = list(filter(LETTERS.fullmatch, unknown))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
+    def encode(self, texts: pa.Array | list[str | None], end: int) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out: list[bytes] = []
+        for _, _, raw, offsets in wh.chunks(column, SCAN):
+            if len(self.new) > MEMO:
+                self.new, self.old = {}, self.new
+            low, starts, ends, first = _units(raw, offsets)
+            coded = wh.coded(low, starts, ends)
+            data, at = wh.texts(coded.dictionary)
+            data, at = data.tobytes(), at.tolist()
+            found = [*self._ids([data[a:b] for a, b in zip(at, at[1:])]), array("I", [end]).tobytes()]
+            pool, sizes = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64) // 4
+            words = np.insert(coded.indices.to_numpy(), first[1:], len(found) - 1)
+            n = sizes[words]
+            stops = np.cumsum(n)
+            ids = pool[np.repeat((np.cumsum(sizes) - sizes)[words] - (stops - n), n) + np.arange(stops[-1])].tobytes()
+            cuts = (4 * stops[first[1:] + np.arange(len(offsets) - 1)]).tolist()
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.new.get, words))
+        unknown = [w for w, x in zip(words, found) if x is None]
+        if not unknown:
+            return found
+        if self.old:
+            self.new.update((w, self.old[w]) for w in unknown if w in self.old)
+            unknown = [w for w in unknown if w not in self.new]
+        parts = list(filter(PLAIN.fullmatch, unknown))
+        for at in range(0, len(parts), 4096):
+            part = parts[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            runs = np.cumsum([1 + (w[-1] < 65) for w in part])
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == runs[-1] and stops[-1] == len(ids):
-                stops, ids = (4 * stops[runs - 1]).tolist(), ids.tobytes()
-                self.new.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                stops, ids = (4 * stops).tolist(), ids.tobytes()
+                self.new.update((p, ids[a:b]) for p, a, b in zip(part, [0, *stops], stops))
         todo = [w for w in unknown if w not in self.new]
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.new.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
-        tail = array("I", [end]).tobytes()
-        return [b"".join(map(self.new.__getitem__, w)) + tail for w in words]
+            several = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.new.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, several))
+        return [self.new[w] if x is None else x for w, x in zip(words, found)]
 
 
 @cache
@@ -176,7 +230,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, segments: int = SEGME
 
         for batch in batches:
             kind = batch.column(0).type
-            ids = tokens.encode(batch.column(1).to_pylist(), end)
+            ids = tokens.encode(batch.column(1), end)
             from_ = batch.column(2).to_pylist() if has_loss else [len(i) // 4 // prompt for i in ids]
             for k, i, f in zip(batch.column(0).to_pylist(), ids, from_):
                 packer.add(k, i, f or 0)

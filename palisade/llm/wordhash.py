@@ -55,7 +55,8 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and where each text starts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    if column.type != pa.large_binary():
+        column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -88,6 +89,16 @@ def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def coded(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The words themselves, each distinct one once."""
+    mark = np.zeros(len(raw) + 1, np.int8)
+    mark[starts] += 1
+    mark[ends] -= 1
+    data = np.ascontiguousarray(raw[np.cumsum(mark[:-1], dtype=np.int8) == 1])
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, coeff: np.ndarray) -> np.ndarray:
     """A hash for each word, over some bytes at a time: a word's hash doesn't depend on where it stands."""
     out, lo = np.zeros(len(starts), U), 0

@@ -190,6 +190,24 @@ def test_packing(spark, table):
     assert used.sum() >= 0.97 * padded_to.sum()
 
 
+def test_words_are_encoded_by_their_letters_and_marks():
+    """In whatever case and with whatever marks: letters once, marks once, each for all texts."""
+    tokens = packing.WordTokens(str(public_tokenizers.path("word_bpe_49k.json")))
+    plain, calls = tokens.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    tokens.tokenizer = Counting()
+    texts = ["Wort, WORT.\tÀÞß; àþß)", "wort&&& (wort) wo'rt", None, "", " \n", "a.b A.B <|endoftext|>", "þ÷× ÞÞ.ÿ x…", "Été!", "été!", "\u3000 a\u3000b", "É" * 3000 + "?"]
+    want = [struct.pack(f"<{len(e.ids) + 1}I", *e.ids, 2) for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert tokens.encode(texts, 2) == want and tokens.encode(texts[::-1], 2) == want[::-1]
+    assert tokens.encode([], 2) == []
+    assert calls[0] == f"wort , . àþß ; ) &&& été ! {'é' * 3000} ?" and len(calls) == 11
+
+
 def test_new_words_are_encoded_together():
     tokens = packing.WordTokens(str(public_tokenizers.path("word_bpe_49k.json")))
     plain, calls = tokens.tokenizer, []
